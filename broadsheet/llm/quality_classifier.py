@@ -34,13 +34,16 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
 
+_PREFIXES = (4, 6)
+
+
 @dataclass(frozen=True)
 class Fit:
     dims_log2: int = 18
-    max_labelled: int = 8000
-    min_docs: int = 3
+    max_labelled: int = 10_000
+    min_docs: int = 8
     l2: float = 0.3
-    steps: int = 120
+    steps: int = 60
     keep_at: float = 0.5
 
 
@@ -59,6 +62,13 @@ def features(block: words.Block, dims_log2: int) -> tuple[np.ndarray, np.ndarray
         body.end -= _EDGE[block.bytes[body.end - 1]] & (body.end - body.start > 1)
         body.start += _EDGE[block.bytes[np.minimum(body.start, len(block.bytes) - 1)]] & (body.end - body.start > 1)
     word = body.hashes()
+    starts = []
+    for n_bytes in _PREFIXES:  # inflected forms share the beginning of the word
+        long = np.flatnonzero(body.end - body.start > n_bytes)
+        part = words.Block.__new__(words.Block)
+        part.bytes, part.start = body.bytes, body.start[long]
+        part.end = part.start + n_bytes
+        starts.append((row[long], part.hashes() ^ np.uint64(0x2545F4914F6CDD1D)))
     body.start, body.end = body.end, block.end
     tail = body.hashes() ^ np.uint64(0x5851F42D4C957F2D)
     marks = body.end > body.start
@@ -75,8 +85,8 @@ def features(block: words.Block, dims_log2: int) -> tuple[np.ndarray, np.ndarray
         np.minimum(9, 10 * distinct3 // np.maximum(np.diff(to), 1)),
         np.minimum(15, np.log2(full).astype(np.int64)),
     ]
-    rows = [row, row[marks], *[np.arange(block.rows)] * len(shape)]
-    codes = [word, tail[marks], *[words.mix((s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)) for i, s in enumerate(shape)]]
+    rows = [row, row[marks], *[r for r, _ in starts], *[np.arange(block.rows)] * len(shape)]
+    codes = [word, tail[marks], *[c for _, c in starts], *[words.mix((s.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)) for i, s in enumerate(shape)]]
     key = np.unique(np.concatenate(rows).astype(np.uint64) << np.uint64(dims_log2) | np.concatenate(codes) >> np.uint64(64 - dims_log2))
     return (key & np.uint64((1 << dims_log2) - 1)).astype(np.int64), np.searchsorted(key, np.arange(block.rows + 1, dtype=np.uint64) << np.uint64(dims_log2))
 
