@@ -65,17 +65,20 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
         with store.open_input_file(inner) as f:
             data = np.frombuffer(f.readall(), np.uint8)
     else:
-        data = np.memmap(path, np.uint8, "r")
+        data = np.asarray(np.memmap(path, np.uint8, "r"))
     (n,) = struct.unpack("<q", data[:8].tobytes())
     head = json.loads(data[8 : 8 + n].tobytes())
     return {name: data[8 + n + at : 8 + n + at + count * np.dtype(kind).itemsize].view(kind) for name, (kind, count, at) in head.items()}
 
 
+def _low_kind(bits: int) -> type:
+    return next(t for most, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if bits <= most)
+
+
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     """Arrays of a sorted uint64 sequence without repeats, all below ``universe``."""
     n = len(values)
     low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
-    wide = -(-low_bits // 8)
     high = (values >> np.uint64(low_bits)).astype(np.int64) if low_bits < 64 else np.zeros(n, np.int64)
     zeros = (int(high[-1]) if n else 0) + 1
     bits = np.zeros(-(-(n + zeros + 1) // 64) * 64, np.uint8)
@@ -84,7 +87,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     upper = np.packbits(bits, bitorder="little").view(np.uint64)
     before = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))))
     hint = np.searchsorted(before, np.arange(0, zeros, _EVERY), "right") - 1
-    low = np.ascontiguousarray((values & np.uint64((1 << low_bits) - 1)).astype("<u8").view(np.uint8).reshape(n, 8)[:, :wide]).reshape(-1) if wide else np.zeros(0, np.uint8)
+    low = (values & np.uint64((1 << low_bits) - 1)).astype(_low_kind(low_bits)) if low_bits else np.zeros(0, np.uint8)
     kind = np.uint32 if n + zeros < 1 << 31 else np.int64
     return {"meta": np.array([n, low_bits, zeros], np.int64), "upper": upper, "before": before.astype(kind), "hint": hint.astype(kind), "low": low}
 
@@ -92,9 +95,7 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
 class EliasFano:
     def __init__(self, arrays: Mapping[str, np.ndarray]):
         self.n, self.low_bits, self.zeros = (int(x) for x in arrays["meta"])
-        self.wide = -(-self.low_bits // 8)
-        self.upper, self.before, self.hint = arrays["upper"], arrays["before"], arrays["hint"]
-        self.low = arrays["low"].reshape(self.n, self.wide) if self.wide else None
+        self.upper, self.before, self.hint, self.low = arrays["upper"], arrays["before"], arrays["hint"], arrays["low"]
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Bit position of zero number k."""
@@ -115,32 +116,25 @@ class EliasFano:
 
     def bounds(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First entry of a high part, and the first after it: two pointers."""
-        last = self._select0(high) - high
-        first = np.zeros(len(high), np.int64)
-        some = high > 0
-        first[some] = self._select0(high[some] - 1) - (high[some] - 1)
+        both = self._select0(np.concatenate((np.maximum(high - 1, 0), high)))
+        first, last = both[: len(high)] - (high - 1), both[len(high) :] - high
+        first[high == 0] = 0
         return first, last
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 8), np.uint8)
-        out[:, : self.wide] = self.low[i]
-        return out.view("<u8").reshape(-1)
-
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first entry at or above each value among those with its high part (or the one after them)."""
-        high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = high < self.zeros
-        first, last = np.full(len(values), self.n, np.int64), np.full(len(values), self.n, np.int64)
-        first[inside], last[inside] = self.bounds(high[inside])
-        if self.wide:
-            want = values & np.uint64((1 << self.low_bits) - 1)
-            open_ = np.flatnonzero(first < last)
-            while len(open_):
-                middle = (first[open_] + last[open_]) >> 1
-                less = self._low(middle) < want[open_]
-                first[open_] = np.where(less, middle + 1, first[open_])
-                last[open_] = np.where(less, last[open_], middle)
-                open_ = open_[first[open_] < last[open_]]
+    def _narrow(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The first entry of each range [first, last) whose low part isn't below that of the value."""
+        want = (values & np.uint64((1 << self.low_bits) - 1)).astype(self.low.dtype)
+        open_ = np.flatnonzero(first < last)
+        at, last, want = first[open_], last[open_], want[open_]
+        while len(open_):
+            middle = (at + last) >> 1
+            less = self.low[middle] < want
+            at = np.where(less, middle + 1, at)
+            last = np.where(less, last, middle)
+            done = at >= last
+            first[open_[done]] = at[done]
+            go = ~done
+            open_, at, last, want = open_[go], at[go], last[go], want[go]
         return first
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -150,21 +144,13 @@ class EliasFano:
         out = np.full(len(values), -1, np.int64)
         if not len(inside) or not self.n:
             return out
-        v, h = values[inside], high[inside]
-        first, end = self.bounds(h)
-        at = first.copy()
-        if self.wide:
-            want, last = v & np.uint64((1 << self.low_bits) - 1), end.copy()
-            open_ = np.flatnonzero(at < last)
-            while len(open_):
-                middle = (at[open_] + last[open_]) >> 1
-                less = self._low(middle) < want[open_]
-                at[open_] = np.where(less, middle + 1, at[open_])
-                last[open_] = np.where(less, last[open_], middle)
-                open_ = open_[at[open_] < last[open_]]
+        v = values[inside]
+        first, end = self.bounds(high[inside])
+        if self.low_bits:
+            at = self._narrow(v, first, end)
             hit = at < end
-            hit[hit] = self._low(at[hit]) == want[hit]
+            hit[hit] = self.low[at[hit]] == (v[hit] & np.uint64((1 << self.low_bits) - 1))
         else:
-            hit = at < end
+            at, hit = first, first < end
         out[inside[hit]] = at[hit]
         return out

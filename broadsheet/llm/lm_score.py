@@ -91,38 +91,46 @@ class Trie:
             return hash_range(key, parts)
         return context_range((key >> np.uint64(self.bits)).astype(np.int64), self.contexts(level), parts)
 
-    def find(self, level: int, key: np.ndarray) -> np.ndarray:
-        """Nodes of keys, -1 where there is none. Keys are searched in order, each once."""
-        out = np.full(len(key), -1, np.int64)
+    def lookup(self, level: int, key: np.ndarray, values: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes of keys, -1 where there is none; with ``values`` also their count (level 0) or code, and their weight code as contexts.
+
+        Keys are searched in order, each once, so every range is met as one slice.
+        """
+        none = np.zeros(len(key), np.int64)
         if not len(key) or len(self.levels) <= level or not self.levels[level]:
-            return out
+            return none - 1, none, none
         order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         distinct = ordered[new]
+        back = np.empty(len(key), np.int64)
+        back[order] = np.cumsum(new) - 1
         edges = np.searchsorted(self._range_of(level, distinct), np.arange(len(self.levels[level]) + 1))
-        found = np.full(len(distinct), -1, np.int64)
-        for r in range(len(self.levels[level])):
+        node, value, weight = (np.zeros(len(distinct), np.int64) for _ in range(3))
+        for r, (arrays, search) in enumerate(zip(self.levels[level], self.search[level], strict=True)):
             a, b = edges[r], edges[r + 1]
             if b > a:
-                base = self.levels[level][r]["base"][0]
-                at = self.search[level][r].find(distinct[a:b] - base)
-                found[a:b] = np.where(at >= 0, at + self.first[level][r], -1)
-        out[order] = found[np.cumsum(new) - 1]
-        return out
-
-    def value(self, level: int, name: str, node: np.ndarray, by_context: bool = False) -> np.ndarray:
-        """An array of the level at nodes (or at contexts); 0 for -1."""
-        out = np.zeros(len(node), self.levels[level][0][name].dtype if self.levels[level] else np.int64)
-        parts = len(self.levels[level])
-        some = np.flatnonzero(node >= 0)
-        if not len(some) or not parts:
-            return out
-        which = context_range(node[some], self.contexts(level), parts) if by_context else np.searchsorted(self.first[level], node[some], "right") - 1
-        start = context_starts(self.contexts(level), parts) if by_context else self.first[level]
-        for r in np.unique(which):
-            mine = some[which == r]
-            out[mine] = self.levels[level][r][name][node[mine] - start[r]]
+                at = search.find(distinct[a:b] - arrays["base"][0])
+                node[a:b] = np.where(at >= 0, at + self.first[level][r], -1)
+                if values:
+                    hit = np.flatnonzero(at >= 0)
+                    value[a + hit] = arrays["alpha" if level else "count"][at[hit]]
+        if not values:
+            return node[back], none, none
+        if level + 1 < len(self.levels) and self.levels[level + 1]:
+            hit = np.flatnonzero(node >= 0)
+            weight[hit] = self.weights(level + 1, node[hit])
+        return node[back], value[back], weight[back]
+
+    def weights(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Weight codes of contexts, which ascend."""
+        start = context_starts(self.contexts(level), len(self.levels[level]))
+        edges = np.searchsorted(context, start)
+        out = np.zeros(len(context), np.int64)
+        for r, arrays in enumerate(self.levels[level]):
+            a, b = edges[r], edges[r + 1]
+            if b > a:
+                out[a:b] = arrays["weight"][context[a:b] - start[r]]
         return out
 
 
@@ -155,28 +163,27 @@ def sequences(block: words.Block) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(block.hashes(), block.ptr[1:], _END), block.ptr + np.arange(block.rows + 1)
 
 
-def runs(trie: Trie, hashes: np.ndarray, ptr: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Word of each token (-1: unknown), and by level from 1 to ``depth`` the context of each token and the node of (context, word), -1 where there is none."""
-    word = trie.find(0, hashes)
+def runs(trie: Trie, hashes: np.ndarray, ptr: np.ndarray, depth: int, values: bool = False) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Word of each token (-1: unknown) and its count; by level from 1 to ``depth`` the context of each token, the node of (context, word), its code and the context's weight code."""
+    word, count, beyond = trie.lookup(0, hashes, values)
     begin = np.zeros(len(word), bool)
     begin[ptr[:-1]] = True
-    contexts, nodes = [], []
-    previous = word
+    start = trie.weights(1, np.array([trie.size]))[0] if values and len(trie.levels) > 1 and trie.levels[1] else 0
+    levels = []
+    node = word
     for level in range(1, depth + 1):
-        context = np.empty(len(word), np.int64)
-        context[1:] = previous[:-1]
-        context[begin] = trie.size if level == 1 else -1
-        contexts.append(context)
-        node = np.full(len(word), -1, np.int64)
+        context, weight = np.empty(len(word), np.int64), np.zeros(len(word), np.int64)
+        context[1:], weight[1:] = node[:-1], beyond[:-1]
+        context[begin], weight[begin] = (trie.size, start) if level == 1 else (-1, 0)
         use = (context >= 0) & (word >= 0)
         if level > 1:
-            use &= nodes[-1] >= 0  # a run in the trie has its shorter run there too
+            use &= node >= 0  # a run in the trie has its shorter run there too
         some = np.flatnonzero(use)
-        if len(trie.levels) > level:
-            node[some] = trie.find(level, _key(trie, context[some], word[some]))
-        nodes.append(node)
-        previous = node
-    return word, contexts, nodes
+        found = trie.lookup(level, _key(trie, context[some], word[some]), values)
+        node, code, beyond = np.full(len(word), -1, np.int64), np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        node[some], code[some], beyond[some] = found
+        levels.append((context, node, code, weight))
+    return word, count, levels
 
 
 def _key(trie: Trie, context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -283,11 +290,12 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Rang
 
         def keys(block: words.Block, so_far=so_far, level=level) -> np.ndarray:
             trie = _trie(so_far, how)
-            word, context, nodes = runs(trie, *sequences(block), level)
-            use = context[-1] >= 0
+            word, _, levels = runs(trie, *sequences(block), level)
+            context = levels[-1][0]
+            use = context >= 0
             if level > 1:
-                use &= nodes[-2] >= 0
-            return _key(trie, context[-1][use], word[use])
+                use &= levels[-2][1] >= 0
+            return _key(trie, context[use], word[use])
 
         def range_of(key: np.ndarray, contexts=contexts, of_level=of_level, bits=bits) -> np.ndarray:
             return context_range((key >> np.uint64(bits)).astype(np.int64), contexts, of_level)
@@ -301,13 +309,11 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Rang
 
 def token_log10(trie: Trie, hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training count, log10 p(w) and log10 p(w | context) of each token."""
-    word, contexts, nodes = runs(trie, hashes, ptr, len(trie.levels) - 1)
-    count = trie.value(0, "count", word).astype(np.float64) if trie.levels and trie.size else np.zeros(len(word))
-    single = (count + 1) / (trie.total + trie.size + 1)
+    _, count, levels = runs(trie, hashes, ptr, len(trie.levels) - 1, values=True)
+    single = (count + 1.0) / (trie.total + trie.size + 1)
     p = single
-    for level, (context, node) in enumerate(zip(contexts, nodes, strict=True), 1):
-        alpha, weight = _DECODE[trie.value(level, "alpha", node)], _DECODE[trie.value(level, "weight", context, by_context=True)]
-        p = np.where(context >= 0, alpha + weight * p, p)
+    for context, _, code, weight in levels:
+        p = np.where(context >= 0, _DECODE[code] + _DECODE[weight] * p, p)
     return count, np.log10(single), np.log10(p)
 
 
