@@ -7,11 +7,13 @@ labels and hashes them in text order: two texts share a sketch with a chance of
 their similarity to the power ``sample``, and only if the order agrees.
 
 Texts with equal word sequences are one text from the start. Texts that share a
-sketch form a bucket. In each bucket the text of least priority is compared with all
-others, then wider sets of leaders with the members that are still in other
-classes, until every pair of a bucket is linked, joined through others or has been compared: no
-pairs are made inside a class that is known already. A pair is linked if its
-alignment m, the longest common subsequence of labels within the band that the
+sketch form a bucket. In each bucket the text that meets most others is compared with all
+of them. Texts of buckets that are still in several classes then lose what can't
+matter: with s labels that another of these texts has too, and n in all, a text can reach
+no similarity above s / n, and two texts none above k / (n1 + n2 - k) with k the lesser s.
+Growing sets of leaders are compared with the members of other classes within that
+bound, until every pair of a bucket is linked, joined through others, compared or ruled
+out. A pair is linked if its alignment m, the longest common subsequence of labels within the band that the
 threshold leaves, gives m / (n1 + n2 - m) >= ``threshold``. Classes are the
 connected components, found by distributed label propagation.
 
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .cluster import ship, written
+from .substring_dedup import repeated_places
 
 
 @dataclass(frozen=True)
@@ -44,13 +47,14 @@ class Dedup:
     sketches: int = 40
     sample: int = 6
     survivors: int = 30
-    widen: int = 8
+    widen: int = 16
 
 
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 1 << 64, 1024, np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
 _LABEL = np.uint64(0xA24BAED4963EE407)
+_RANGE_LABELS = 500_000
 
 
 def labels(tokens: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,58 +188,99 @@ def _labels_of(tokens: bytes, how: Dedup) -> np.ndarray:
 
 
 def _checked(pairs: DataFrame, tokens: DataFrame, how: Dedup) -> DataFrame:
-    left, right = tokens.select(F.col("tid").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("tid").alias("b"), F.col("tokens").alias("tb"))
+    left, right = tokens.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("row").alias("b"), F.col("tokens").alias("tb"))
     joined = pairs.join(right, "b").join(left, "a")
     return written(joined.select("a", "b", (_similarity(how)("ta", "tb") >= how.threshold).alias("linked")), "near-checked")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(tid, comp) of every text with a link: the least tid it reaches. Each round takes the least label of the neighbours and then that label's own label."""
+    """(row, comp) of every text with a link: the least row it reaches. Each round takes the least label of the neighbours and then that label's own label."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("tid"), F.least("a", "m").alias("comp")), "near-labels")
+    now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("row"), F.least("a", "m").alias("comp")), "near-labels")
     while True:
-        around = both.join(now.withColumnsRenamed({"tid": "b", "comp": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        nearer = now.join(around, now["tid"] == around["a"]).select("tid", "comp", F.least("comp", "c").alias("next"))
-        jump = now.select(F.col("tid").alias("next"), F.col("comp").alias("beyond"))
-        later = written(nearer.join(jump, "next").select("tid", F.least("next", "beyond").alias("comp"), (F.least("next", "beyond") < F.col("comp")).alias("moved")), "near-labels")
+        around = both.join(now.withColumnsRenamed({"row": "b", "comp": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
+        nearer = now.join(around, now["row"] == around["a"]).select("row", "comp", F.least("comp", "c").alias("next"))
+        jump = now.select(F.col("row").alias("next"), F.col("comp").alias("beyond"))
+        later = written(nearer.join(jump, "next").select("row", F.least("next", "beyond").alias("comp"), (F.least("next", "beyond") < F.col("comp")).alias("moved")), "near-labels")
         if later.filter("moved").isEmpty():
-            return later.select("tid", "comp")
-        now = later.select("tid", "comp")
+            return later.select("row", "comp")
+        now = later.select("row", "comp")
+
+
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes after further links: only the classes that a link touches are looked at again."""
+    of = lambda side: classes.select(F.col("row").alias(side), F.col("comp").alias(f"c{side}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(met.filter("a != b"))
+    renamed = moved.select(F.col("row").alias("comp"), F.col("comp").alias("new"))
+    old = classes.join(renamed, "comp", "left").select("row", F.coalesce("new", "comp").alias("comp"))
+    # texts that had no class until now appear under their own number
+    fresh = moved.join(classes.select("row"), "row", "left_anti")
+    return written(old.unionByName(fresh.select("row", "comp")), "near-classes")
+
+
+def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that are in several classes, with their class."""
+    own = members.join(classes, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    several = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
+    return own.join(several, "key", "left_semi")
+
+
+def _shared_labels(tokens: DataFrame, how: Dedup) -> DataFrame:
+    """(row, size, shared) of texts: labels, and those that another of the texts has too. Hashes travel in packed ranges, one record for each task and hash."""
+
+    def produce(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            code = _labels_of(t, how)
+            yield code, np.full(len(code), row, np.int64), np.arange(len(code), dtype=np.int32)
+
+    size = tokens.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
+    parts = max(8, size // (4 * _RANGE_LABELS))
+    places = repeated_places(tokens, produce, parts, 4 * _RANGE_LABELS, "near-shared")
+    n = F.floor(F.octet_length("tokens") / 4)
+    labels_ = F.when(n == 0, 0).otherwise(F.greatest(n - (how.shingle - 1), F.lit(1)))
+    return tokens.join(places, "row", "left").select("row", labels_.alias("size"), F.coalesce(F.floor(F.octet_length("places") / 4), F.lit(0)).alias("shared"))
 
 
 def _pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
-    both = leaders.join(members, "key").filter(F.col("lead") != F.col("tid"))
-    return both.select(F.least("lead", "tid").alias("a"), F.greatest("lead", "tid").alias("b")).distinct()
+    both = leaders.join(members, "key").filter(F.col("lead") != F.col("row"))
+    return both.select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct()
 
 
 def text_classes(texts: DataFrame, how: Dedup) -> DataFrame:
-    """(tid, comp) of texts in classes of two or more, from (tid, tokens, bands) with one row a text."""
-    keyed = texts.select("tid", F.posexplode("bands").alias("f", "h")).select("tid", F.xxhash64("f", "h").alias("key"))
+    """(row, comp) of texts in classes of two or more, from (row, tokens, bands) with one row a text."""
+    keyed = texts.select("row", F.posexplode("bands").alias("f", "h")).select("row", F.xxhash64("f", "h").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1")
-    members = written(keyed.join(shared, "key").select("key", "tid", F.col("count").alias("n"), F.xxhash64("tid").alias("prio")), "near-members")
-    tokens = written(texts.select("tid", "tokens").join(members.select("tid").distinct(), "tid", "left_semi"), "near-tokens")
-    first = members.groupBy("key").agg(F.min(F.struct("prio", "tid")).alias("x")).select("key", F.col("x.tid").alias("lead"))
-    checked = _checked(_pairs(first, members.select("key", "tid")), tokens, how)
+    members = written(keyed.join(shared, "key").select("key", "row", F.col("count").alias("n")), "near-members")
+    tokens = written(texts.select("row", "tokens").join(members.select("row").distinct(), "row", "left_semi"), "near-tokens")
+    degree = members.groupBy("row").agg(F.sum("n").alias("degree"))
+    first = members.join(degree, "row").groupBy("key").agg(F.max(F.struct("degree", "row")).alias("x")).select("key", F.col("x.row").alias("lead"))
+    checked = _checked(_pairs(first, members.select("key", "row")), tokens, how)
     classes = components(checked.filter("linked"))
     largest = members.agg(F.max("n")).first()[0] or 0
-    share = how.widen
-    while largest > 2:
-        own = members.join(classes, "tid", "left").withColumn("comp", F.coalesce("comp", "tid"))
-        mixed = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
-        open_ = written(own.join(mixed, "key", "left_semi"), "near-open")
+    if largest <= 2:
+        return classes
+    open_ = written(_mixed(members.filter("n > 2"), classes), "near-open")
+    able = _shared_labels(written(tokens.join(open_.select("row").distinct(), "row", "left_semi"), "near-open-tokens"), how).filter(F.col("shared") >= how.threshold * F.col("size") - 1e-9)
+    members = written(open_.drop("comp").join(able, "row").withColumn("prio", F.xxhash64("row")), "near-able")
+    compared, share = 2, how.widen  # in a bucket of up to ``compared`` texts every pair has been looked at
+    while compared < largest:
+        open_ = written(_mixed(members.filter(F.col("n") > compared), classes), "near-open")
+        if open_.isEmpty():
+            break
         # a leader's priority, as a fraction of the range, is below share / n
         chance = (F.col("prio").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("n")
-        lead = open_.filter(chance < share).select("key", F.col("tid").alias("lead"), F.col("comp").alias("lead_comp"), F.col("prio").alias("lead_prio"))
-        both = open_.join(lead, "key").filter((F.col("lead_comp") != F.col("comp")) & (F.col("lead_prio") < F.col("prio")))
-        pairs = both.select(F.least("lead", "tid").alias("a"), F.greatest("lead", "tid").alias("b")).distinct()
+        lead = open_.filter(chance < share).select("key", *[F.col(c).alias(f"l_{c}") for c in ("row", "comp", "prio", "size", "shared")])
+        most = F.least("shared", "l_shared")
+        able_ = most >= how.threshold * (F.col("size") + F.col("l_size") - most) - 1e-9
+        both = open_.join(lead, "key").filter((F.col("l_comp") != F.col("comp")) & (F.col("l_prio") < F.col("prio")) & able_)
+        pairs = both.select(F.least("l_row", "row").alias("a"), F.greatest("l_row", "row").alias("b")).distinct()
         new = _checked(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), tokens, how)
-        if not new.isEmpty():
-            checked = checked.union(new)
-            if not new.filter("linked").isEmpty():
-                classes = components(checked.filter("linked"))
-        if share >= largest:
-            break
-        share *= how.widen
+        checked = checked.union(new)
+        links = new.filter("linked")
+        if not links.isEmpty():
+            classes = joined_classes(classes, links)
+        compared, share = share, share * how.widen
     return classes
 
 
@@ -245,11 +290,11 @@ def dedup_classes(docs: DataFrame, how: Dedup = Dedup(), text: str = "text") ->
     named = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _sketch(how)(F.col(text)).alias("s"))
     rows = written(named.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "s.*"), "near-rows")
     # of copies one row speaks for the text; only narrow rows find it
-    speaker = rows.groupBy("tid").agg(F.min("row").alias("row"))
-    texts = written(rows.select("row", "tid", "tokens", "bands").join(speaker.select("row"), "row", "left_semi"), "near-texts")
-    classes = text_classes(texts, how)
-    narrow = rows.select("doc_id", "text_hash", "row", "tid")
-    named = written(narrow.join(classes, "tid", "left").select("doc_id", "text_hash", "row", F.coalesce("comp", "tid").alias("comp")), "near-named")
+    speaker = written(rows.groupBy("tid").agg(F.min("row").alias("text_row")), "near-speakers")
+    texts = written(rows.select("row", "tokens", "bands").join(speaker.select(F.col("text_row").alias("row")), "row", "left_semi"), "near-texts")
+    classes = text_classes(texts, how).withColumnRenamed("row", "text_row")
+    narrow = rows.select("doc_id", "text_hash", "row", "tid").join(speaker, "tid")
+    named = written(narrow.join(classes, "text_row", "left").select("doc_id", "text_hash", "row", F.coalesce("comp", "text_row").alias("comp")), "near-named")
     heads = written(named.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
     return named.join(heads, "comp").select("doc_id", "text_hash", "row", F.col("head.doc_id").alias("class_id"), "class_size", F.col("head.row").alias("first_row"))
 
@@ -264,10 +309,9 @@ def keep_one(docs: DataFrame, how: Dedup = Dedup()) -> DataFrame:
     """The input rows that stay, with the input's columns."""
     stay = written(dedup_classes(docs, how).filter("row = first_row").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "near-stay")
     own = docs.columns
-    hashed = F.xxhash64("text")
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (hashed == F.col("__hash")), "left_semi")
+    named = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"))
+    kept = named.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
     # rows that agree in doc_id and text can't be told apart above: of these one stays
-    narrow = docs.select("doc_id", hashed.alias("h")).groupBy("doc_id", "h").count()
-    if narrow.filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("__hash", hashed).dropDuplicates(["doc_id", "__hash"]).select(*own)
+    if not named.groupBy("__doc", "__text").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__doc", "__text"])
+    return kept.select(*[F.col("__row")[c].alias(c) for c in own])

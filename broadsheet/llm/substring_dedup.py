@@ -161,9 +161,9 @@ def _by_row(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(row[edges[:-1]], pa.int64()), pa.array([at[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=_PLACES)
 
 
-def _places(source: DataFrame, produce, parts: int, how: Repeats, tag: str) -> DataFrame:
-    """(row, places) of the hashes that occur twice."""
-    sent = source.mapInArrow(_hashed(produce, parts, how.flush), _SCHEMA)
+def repeated_places(source: DataFrame, produce, parts: int, flush: int, tag: str) -> DataFrame:
+    """(row, places) of the hashes that occur twice; ``produce`` maps a batch to hashes, rows and places."""
+    sent = source.mapInArrow(_hashed(produce, parts, flush), _SCHEMA)
     found = sent.groupBy("part").applyInArrow(_repeated(parts), _SCHEMA)
     return written(found.groupBy("part").applyInArrow(_by_row, "row long, places binary"), tag)
 
@@ -240,9 +240,9 @@ def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), texts: bool = Fals
         numbered.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(numbered.schema).parquet(path)
     parts = max(8, math.ceil(hadoop_size(spark, path) / how.shard_bytes))
-    anchors = _places(rows.select("row", "text"), _anchors(how), parts, how, "repeat-anchors")
+    anchors = repeated_places(rows.select("row", "text"), _anchors(how), parts, how.flush, "repeat-anchors")
     near = rows.select("row", "text").join(anchors, "row").select("row", "text", "places")
-    repeats = _places(near, _extended(how), parts, how, "repeat-windows")
+    repeats = repeated_places(near, _extended(how), parts, how.flush, "repeat-windows")
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
 
