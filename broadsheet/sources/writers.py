@@ -34,7 +34,7 @@ def append_metrics(rows: DataFrame, path: str) -> None:
 
 def tex_rows(pivoted: DataFrame, first: str, columns: list[str], factor: float = 100.0) -> DataFrame:
     """One LaTeX line a row: values times ``factor`` to two places, an empty cell where there is none."""
-    cells = [F.coalesce(F.format_string("%.2f", F.col(c).cast("double") * factor), F.lit("")) for c in columns]
+    cells = [F.when(F.col(c).isNull(), F.lit("")).otherwise(F.format_string("%.2f", F.col(c).cast("double") * factor)) for c in columns]
     return pivoted.select(F.concat(F.concat_ws(" & ", F.col(first).cast("string"), *cells), F.lit(r" \\")).alias("line"))
 
 
