@@ -221,7 +221,7 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of buckets that are in several classes, with their class."""
-    own = members.join(classes, "row", "left").withColumn("comp", F.coalesce("comp", "row"))
+    own = written(members.join(classes, "row", "left").withColumn("comp", F.coalesce("comp", "row")), "near-own")
     several = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
     return own.join(several, "key", "left_semi")
 
@@ -247,12 +247,15 @@ def _pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct()
 
 
-def text_classes(texts: DataFrame, how: Dedup) -> DataFrame:
-    """(row, comp) of texts in classes of two or more, from (row, tokens, bands) with one row a text."""
-    keyed = texts.select("row", F.posexplode("bands").alias("f", "h")).select("row", F.xxhash64("f", "h").alias("key"))
+def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
+    """(row, comp) of texts in classes of two or more, from (row, bands) with one row a text and the tokens of ``every`` row.
+
+    Joins of wide rows are merge joins at every size: a plan that changes with the input would hide how they grow.
+    """
+    keyed = texts.select("row", F.posexplode("bands").alias("f", "h")).select("row", "f", F.xxhash64("f", "h").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1")
-    members = written(keyed.join(shared, "key").select("key", "row", F.col("count").alias("n")), "near-members")
-    tokens = written(texts.select("row", "tokens").join(members.select("row").distinct(), "row", "left_semi"), "near-tokens")
+    members = written(keyed.join(shared.hint("merge"), "key").select("key", "f", "row", F.col("count").alias("n")), "near-members")
+    tokens = written(every.select("row", "tokens").join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "near-tokens")
     degree = members.groupBy("row").agg(F.sum("n").alias("degree"))
     first = members.join(degree, "row").groupBy("key").agg(F.max(F.struct("degree", "row")).alias("x")).select("key", F.col("x.row").alias("lead"))
     checked = _checked(_pairs(first, members.select("key", "row")), tokens, how)
@@ -262,7 +265,8 @@ def text_classes(texts: DataFrame, how: Dedup) -> DataFrame:
         return classes
     open_ = written(_mixed(members.filter("n > 2"), classes), "near-open")
     able = _shared_labels(written(tokens.join(open_.select("row").distinct(), "row", "left_semi"), "near-open-tokens"), how).filter(F.col("shared") >= how.threshold * F.col("size") - 1e-9)
-    members = written(open_.drop("comp").join(able, "row").withColumn("prio", F.xxhash64("row")), "near-able")
+    bands = texts.join(able, "row").select("row", "size", "shared", "bands")
+    members = written(open_.drop("comp").join(bands, "row").withColumn("prio", F.xxhash64("row")), "near-able")
     compared, share = 2, how.widen  # in a bucket of up to ``compared`` texts every pair has been looked at
     while compared < largest:
         open_ = written(_mixed(members.filter(F.col("n") > compared), classes), "near-open")
@@ -270,16 +274,19 @@ def text_classes(texts: DataFrame, how: Dedup) -> DataFrame:
             break
         # a leader's priority, as a fraction of the range, is below share / n
         chance = (F.col("prio").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("n")
-        lead = open_.filter(chance < share).select("key", *[F.col(c).alias(f"l_{c}") for c in ("row", "comp", "prio", "size", "shared")])
+        lead = open_.filter(chance < share).select("key", *[F.col(c).alias(f"l_{c}") for c in ("row", "comp", "prio", "size", "shared", "bands")])
         most = F.least("shared", "l_shared")
         able_ = most >= how.threshold * (F.col("size") + F.col("l_size") - most) - 1e-9
-        both = open_.join(lead, "key").filter((F.col("l_comp") != F.col("comp")) & (F.col("l_prio") < F.col("prio")) & able_)
+        # a pair is made in the first of its common buckets only
+        here = F.array_position(F.zip_with("bands", "l_bands", lambda x, y: x == y), F.lit(True)) == F.col("f") + 1
+        both = open_.join(lead, "key").filter((F.col("l_comp") != F.col("comp")) & (F.col("l_prio") < F.col("prio")) & able_ & here)
         pairs = both.select(F.least("l_row", "row").alias("a"), F.greatest("l_row", "row").alias("b")).distinct()
         new = _checked(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), tokens, how)
         checked = checked.union(new)
         links = new.filter("linked")
         if not links.isEmpty():
             classes = joined_classes(classes, links)
+        members = open_.drop("comp")  # a bucket in one class stays in one
         compared, share = share, share * how.widen
     return classes
 
@@ -291,8 +298,8 @@ def dedup_classes(docs: DataFrame, how: Dedup = Dedup(), text: str = "text") ->
     rows = written(named.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "s.*"), "near-rows")
     # of copies one row speaks for the text; only narrow rows find it
     speaker = written(rows.groupBy("tid").agg(F.min("row").alias("text_row")), "near-speakers")
-    texts = written(rows.select("row", "tokens", "bands").join(speaker.select(F.col("text_row").alias("row")), "row", "left_semi"), "near-texts")
-    classes = text_classes(texts, how).withColumnRenamed("row", "text_row")
+    texts = rows.select("row", "bands").join(speaker.select(F.col("text_row").alias("row")).hint("merge"), "row", "left_semi")
+    classes = text_classes(texts, rows, how).withColumnRenamed("row", "text_row")
     narrow = rows.select("doc_id", "text_hash", "row", "tid").join(speaker, "tid")
     named = written(narrow.join(classes, "text_row", "left").select("doc_id", "text_hash", "row", F.coalesce("comp", "text_row").alias("comp")), "near-named")
     heads = written(named.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
