@@ -219,9 +219,12 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(old.unionByName(fresh.select("row", "comp")), "near-classes")
 
 
-def _mixed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets that are in several classes, with their class."""
-    own = written(members.join(classes, "row", "left").withColumn("comp", F.coalesce("comp", "row")), "near-own")
+def _with_class(members: DataFrame, classes: DataFrame) -> DataFrame:
+    return written(members.join(classes, "row", "left").withColumn("comp", F.coalesce("comp", "row")), "near-own")
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """Members (key, comp) of buckets that are in several classes."""
     several = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
     return own.join(several, "key", "left_semi")
 
@@ -263,13 +266,13 @@ def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
     largest = members.agg(F.max("n")).first()[0] or 0
     if largest <= 2:
         return classes
-    open_ = written(_mixed(members.filter("n > 2"), classes), "near-open")
+    open_ = written(_mixed(_with_class(members.filter("n > 2"), classes)), "near-open")
     able = _shared_labels(written(tokens.join(open_.select("row").distinct(), "row", "left_semi"), "near-open-tokens"), how).filter(F.col("shared") >= how.threshold * F.col("size") - 1e-9)
     bands = texts.join(able, "row").select("row", "size", "shared", "bands")
-    members = written(open_.drop("comp").join(bands, "row").withColumn("prio", F.xxhash64("row")), "near-able")
+    members = written(open_.join(bands, "row").withColumn("prio", F.xxhash64("row")), "near-able")
     compared, share = 2, how.widen  # in a bucket of up to ``compared`` texts every pair has been looked at
     while compared < largest:
-        open_ = written(_mixed(members.filter(F.col("n") > compared), classes), "near-open")
+        open_ = written(_mixed(members.filter(F.col("n") > compared)), "near-open")
         if open_.isEmpty():
             break
         # a leader's priority, as a fraction of the range, is below share / n
@@ -284,9 +287,10 @@ def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
         new = _checked(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), tokens, how)
         checked = checked.union(new)
         links = new.filter("linked")
+        members = open_  # a bucket in one class stays in one
         if not links.isEmpty():
             classes = joined_classes(classes, links)
-        members = open_.drop("comp")  # a bucket in one class stays in one
+            members = _with_class(open_.drop("comp"), classes)
         compared, share = share, share * how.widen
     return classes
 
