@@ -2,7 +2,7 @@
 
 The words of the training documents are counted, then pairs, then longer runs;
 a run is counted only below a context that the trie holds. Runs seen less than
-``min_count`` times are pruned. Level 1 holds the hashes of the distinct words, level
+``min_count`` times are pruned, after they have counted in their context's total. Level 1 holds the hashes of the distinct words, level
 n the keys (node of the context, word) in context order, each as an Elias-Fano
 sequence: its zeros are monotone pointers to the children of a context, and a query is a
 successor search for the word relative to that context's pointer. A node holds its
@@ -252,12 +252,12 @@ def _level_one(parts: int):
     return build
 
 
-def _level_next(level: int, contexts: int, parts: int, bits: int, how: Lm):
+def _level_next(level: int, contexts: int, parts: int, bits: int, n_words: int, how: Lm):
     def build(part: int, key: np.ndarray, n: np.ndarray):
         start, end = (int(x) for x in context_starts(contexts, parts)[part : part + 2])
         context = (key >> np.uint64(bits)).astype(np.int64) - start
         total = np.bincount(context, n, end - start)
-        kept = n >= how.min_count
+        kept = (n >= how.min_count) & (key & np.uint64((1 << bits) - 1) != np.uint64(n_words))
         share = (n - how.discount) / np.maximum(total[context], 1)
         weight = 1 - np.bincount(context[kept], share[kept], end - start)
         base = np.uint64(start << bits)
@@ -293,8 +293,8 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Rang
             word, _, levels = runs(trie, *sequences(block), level)
             context = levels[-1][0]
             use = context >= 0
-            if level > 1:
-                use &= levels[-2][1] >= 0
+            if level > 1:  # a run whose shorter run is pruned can't be kept: one key a context holds them for its total
+                word = np.where(levels[-2][1] >= 0, word, trie.size)
             return _key(trie, context[use], word[use])
 
         def range_of(key: np.ndarray, contexts=contexts, of_level=of_level, bits=bits) -> np.ndarray:
@@ -303,7 +303,7 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Rang
         if not contexts:
             break
         counted = _count(texts, keys, range_of, how)
-        ranges.append(_ranges(counted, of_level, _level_next(level, contexts, of_level, bits, how), f"{folder}/{level + 1}"))
+        ranges.append(_ranges(counted, of_level, _level_next(level, contexts, of_level, bits, n_words, how), f"{folder}/{level + 1}"))
     return ranges
 
 
