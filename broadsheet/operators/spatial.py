@@ -34,6 +34,17 @@ def near_pairs(points: DataFrame, radius: float) -> DataFrame:
     return own.join(around, ["page", "cx", "cy"]).filter(F.col("a") < F.col("b")).withColumn("d", d).filter(F.col("d") < radius).select("page", "a", "b", "d")
 
 
+def following(ends: DataFrame, starts: DataFrame, radius: float) -> DataFrame:
+    """(page, a, b) of an end (page, a, x, y) and another segment's start (page, b, x, y) closer than the radius."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    own = ends.select("page", "a", F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = starts.select("page", "b", F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(steps).alias("s"))
+    around = around.select("page", "b", "bx", "by", (cell("bx") + F.col("s.i")).alias("cx"), (cell("by") + F.col("s.j")).alias("cy"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    return own.join(around, ["page", "cx", "cy"]).filter((F.col("a") != F.col("b")) & (F.sqrt(dx * dx + dy * dy) < radius)).select("page", "a", "b")
+
+
 def _gridded(boxes: DataFrame, prefix: str, width: float) -> DataFrame:
     c = lambda n: F.col(f"{prefix}{n}")
     out = boxes.withColumn("gx", F.explode(_cells(c("minx"), c("maxx"), width)))

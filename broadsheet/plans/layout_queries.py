@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lines, numbers
-from ..operators import layout
+from ..operators import layout, spatial
 from . import roles
 from .registry import query
 
@@ -56,6 +56,19 @@ def segment_join_codes(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("page", "a", "b", lines.join_code(part("a"), part("b"), (F.col("a") + F.col("b")) % 5 != 0).alias("code"))
 
 
+@query(f"""{_C}, p AS (SELECT a.page, a.id AS a, b.id AS b, (a.id % 2) AS la, (b.id % 2) AS lb, a.maxx - a.minx AS ax, a.maxy - a.miny AS ay, b.minx - a.maxx AS gx, b.miny - a.maxy AS gy, b.maxx - b.minx AS bx, b.maxy - b.miny AS byy FROM c a JOIN c b ON a.page = b.page AND a.id <> b.id AND sqrt((b.minx - a.maxx) * (b.minx - a.maxx) + (b.miny - a.maxy) * (b.miny - a.maxy)) < 500),
+m AS (SELECT *, sqrt(ax * ax + ay * ay) AS na, least(sqrt(ax * ax + ay * ay), sqrt(bx * bx + byy * byy)) AS short, degrees(acos(greatest(-1, least(1, (ax * bx + ay * byy) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + byy * byy)))))) AS phi FROM p)
+SELECT page, a, b, CASE WHEN la <> lb THEN 'label' WHEN gx * ax + gy * ay < 0 THEN 'direction' WHEN NOT (short < 3 OR phi < CASE WHEN short < 50 THEN 30 ELSE 15 END) THEN 'parallel' WHEN abs(gx * -(ay / na) + gy * (ax / na)) > 25 THEN 'distance' WHEN (a + b) % 5 = 0 THEN 'mask' ELSE 'joined' END AS code FROM m""")
+def segment_near_join_codes(spark: SparkSession, d: str) -> DataFrame:
+    """A code for every pair of a page whose end and start lie within the reach of a join; segment_join_codes has a window of numbers."""
+    c = roles.boxes(spark, d, "c")
+    near = spatial.following(c.select("page", F.col("id").alias("a"), F.col("maxx").alias("x"), F.col("maxy").alias("y")), c.select("page", F.col("id").alias("b"), F.col("minx").alias("x"), F.col("miny").alias("y")), 500.0)
+    side = lambda n: c.select("page", F.col("id").alias(n), *[F.col(k).alias(f"{n}_{v}") for k, v in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))], (F.col("id") % 2).alias(f"{n}_label"))
+    part = lambda n: {k: F.col(f"{n}_{k}") for k in ("x0", "y0", "x1", "y1", "label")}
+    pairs = near.join(side("a"), ["page", "a"]).join(side("b"), ["page", "b"])
+    return pairs.select("page", "a", "b", lines.join_code(part("a"), part("b"), (F.col("a") + F.col("b")) % 5 != 0).alias("code"))
+
+
 @query("SELECT event_id, round(0.5 * (1 + cos(pi() * (event_id % 50) / 50.0::DOUBLE)), 9) AS eta FROM events")
 def cosine_annealing(spark: SparkSession, d: str) -> DataFrame:
     return roles.table(spark, d, "events").select("event_id", F.round(numbers.cosine_annealing(F.col("event_id") % 50, 50), 9).alias("eta"))
