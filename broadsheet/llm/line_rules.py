@@ -5,7 +5,7 @@ their hash is counted over the distinct documents of each host (texts that are
 equal count once). A line in more than ``max_docs`` distinct documents of a host, and in
 more than ``max_share`` of them, is boilerplate there; its words are removed from every
 document of the host, and a document that keeps less than ``min_left`` of its words is
-rejected. Before that, two rules on the text itself reject documents with under 50
+rejected. ``line_rules`` gives the verdict, ``cleaned_text`` also the text that is left. Before that, two rules on the text itself reject documents with under 50
 words or with half of their words in repeated 3-word windows.
 
 Null text counts as empty and fails the base rules; a null host is the host ''.
@@ -94,11 +94,11 @@ def base_rules(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
 
 
 def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """One row for each line with a word: host, text hashes, position, line hash, words."""
+    """One row for each line with a word: host, text hashes, position among all lines of the text, line hash, words."""
     t = F.coalesce(F.col(text), F.lit(""))
     norm = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))
-    parts = F.filter(F.transform(F.split(t, "\n"), norm), lambda x: x != "")
-    rows = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), *_identity(t), F.posexplode(parts).alias("at", "line"))
+    parts = F.filter(F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("at"), norm(x).alias("line"))), lambda x: x["line"] != "")
+    rows = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), *_identity(t), F.inline(parts))
     return rows.select("host", "t1", "t2", "at", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).alias("words"))
 
 
@@ -116,22 +116,37 @@ def frequent_lines(docs: DataFrame, rules: LineRules, host: str = "source", text
 
 
 def removed_words(docs: DataFrame, frequent: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """(host, t1, t2, n_removed) for texts that hold frequent lines; equal texts share a row."""
+    """(host, t1, t2, n_removed, gone) for texts that hold frequent lines: their words and their positions; equal texts share a row."""
     hits = _lines(docs, host, text).join(frequent, ["host", "line"], "left_semi")
     each = hits.groupBy("host", "t1", "t2", "at").agg(F.max("words").alias("words"))
-    return each.groupBy("host", "t1", "t2").agg(F.sum("words").alias("n_removed"))
+    return each.groupBy("host", "t1", "t2").agg(F.sum("words").alias("n_removed"), F.collect_list("at").alias("gone"))
 
 
-def line_rules(docs: DataFrame, rules: LineRules = LineRules(), host: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, the base counts, base_failed, n_removed_words and kept."""
+def _judged(docs: DataFrame, keep: list[str], rules: LineRules, host: str, text: str) -> DataFrame:
+    """``keep``, which may hold __text, with the base counts, base_failed, gone, n_removed_words and kept."""
     frequent = written(frequent_lines(docs, rules, host, text), "frequent-lines")
     removed = written(removed_words(docs, frequent, host, text), "removed-words")
     t = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), t.alias("__text"), *_identity(t))
-    base = base_rules(named, ["doc_id", "host", "t1", "t2"], "__text")
+    named = docs.select(*[F.col(c) for c in keep if c != "__text"], F.coalesce(F.col(host), F.lit("")).alias("__host"), t.alias("__text"), *_identity(t))
+    base = base_rules(named, [*keep, "__host", "t1", "t2"], "__text").withColumnRenamed("__host", "host")
     joined = base.join(removed, ["host", "t1", "t2"], "left").withColumn("n_removed_words", F.coalesce("n_removed", F.lit(0)).cast("long"))
     depleted = F.col("n_words") - F.col("n_removed_words") < rules.min_left * F.col("n_words")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def line_rules(docs: DataFrame, rules: LineRules = LineRules(), host: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, the base counts, base_failed, n_removed_words and kept."""
+    return _judged(docs, ["doc_id"], rules, host, text).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+
+
+def cleaned_text(docs: DataFrame, rules: LineRules = LineRules(), host: str = "source", text: str = "text") -> DataFrame:
+    """doc_id, the text without the frequent lines of its host, n_removed_words and kept, for every row; the other lines stay as they are, null text becomes empty."""
+    judged = _judged(docs, ["doc_id", "__text"], rules, host, text).select("doc_id", "__text", "gone", "n_removed_words", "kept")
+    split = judged.withColumn("__lines", F.when(F.col("gone").isNotNull(), F.split("__text", "\n")))
+    # array_except looks positions up in a set; the lines are used twice, so they stay a column and are split once a row
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("gone"))
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n")
+    return split.select("doc_id", F.when(F.col("gone").isNull(), F.col("__text")).otherwise(left).alias("text"), "n_removed_words", "kept")
 
 
 def oracle(rules: LineRules = LineRules()) -> str:

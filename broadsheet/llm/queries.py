@@ -19,6 +19,10 @@ def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(_table(spark, sf_dir))
 
 
+def op2_cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.cleaned_text(_table(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir))
 
@@ -53,6 +57,6 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir), keep=["doc_id"])
 
 
-_ALL = (op1_ordinal_quality, op2_line_rules, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_secret_scan, op8_lm_score, op9_token_counts, op10_hash_tree)
+_ALL = (op1_ordinal_quality, op2_line_rules, op2_cleaned_text, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_secret_scan, op8_lm_score, op9_token_counts, op10_hash_tree)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op2_line_rules": line_rules.oracle(), "op3_mix_sources": mixing.oracle(), "op6_decontaminate": decontamination.oracle(), "op10_hash_tree": sharding.oracle()}
