@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .warps import smoothed_at
+
 
 def hull_of(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise from the leftmost lowest point."""
@@ -136,31 +138,60 @@ def merge_to_fixpoint(boxes: DataFrame, gap: float = 0.0) -> DataFrame:
     return boxes.groupBy("page").applyInPandas(run, "page long, id long, minx double, miny double, maxx double, maxy double")
 
 
-def greedy_endpoint_merges(segments: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """Pairs of segments (x0, y0, x1, y1) joined end to start, nearest first; each end is used once. Ties by number."""
+def may_join(a: np.ndarray, b: np.ndarray, horizontal: bool = True, most_distance: float = 25.0) -> bool:
+    """Whether path b can follow path a: not from one and the same end, b starts onward in the label's direction, the gap runs parallel to the longer path, and b starts beside it by no more than the distance."""
+    if (a[0] == b[0]).all() or (a[-1] == b[-1]).all():
+        return False
+    gap = b[0] - a[-1]
+    if gap[0 if horizontal else 1] < 0:
+        return False
+    length = lambda p: np.hypot(*np.diff(p, axis=0).T).sum()
+    longer = a if length(a) > length(b) else b
+    v = longer[-1] - longer[0]
+    nv, ng = np.hypot(*v), np.hypot(*gap)
+    if min(nv, ng) >= 3:
+        phi = np.degrees(np.arccos(np.clip(v @ gap / (nv * ng), -1, 1)))
+        if min(phi, 180 - phi) > (30 if min(nv, ng) < 50 else 15):
+            return False
+    return bool(nv == 0 or abs((a[0] - b[0]) @ np.array([-v[1], v[0]])) / nv <= most_distance)
+
+
+def _greedy_chains(segments: np.ndarray, reach: float, horizontal: bool) -> tuple[list[tuple[int, int]], list[tuple[list[int], np.ndarray]]]:
+    """The joins in the order made, and (members, path) of each chain that is left."""
     starts, ends = segments[:, :2], segments[:, 2:]
     d = np.hypot(*(ends[:, None, :] - starts[None, :, :]).transpose(2, 0, 1))
     a, b = np.nonzero((d < reach) & ~np.eye(len(segments), dtype=bool))
     chosen, used_end, used_start = [], set(), set()
+    chain = {i: ([i], segments[i].reshape(2, 2).astype(float)) for i in range(len(segments))}
     for i in np.lexsort((b, a, d[a, b])):
         p, q = int(a[i]), int(b[i])
-        if p not in used_end and q not in used_start:
-            chosen.append((p, q))
-            used_end.add(p)
-            used_start.add(q)
-    return chosen
+        if p in used_end or q in used_start or chain[p] is chain[q] or not may_join(chain[p][1], chain[q][1], horizontal):
+            continue
+        path = smoothed_at(np.concatenate((chain[p][1], chain[q][1])), len(chain[p][1]))
+        whole = (chain[p][0] + chain[q][0], path)
+        chain.update(dict.fromkeys(whole[0], whole))
+        chosen.append((p, q))
+        used_end.add(p)
+        used_start.add(q)
+    return chosen, [c for i, c in chain.items() if c[0][0] == i]
+
+
+def greedy_endpoint_merges(segments: np.ndarray, reach: float, horizontal: bool = True) -> list[tuple[int, int]]:
+    """Pairs of segments (x0, y0, x1, y1) joined end to start, nearest first, where the chains that they end may be joined; each end is used once. Ties by number."""
+    return _greedy_chains(segments, reach, horizontal)[0]
 
 
 def endpoint_merges(segments: DataFrame, reach: float = 500.0) -> DataFrame:
-    """(page, label, id, x0, y0, x1, y1): which segments follow which, within page and label."""
+    """(page, label, id, x0, y0, x1, y1) to the joined segments within page and label: the first member's id, all members in order and the path. Label H runs along x, others along y."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        pairs = greedy_endpoint_merges(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), reach)
-        return pd.DataFrame({"page": pdf["page"].iloc[0], "label": pdf["label"].iloc[0], "id": [ids[p] for p, _ in pairs], "next": [ids[q] for _, q in pairs]})
+        ids, label = pdf["id"].to_numpy(), pdf["label"].iloc[0]
+        chains = _greedy_chains(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), reach, label == "H")[1]
+        rows = [(pdf["page"].iloc[0], label, ids[m[0]], [int(ids[i]) for i in m], [{"x": float(x), "y": float(y)} for x, y in path]) for m, path in chains]
+        return pd.DataFrame(rows, columns=["page", "label", "id", "members", "path"])
 
-    return segments.groupBy("page", "label").applyInPandas(run, "page long, label string, id long, next long")
+    return segments.groupBy("page", "label").applyInPandas(run, "page long, label string, id long, members array<long>, path array<struct<x: double, y: double>>")
 
 
 def xy_cut(boxes: np.ndarray, gap: float = 0.0) -> list[str]:
