@@ -6,7 +6,7 @@ it, the count of the character that leaves and of the one that enters change by
 and the sum of c * log2(c) is corrected by just these two terms. The
 span from the first to the last window at or above the class's limit is reported.
 The allow-list drops candidates that are words, identifiers, paths, host names,
-UUIDs, repeats or placeholders, and those inside a span that a pattern kind has
+UUIDs or repeats, pieces of candidates that hold a placeholder, and those inside a span that a pattern kind has
 found already.
 
 Null text counts as empty and has no spans. Offsets count code points, ends are
@@ -40,18 +40,21 @@ class EntropyClass:
 
 
 CLASSES = (
-    EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])([0-9A-F]{24,}|[0-9a-f]{24,})(?![0-9A-Za-z])", "0123456789abcdefABCDEF", 20, 2.9),
+    EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])([0-9A-F]{20,}|[0-9a-f]{20,})(?![0-9A-Za-z])", "0123456789abcdefABCDEF", 20, 2.9),
     EntropyClass("entropy_base64", r"(?<![0-9A-Za-z+/_-])([0-9A-Za-z+/_-]{20,}={0,2})", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=", 20, 3.7),
 )
+#: Letters of one case, or humps of a name; random letters of both cases have single small ones between capitals.
+NAME = r"[a-z]?(?:[A-Z]*+[a-z]{2,}+)*+[A-Z]*+"
 #: A candidate that any of these matches as a whole is no secret.
 ALLOW = (
-    r"[A-Za-z]+",  # one word of letters
-    r"[A-Za-z]+([-_/+][A-Za-z]+)*[-_/+]*=*",  # words joined by marks
-    r"[0-9]+([-_/+][0-9]+)*",  # numbers and dates
+    rf"[-_/+]*(?:{NAME}[-_/+]+)*+{NAME}=*",  # words, alone or joined by marks
+    r"[-_/+]*[0-9]+([-_/+][0-9]+)*[-_/+]*",  # numbers and dates
     r"[-_=+/]+",  # rules
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-    r"(?i).*(example|placeholder|changeme|xxxx|dummy|sample|abcdef|01234567|your[_-]).*",
 )
+#: A piece between marks that holds one of these is cut out of its candidate; what stands beside it is judged.
+PLACEHOLDER = r"(?i:example|placeholder|changeme|xxxx|dummy|sample|abcdef|01234567|your[_-])"
+BESIDE = rf"((?:(?<![0-9A-Za-z])(?![0-9A-Za-z]*{PLACEHOLDER})[0-9A-Za-z]++|[-_/+=]++)++)"
 ALLOWED = r"\A(?:" + "|".join(ALLOW) + r")\z"
 
 
@@ -112,6 +115,9 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     out = out.withColumn("__known", F.transform(known, lambda x: F.struct(x["at"].alias("at"), x["to"].alias("to"))))
     for c in CLASSES:
         inside = lambda x: F.exists(F.col("__known"), lambda b: (b["at"] <= x["at"]) & (b["to"] >= x["to"]))  # noqa: E731, B023
+        # once for each candidate; those without a placeholder stay as they are
+        beside = lambda x: F.when(x["found"].rlike(PLACEHOLDER), F.transform(_matches(x["found"], BESIDE, 1, c.window), lambda y: F.struct((x["at"] + y["at"]).alias("at"), (x["at"] + y["to"]).alias("to"), y["found"].alias("found")))).otherwise(F.array(x))  # noqa: E731, B023
+        out = out.withColumn(f"__{c.kind}", F.when(F.exists(F.col(f"__{c.kind}"), lambda x: x["found"].rlike(PLACEHOLDER)), F.flatten(F.transform(F.col(f"__{c.kind}"), beside))).otherwise(F.col(f"__{c.kind}")))
         open_ = F.filter(F.col(f"__{c.kind}"), lambda x: ~x["found"].rlike(ALLOWED) & ~inside(x))  # noqa: B023
         out = out.withColumn(f"__{c.kind}", F.when(F.size(f"__{c.kind}") > 0, open_).otherwise(F.col(f"__{c.kind}")))
         hot = F.transform(F.col(f"__{c.kind}"), lambda x: F.struct(x["at"].alias("at"), _hot(x["found"], c).alias("h")))  # noqa: B023
