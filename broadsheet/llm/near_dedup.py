@@ -8,12 +8,14 @@ their similarity to the power ``sample``, and only if the order agrees.
 
 Texts with equal word sequences are one text from the start. Texts that share a
 sketch form a bucket. In each bucket the text that meets most others is compared with all
-of them. Texts of buckets that are still in several classes then lose what can't
-matter: with s labels that another of these texts has too, and n in all, a text can reach
-no similarity above s / n, and two texts none above k / (n1 + n2 - k) with k the lesser s.
-Growing sets of leaders are compared with the members of other classes within that
-bound, until every pair of a bucket is linked, joined through others, compared or ruled
-out. A pair is linked if its alignment m, the longest common subsequence of labels within the band that the
+of them. Texts of buckets that are still in several classes are then ordered by
+rare labels: their labels stand in one order, those that the fewest of these texts have first, and two texts
+that are similar enough have one of their first labels in common (a fifth of all at most, the less the
+nearer their sizes are). Texts that share such a label and a sketch are
+compared: growing sets of leaders of each label with the members of other classes,
+until every such pair is linked, joined through others, compared or ruled
+out. A crowd of texts that differ from a common original, each in its own way, so
+makes few pairs, because its members' rarest labels are their own. A pair is linked if its alignment m, the longest common subsequence of labels within the band that the
 threshold leaves, gives m / (n1 + n2 - m) >= ``threshold``. Classes are the
 connected components, found by distributed label propagation.
 
@@ -32,12 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .cluster import ship, written
-from .substring_dedup import repeated_places
 
 
 @dataclass(frozen=True)
@@ -48,13 +49,13 @@ class Dedup:
     sample: int = 6
     survivors: int = 30
     widen: int = 16
+    size_step: float = 1.05
 
 
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 1 << 64, 1024, np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
 _LABEL = np.uint64(0xA24BAED4963EE407)
-_RANGE_LABELS = 500_000
 
 
 def labels(tokens: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,20 +230,48 @@ def _mixed(own: DataFrame) -> DataFrame:
     return own.join(several, "key", "left_semi")
 
 
-def _shared_labels(tokens: DataFrame, how: Dedup) -> DataFrame:
-    """(row, size, shared) of texts: labels, and those that another of the texts has too. Hashes travel in packed ranges, one record for each task and hash."""
+def _label_lists(how: Dedup):
+    @F.arrow_udf("array<bigint>")
+    def lists(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for tokens in column:
+            yield pa.array([_labels_of(t, how).view(np.int64) for t in tokens.to_pylist()], pa.list_(pa.int64()))
 
-    def produce(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            code = _labels_of(t, how)
-            yield code, np.full(len(code), row, np.int64), np.arange(len(code), dtype=np.int32)
+    return lists
 
-    size = tokens.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()[0]
-    parts = max(8, size // (4 * _RANGE_LABELS))
-    places = repeated_places(tokens, produce, parts, 4 * _RANGE_LABELS, "near-shared")
+
+def _needed(size: Column, other: Column, how: Dedup) -> Column:
+    """Labels that two texts of these sizes must have in common."""
+    return F.ceil(F.lit(how.threshold / (1 + how.threshold)) * (size + other) - F.lit(1e-9))
+
+
+def _n_labels(how: Dedup) -> Column:
     n = F.floor(F.octet_length("tokens") / 4)
-    labels_ = F.when(n == 0, 0).otherwise(F.greatest(n - (how.shingle - 1), F.lit(1)))
-    return tokens.join(places, "row", "left").select("row", labels_.alias("size"), F.coalesce(F.floor(F.octet_length("places") / 4), F.lit(0)).alias("shared"))
+    return F.when(n == 0, 0).otherwise(F.greatest(n - (how.shingle - 1), F.lit(1)))
+
+
+def prefix_members(open_: DataFrame, how: Dedup) -> DataFrame:
+    """(key, row, pos, side, n, size, shared): the texts under each of their rarest labels; keys of one class are left out.
+
+    ``open_`` has row, comp and tokens. All labels stand in one order, rare ones first. Of
+    two texts that have ``need`` labels in common, the first common label in this order stands at most
+    at place size - need + 1 of each. A text is put under a label once for each class of partner
+    sizes for which the label still stands that early; a key is a label and the two size classes, ``side`` says which is the text's.
+    """
+    named = open_.select("row", "comp", F.explode(_label_lists(how)("tokens")).alias("label"), _n_labels(how).alias("size"))
+    shared = named.groupBy("label").count().filter("count > 1")
+    own = Window.partitionBy("row")
+    # labels that no other text has come first; they need no record
+    ranked = named.join(shared, "label").withColumn("shared", F.count(F.lit(1)).over(own)).withColumn("pos", F.col("size") - F.col("shared") + F.row_number().over(own.orderBy("count", "label")))
+    size, t = F.col("size"), how.threshold
+    least = F.ceil(size * t - 1e-9)
+    most = F.least(F.floor(size / t + 1e-9), F.floor((size - F.col("pos") + 1) * ((1 + t) / t) - size + 1e-9))
+    of = lambda n: F.floor(F.log(n) / F.lit(np.log(how.size_step)))
+    early = ranked.filter((F.col("shared") >= least) & (most >= least)).select("row", "comp", "label", "pos", "size", "shared", of(size).alias("mine"), F.explode(F.sequence(of(least), of(most))).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    keyed = early.select(F.xxhash64("label", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "row", "comp", "pos", side.alias("side"), "size", "shared")
+    keyed = written(keyed, "near-prefixes")
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key", "n")
+    return keyed.join(groups, "key")
 
 
 def _pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
@@ -263,35 +292,30 @@ def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
     first = members.join(degree, "row").groupBy("key").agg(F.max(F.struct("degree", "row")).alias("x")).select("key", F.col("x.row").alias("lead"))
     checked = _checked(_pairs(first, members.select("key", "row")), tokens, how)
     classes = components(checked.filter("linked"))
+    mixed = _mixed(_with_class(members.filter("n > 2"), classes)).select("row", "comp").distinct()
+    open_ = written(tokens.join(mixed, "row").join(texts, "row").select("row", "comp", "tokens", F.transform("bands", lambda h: h.bitwiseAND(F.lit(0x7FFF)).cast("smallint")).alias("bands")), "near-open")
+    members = written(prefix_members(open_, how).join(open_.select("row", "bands"), "row").withColumn("prio", F.xxhash64("row")), "near-prefixes")
     largest = members.agg(F.max("n")).first()[0] or 0
-    if largest <= 2:
-        return classes
-    open_ = written(_mixed(_with_class(members.filter("n > 2"), classes)), "near-open")
-    able = _shared_labels(written(tokens.join(open_.select("row").distinct(), "row", "left_semi"), "near-open-tokens"), how).filter(F.col("shared") >= how.threshold * F.col("size") - 1e-9)
-    bands = texts.join(able, "row").select("row", "size", "shared", "bands")
-    members = written(open_.join(bands, "row").withColumn("prio", F.xxhash64("row")), "near-able")
-    compared, share = 2, how.widen  # in a bucket of up to ``compared`` texts every pair has been looked at
+    compared, share = 1, how.widen  # under a key of up to ``compared`` texts every pair has been looked at
     while compared < largest:
-        open_ = written(_mixed(members.filter(F.col("n") > compared)), "near-open")
-        if open_.isEmpty():
-            break
         # a leader's priority, as a fraction of the range, is below share / n
         chance = (F.col("prio").cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.col("n")
-        lead = open_.filter(chance < share).select("key", *[F.col(c).alias(f"l_{c}") for c in ("row", "comp", "prio", "size", "shared", "bands")])
-        most = F.least("shared", "l_shared")
-        able_ = most >= how.threshold * (F.col("size") + F.col("l_size") - most) - 1e-9
-        # a pair is made in the first of its common buckets only
-        here = F.array_position(F.zip_with("bands", "l_bands", lambda x, y: x == y), F.lit(True)) == F.col("f") + 1
-        both = open_.join(lead, "key").filter((F.col("l_comp") != F.col("comp")) & (F.col("l_prio") < F.col("prio")) & able_ & here)
-        pairs = both.select(F.least("l_row", "row").alias("a"), F.greatest("l_row", "row").alias("b")).distinct()
-        new = _checked(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), tokens, how)
+        lead = members.filter(chance < share).select("key", *[F.col(c).alias(f"l_{c}") for c in ("row", "comp", "prio", "pos", "side", "size", "shared", "bands")])
+        need = _needed(F.col("size"), F.col("l_size"), how)
+        early = (F.col("pos") <= F.col("size") - need + 1) & (F.col("l_pos") <= F.col("l_size") - need + 1) & (F.least("shared", "l_shared") >= need)
+        apart = (F.col("l_comp") != F.col("comp")) & (F.col("l_prio") < F.col("prio")) & ((F.col("side") == 2) | (F.col("l_side") != F.col("side")))
+        meet = F.exists(F.zip_with("bands", "l_bands", lambda x, y: x == y), lambda same: same)
+        pairs = members.join(lead, "key").filter(apart & early & meet).select(F.least("l_row", "row").alias("a"), F.greatest("l_row", "row").alias("b")).distinct()
+        new = _checked(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), open_, how)
         checked = checked.union(new)
         links = new.filter("linked")
-        members = open_  # a bucket in one class stays in one
+        compared, share = share, share * how.widen
+        if compared >= largest:
+            return classes if links.isEmpty() else joined_classes(classes, links)
         if not links.isEmpty():
             classes = joined_classes(classes, links)
-            members = _with_class(open_.drop("comp"), classes)
-        compared, share = share, share * how.widen
+        members = written(_mixed(_with_class(members.filter(F.col("n") > compared).drop("comp"), classes)), "near-prefixes")
+        largest = members.agg(F.max("n")).first()[0] or 0
     return classes
 
 
