@@ -55,6 +55,7 @@ class Dedup:
 _rng = np.random.default_rng(20240611)
 _XOR = _rng.integers(0, 1 << 64, 1024, np.uint64)
 _MULTIPLY = _rng.integers(0, 1 << 64, 1024, np.uint64) | np.uint64(1)
+_PLACE = _rng.integers(0, 1 << 64, 1024, np.uint64)
 _LABEL = np.uint64(0xA24BAED4963EE407)
 
 
@@ -65,8 +66,7 @@ def labels(tokens: np.ndarray, ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.
     code = words.windows(tokens, k)[inside] if len(inside) else np.zeros(0, np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
-        weight = words.powers(words._WORD_BASE, k + 1)[0]
-        whole = np.array([words.mix(np.sum(tokens[ptr[r] : ptr[r + 1]] * weight[1 : counts[r] + 1], keepdims=True, dtype=np.uint64) + np.uint64(counts[r]))[0] for r in short], np.uint64)
+        whole = np.array([words.windows(tokens[ptr[r] : ptr[r + 1]], int(counts[r]))[0] for r in short], np.uint64)
         code = np.insert(code, to[short], whole)
         to = to + np.concatenate(([0], np.cumsum(np.isin(np.arange(len(counts)), short))))
     row = np.repeat(np.arange(len(counts)), np.diff(to))
@@ -97,7 +97,6 @@ def order_sketches(code: np.ndarray, to: np.ndarray, how: Dedup) -> np.ndarray:
     limit = np.where(part >= 1, np.uint64(0xFFFFFFFFFFFFFFFF), (np.minimum(part, 0.999) * 2.0**64).astype(np.uint64))
     limits = np.repeat(limit, n)
     need = np.minimum(n, how.sample)
-    position = words.powers(words._WORD_BASE, how.sample + 1)[0]
     for f in range(how.sketches):
         h = (code ^ _XOR[f]) * _MULTIPLY[f]
         low = h <= limits
@@ -112,7 +111,7 @@ def order_sketches(code: np.ndarray, to: np.ndarray, how: Dedup) -> np.ndarray:
         r = row[kept]
         first = np.searchsorted(r, filled)
         nth = np.arange(len(kept)) - np.repeat(first, need[filled])
-        out[filled, f] = words.mix(np.add.reduceat(code[kept] * position[nth + 1], first) + _XOR[f])
+        out[filled, f] = words.mix(np.add.reduceat(words.mix(code[kept] ^ _PLACE[nth]), first) + _XOR[f])
     return out
 
 

@@ -181,10 +181,7 @@ class UnitCounter:
         begin[1:] |= (space[1:] & ~space[:-1]) | lone[1:] | lone[:-1]
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(data))
-        p, q = words.powers(words._BYTE_BASE, len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
-        h = words.mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64)) | np.uint64(1)
+        h = words.span_hashes(data, starts, ends) | np.uint64(1)
         slot = (h >> np.uint64(20)) & self.mask
         count = self.values[slot].astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)

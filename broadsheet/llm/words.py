@@ -19,10 +19,12 @@ _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
+_CHUNK = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD1342543DE82EF95)
+_LATER = np.uint64(0xA0761D6478BD642F)
 _BLOCK_BYTES = 1 << 19
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -35,20 +37,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 2 * len(have[0]) if have else 1 << 16)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _powers[base] = (out[0], out[1])
-    return have[0][:n], have[1][:n]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n + 1 offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -66,6 +54,25 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offs
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes. Its pieces of eight bytes are mixed one by one, each with its place in the span."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each position on
+    length = end - start
+    h = mix((eight[start] & _FIRST[np.minimum(length, 8)]) ^ (length.astype(np.uint64) * _LENGTH + np.uint64(seed)))
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8
+        nth = spread(np.ones(len(long), np.int64), more)
+        at = np.repeat(start[long], more) + 8 * nth
+        left = np.minimum(np.repeat(end[long], more) - at, 8)
+        piece = mix((eight[at] & _FIRST[left]) ^ mix(nth.astype(np.uint64) * _CHUNK + np.uint64(seed)))
+        h[long] = mix(h[long] + np.add.reduceat(piece, np.cumsum(more) - more))
+    return h
+
+
 class Block:
     """The words of some consecutive rows: word i of the block has bytes start[i] to end[i]; row r holds words ptr[r] to ptr[r + 1]."""
 
@@ -97,14 +104,9 @@ class Block:
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.bytes)
-        p, q = powers(_BYTE_BASE, n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        h = (total[self.end] - total[self.start]) * q[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(_WORD_BASE))
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; another seed gives a second, independent one."""
+        return span_hashes(self.bytes, self.start, self.end, seed)
 
 
 def blocks(column: pa.Array, lower: bool = False, limit: int = _BLOCK_BYTES) -> Iterator[Block]:
@@ -118,15 +120,29 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = _BLOCK_BYTES) ->
         at = to
 
 
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two neighbouring runs."""
+    return mix(a * _CHUNK + (b ^ (b >> np.uint64(29))) * _LATER)
+
+
 def windows(words: np.ndarray, k: int) -> np.ndarray:
-    """The hash of each run of k words; run i starts at word i. The caller drops runs that cross rows."""
+    """The hash of each run of k words; run i starts at word i. The caller drops runs that cross rows.
+
+    Runs of 1, 2, 4, ... words are joined in pairs, and k is put together from these: every join mixes, so no
+    pattern of words cancels out as it does in a polynomial modulo 2**64.
+    """
     n = len(words)
     if n < k:
         return np.zeros(0, np.uint64)
-    p, q = powers(_WORD_BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * p[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * q[: n - k + 1])
+    power, size, out, have = words, 1, None, 0
+    while True:
+        if k & size:
+            out = power[: n - size + 1] if out is None else joined(out[: n - have - size + 1], power[have : n - size + 1])
+            have += size
+        if have == k:
+            return mix(out ^ np.uint64(k))
+        power = joined(power[: n - 2 * size + 1], power[size : n - size + 1])
+        size *= 2
 
 
 def starts_within(ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,27 @@ def test_words_and_hashes(texts, limit):
     assert len(set(hashes.values())) == len(hashes)
 
 
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+
+
+def test_patterns_do_not_cancel_out():
+    # a word of Thue-Morse letters and its complement have equal polynomials modulo 2**64 from 1,024 letters on
+    texts = [thue_morse(n, flip) for n in (9, 1024, 2048, 4096) for flip in (False, True)]
+    h = next(words.blocks(pa.array([" ".join(texts)]))).hashes()
+    assert len(set(h.tolist())) == len(texts)
+    runs = [np.array([3 if c == "a" else 7 for c in thue_morse(4096, flip)], np.uint64) for flip in (False, True)]
+    assert words.windows(runs[0], 4096)[0] != words.windows(runs[1], 4096)[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 40))
+def test_equal_windows_are_equal_runs(values, k):
+    h = words.windows(words.mix(np.array(values, np.uint64)), k)
+    runs = [tuple(values[i : i + k]) for i in range(len(values) - k + 1)]
+    assert len(h) == len(runs) and len(set(zip(h.tolist(), runs, strict=True))) == len(set(h.tolist())) == len(set(runs))
+
+
 def test_windows_agree_wherever_they_stand():
     one = words.windows(np.arange(50, dtype=np.uint64), 7)
     two = words.windows(np.arange(20, 90, dtype=np.uint64), 7)
