@@ -59,4 +59,4 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_ordinal_quality, op2_line_rules, op2_cleaned_text, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_secret_scan, op8_lm_score, op9_token_counts, op10_hash_tree)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op2_line_rules": line_rules.oracle(), "op3_mix_sources": mixing.oracle(), "op6_decontaminate": decontamination.oracle(), "op10_hash_tree": sharding.oracle()}
+ORACLES = {"op2_line_rules": line_rules.oracle(), "op3_mix_sources": mixing.oracle(), "op4_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": decontamination.oracle(), "op10_hash_tree": sharding.oracle()}

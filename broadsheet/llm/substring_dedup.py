@@ -7,7 +7,7 @@ j + d into the cover, so two equal windows always share an anchor at the same sh
 
 1. Anchors whose hash occurs twice anywhere are found.
 2. From each of them the windows that reach over it are extended to full length
-   and hashed; those whose hash occurs twice are repeats.
+   and hashed to 128 bits from two independent hashes of each word; those that occur twice are repeats.
 3. Every word under a repeated window is removed.
 
 Hashes travel in packed arrays, one for each task and hash range. A hash that a task sees
@@ -81,6 +81,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
 _SCHEMA = "part int, kind int, data binary"
 _FIELDS = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 _HASHES, _MARKS = 0, 1
+_SECOND = 0x8EBC6AF09C88C6E3
 
 
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -99,20 +100,29 @@ def _marks(row: np.ndarray, at: np.ndarray, parts: int) -> list[tuple[int, int,
     return _split(part[order], _MARKS, row[order], at[order])
 
 
-def _sent(h: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
-    """Hashes seen once with their place, hashes seen more often once and without one (row -1), and the places of the latter as marks."""
+def _in_order(h: np.ndarray, check: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Arrays ordered by (h, check), and whether each entry is equal to the next."""
     order = np.argsort(h)
-    h, row, at = h[order], row[order], at[order]
-    again = np.concatenate((h[1:] == h[:-1], [False]))
+    tie = h[order][1:] == h[order][:-1]
+    if (tie & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, h))
+    h, check = h[order], check[order]
+    again = np.concatenate(((h[1:] == h[:-1]) & (check[1:] == check[:-1]), [False]))
+    return h, check, *[x[order] for x in others], again
+
+
+def _sent(h: np.ndarray, check: np.ndarray, row: np.ndarray, at: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Hashes seen once with their place, hashes seen more often once and without one (row -1), and the places of the latter as marks."""
+    h, check, row, at, again = _in_order(h, check, row, at)
     many = again | np.concatenate(([False], again[:-1]))
     first = ~np.concatenate(([False], again[:-1]))
     part = ((h[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    return _split(part, _HASHES, h[first], np.where(many, -1, row)[first], at[first]) + _marks(row[many], at[many], parts)
+    return _split(part, _HASHES, h[first], check[first], np.where(many, -1, row)[first], at[first]) + _marks(row[many], at[many], parts)
 
 
-def _hashed(produce: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], parts: int, flush: int):
+def _hashed(produce: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]], parts: int, flush: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
             for found in produce(batch):
@@ -135,10 +145,7 @@ def _repeated(parts: int):
         marks = [tuple(unpack(d)) for k, d in rows if k == _MARKS]
         groups = [tuple(unpack(d)) for k, d in rows if k == _HASHES]
         if groups:
-            h, row, at = map(np.concatenate, zip(*groups, strict=True))
-            order = np.argsort(h)
-            h, row, at = h[order], row[order], at[order]
-            again = np.concatenate((h[1:] == h[:-1], [False]))
+            _, _, row, at, again = _in_order(*map(np.concatenate, zip(*groups, strict=True)))
             hit = (again | np.concatenate(([False], again[:-1]))) & (row >= 0)
             marks.append((row[hit], at[hit]))
         if not marks:
@@ -162,7 +169,7 @@ def _by_row(table: pa.Table) -> pa.Table:
 
 
 def repeated_places(source: DataFrame, produce, parts: int, flush: int, tag: str) -> DataFrame:
-    """(row, places) of the hashes that occur twice; ``produce`` maps a batch to hashes, rows and places."""
+    """(row, places) of the hashes that occur twice; ``produce`` maps a batch to hashes, second hashes, rows and places."""
     sent = source.mapInArrow(_hashed(produce, parts, flush), _SCHEMA)
     found = sent.groupBy("part").applyInArrow(_repeated(parts), _SCHEMA)
     return written(found.groupBy("part").applyInArrow(_by_row, "row long, places binary"), tag)
@@ -178,13 +185,14 @@ def _anchors(how: Repeats):
     cover = np.zeros(how.period, bool)
     cover[list(how.cover)] = True
 
-    def produce(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def produce(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for block, row, _ in _ranges(batch, 1):
             inside, to = words.starts_within(block.ptr, how.anchor)
             of = np.repeat(np.arange(block.rows), np.diff(to))
             at = inside - block.ptr[of]
             use = cover[at % how.period] & (block.counts[of] >= how.window)
-            yield words.windows(block.hashes(), how.anchor)[inside[use]], row[of[use]], at[use].astype(np.int32)
+            # an anchor only proposes windows: it needs no second hash
+            yield words.windows(block.hashes(), how.anchor)[inside[use]], np.zeros(int(use.sum()), np.uint8), row[of[use]], at[use].astype(np.int32)
 
     return produce
 
@@ -203,7 +211,7 @@ def _flat_places(places: pa.Array, block: words.Block, here: slice) -> tuple[np.
 
 
 def _extended(how: Repeats):
-    def produce(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def produce(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for block, row, here in _ranges(batch, 1):
             anchor, of = _flat_places(batch.column(2), block, here)
             first = np.maximum(anchor - (how.period - 1), block.ptr[of])
@@ -211,8 +219,8 @@ def _extended(how: Repeats):
             use = last > first
             start = np.flatnonzero(_covered(len(block.start), first[use], last[use]))
             mine = np.searchsorted(block.ptr, start, "right") - 1
-            h = words.windows(block.hashes(), how.window)
-            yield h[start] if len(start) else np.zeros(0, np.uint64), row[mine], (start - block.ptr[mine]).astype(np.int32)
+            one, two = (words.windows(block.hashes(seed), how.window)[start] if len(start) else np.zeros(0, np.uint64) for seed in (0, _SECOND))
+            yield one, two, row[mine], (start - block.ptr[mine]).astype(np.int32)
 
     return produce
 
@@ -230,6 +238,19 @@ def kept_words(block: words.Block, gone: np.ndarray) -> list[bytes]:
     return [data[a : max(a, b - 1)] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
 
 
+def oracle(how: Repeats = Repeats()) -> str:
+    """DuckDB: windows as joined words, counted over all documents."""
+    k = how.window
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k}),
+g AS (SELECT s.r, i, sha256(array_to_string(w[i:i + {k - 1}], ' ')) AS g FROM s JOIN d USING (r)),
+twice AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {k})) AS p FROM g SEMI JOIN twice USING (g)),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+
+
 def remove_repeats(docs: DataFrame, how: Repeats = Repeats(), texts: bool = False, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for every row; with ``texts`` also kept_text."""
     spark = docs.sparkSession
