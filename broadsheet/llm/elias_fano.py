@@ -15,8 +15,10 @@ from collections.abc import Mapping
 
 import numpy as np
 
-_ONE = np.uint64(1)
-_EVERY = 64
+_U = np.arange(256, dtype=np.uint64)
+_FIVES, _THREES, _NIBBLES, _EACH, _TOPS = (np.uint64(b * 0x0101010101010101) for b in (0x55, 0x33, 0x0F, 0x01, 0x80))
+#: Place of set bit number i of a byte, at byte * 8 + i.
+_NTH = np.array([(bits + [0] * 8)[i] for byte in range(256) for bits in [[b for b in range(8) if byte >> b & 1]] for i in range(8)], np.uint64)
 
 
 def local_path(uri: str) -> str | None:
@@ -86,40 +88,41 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     bits[n + zeros :] = 1  # behind the last zero
     upper = np.packbits(bits, bitorder="little").view(np.uint64)
     before = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))))
-    hint = np.searchsorted(before, np.arange(0, zeros, _EVERY), "right") - 1
     low = (values & np.uint64((1 << low_bits) - 1)).astype(_low_kind(low_bits)) if low_bits else np.zeros(0, np.uint8)
     kind = np.uint32 if n + zeros < 1 << 31 else np.int64
-    return {"meta": np.array([n, low_bits, zeros], np.int64), "upper": upper, "before": before.astype(kind), "hint": hint.astype(kind), "low": low}
+    return {"meta": np.array([n, low_bits, zeros], np.int64), "upper": upper, "before": before.astype(kind), "low": low}
 
 
 class EliasFano:
     def __init__(self, arrays: Mapping[str, np.ndarray]):
         self.n, self.low_bits, self.zeros = (int(x) for x in arrays["meta"])
-        self.upper, self.before, self.hint, self.low = arrays["upper"], arrays["before"], arrays["hint"], arrays["low"]
+        self.upper, self.before, self.low = arrays["upper"], arrays["before"], arrays["low"]
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Bit position of zero number k."""
-        word = self.hint[k // _EVERY].astype(np.int64)
-        late = np.flatnonzero(self.before[word + 1] <= k)
-        while len(late):
-            word[late] += 1
-            late = late[self.before[word[late] + 1] <= k[late]]
-        left = k - self.before[word].astype(np.int64)
-        x, at = ~self.upper[word], np.zeros(len(k), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(x & np.uint64((1 << step) - 1)).astype(np.int64)
-            go = left >= count
-            left -= np.where(go, count, 0)
-            x = np.where(go, x >> np.uint64(step), x)
-            at += np.where(go, step, 0)
-        return word * 64 + at
+        word = np.searchsorted(self.before, k.astype(self.before.dtype), "right") - 1
+        left = (k - self.before[word]).astype(np.uint64)
+        x = ~self.upper[word]
+        # counts of set bits up to each byte, side by side in one word
+        upto = x - ((x >> _U[1]) & _FIVES)
+        upto = (upto & _THREES) + ((upto >> _U[2]) & _THREES)
+        upto = ((upto + (upto >> _U[4])) & _NIBBLES) * _EACH
+        byte = np.bitwise_count((left * _EACH | _TOPS) - upto & _TOPS).astype(np.uint64) * _U[8]
+        left -= (upto << _U[8]) >> byte & _U[255]
+        return word * 64 + (byte + _NTH[(x >> byte & _U[255]) << _U[3] | left]).astype(np.int64)
 
     def bounds(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First entry of a high part, and the first after it: two pointers."""
-        both = self._select0(np.concatenate((np.maximum(high - 1, 0), high)))
-        first, last = both[: len(high)] - (high - 1), both[len(high) :] - high
-        first[high == 0] = 0
-        return first, last
+        """First entry of each high part, which ascend, and the first after it: two pointers."""
+        new = np.concatenate(([True], high[1:] != high[:-1]))
+        part = high[new]
+        at = np.cumsum(new) - 1
+        last = self._select0(part) - part
+        follows = np.concatenate(([False], part[1:] == part[:-1] + 1))
+        first = np.empty_like(last)
+        first[1:][follows[1:]] = last[:-1][follows[1:]]
+        jump = np.flatnonzero(~follows)
+        first[jump] = np.where(part[jump] > 0, self._select0(np.maximum(part[jump] - 1, 0)) - (part[jump] - 1), 0)
+        return first[at], last[at]
 
     def _narrow(self, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The first entry of each range [first, last) whose low part isn't below that of the value."""
@@ -138,7 +141,7 @@ class EliasFano:
         return first
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it isn't there."""
+        """Index of each value, -1 where it isn't there. The values ascend."""
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         inside = np.flatnonzero(high < self.zeros)
         out = np.full(len(values), -1, np.int64)

@@ -12,7 +12,7 @@ discounted probability and each context its weight for the shorter context, both
     p(w | context) = max(count - discount, 0) / count(context) + weight(context) * p(w | shorter context)
 
 and p(w) = (count + 1) / (N + V + 1). Levels are files in the shared folder, one
-for each range of contexts, which the workers map into memory; only totals by range reach the driver.
+for each range of contexts, which the workers map into memory; two totals by range reach the driver.
 
 Words are those of the lower-cased (A-Z) text and one end token for each text.
 Null text is empty: one end token. A null doc_id counts as the empty string in
@@ -45,8 +45,8 @@ class Lm:
     folds: int = 7
     held_fold: int = 2
     flush: int = 3_000_000
-    range_tokens: int = 6_000_000
-    block_bytes: int = 1 << 21
+    range_tokens: int = 12_000_000
+    block_bytes: int = 1 << 22
 
 
 _END = np.uint64(0x9FB21C651E98DF25)
@@ -61,24 +61,25 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Range:
-    """Part of a level: a file, its nodes, the sum of its counts."""
+class Level:
+    """A folder with a file for each range and a manifest (nodes and counts by range); the sums of both."""
 
-    path: str
-    n: int
+    folder: str
+    parts: int
+    nodes: int
     total: int
 
 
 class Trie:
     """The levels that exist so far. ``find`` takes any number of keys at once."""
 
-    def __init__(self, ranges: list[list[Range]], how: Lm):
+    def __init__(self, levels: list[Level], how: Lm):
         self.how = how
-        self.levels = [[read_arrays(r.path) for r in level] for level in ranges]
+        self.levels = [[read_arrays(f"{x.folder}/{part:06d}") for part in range(x.parts)] for x in levels]
         self.search = [[EliasFano(a) for a in level] for level in self.levels]
-        self.first = [np.concatenate(([0], np.cumsum([r.n for r in level]))).astype(np.int64) for level in ranges]
-        self.total = sum(r.total for r in ranges[0]) if ranges else 0
-        self.size = int(self.first[0][-1]) if ranges else 0
+        self.first = [np.concatenate(([0], np.cumsum(read_arrays(f"{x.folder}/manifest")["n"]))) for x in levels]
+        self.total = levels[0].total if levels else 0
+        self.size = levels[0].nodes if levels else 0
         self.bits = (self.size + 1).bit_length()
 
     def contexts(self, level: int) -> int:
@@ -149,12 +150,12 @@ def context_range(context: np.ndarray, contexts: int, parts: int) -> np.ndarray:
 _tries: dict[tuple, Trie] = {}
 
 
-def _trie(ranges: list[list[Range]], how: Lm) -> Trie:
+def _trie(levels: list[Level], how: Lm) -> Trie:
     """One trie a worker process: its files are mapped, not read."""
-    name = tuple(r.path for level in ranges for r in level) + (how,)
+    name = (*levels, how)
     if name not in _tries:
         _tries.clear()
-        _tries[name] = Trie(ranges, how)
+        _tries[name] = Trie(levels, how)
     return _tries[name]
 
 
@@ -225,7 +226,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
-def _ranges(counted: DataFrame, parts: int, build: Callable[[int, np.ndarray, np.ndarray], tuple[dict[str, np.ndarray], int, int]], folder: str) -> list[Range]:
+def _ranges(counted: DataFrame, parts: int, build: Callable[[int, np.ndarray, np.ndarray], tuple[dict[str, np.ndarray], int, int]], folder: str) -> Level:
     """Build and write each range where its counts meet; a range without keys gets a file too."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -233,15 +234,16 @@ def _ranges(counted: DataFrame, parts: int, build: Callable[[int, np.ndarray, np
         have = table.filter(pa.compute.is_valid(table["data"]))
         k, n = _merged(have) if len(have) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         arrays, nodes, total = build(part, k, n)
-        path = f"{folder}/{part:06d}"
-        write_arrays(path, arrays)
-        return pa.table({"part": pa.array([part], pa.int32()), "path": [path], "n": pa.array([nodes], pa.int64()), "total": pa.array([total], pa.int64())})
+        write_arrays(f"{folder}/{part:06d}", arrays)
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([nodes], pa.int64()), "total": pa.array([total], pa.int64())})
 
     spark = counted.sparkSession
     every = counted.unionByName(spark.range(parts).select(F.col("id").cast("int").alias("part"), F.lit(None).cast("binary").alias("data")))
     with shuffle_cleanup(spark):
-        rows = every.groupBy("part").applyInArrow(run, "part int, path string, n long, total long").collect()
-    return [Range(r["path"], r["n"], r["total"]) for r in sorted(rows)]
+        rows = every.groupBy("part").applyInArrow(run, "part int, n long, total long").toArrow().sort_by("part")
+    n, total = rows["n"].to_numpy(), rows["total"].to_numpy()
+    write_arrays(f"{folder}/manifest", {"n": n, "total": total})
+    return Level(folder, parts, int(n.sum()), int(total.sum()))
 
 
 def _level_one(parts: int):
@@ -271,8 +273,8 @@ def held_out(how: Lm = Lm()) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(how.folds)) == how.held_fold
 
 
-def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Range]]:
-    """Ranges of the levels, learned from the documents outside the held fold."""
+def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[Level]:
+    """The levels, learned from the documents outside the held fold."""
     spark = docs.sparkSession
     ship(spark)
     folder = new_folder(spark, "trie")
@@ -281,10 +283,10 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Rang
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(4, math.ceil(size / 6 / how.range_tokens))
     counted = _count(texts, lambda block: sequences(block)[0], lambda h: hash_range(h, parts), how)
-    ranges = [_ranges(counted, parts, _level_one(parts), f"{folder}/1")]
+    made = [_ranges(counted, parts, _level_one(parts), f"{folder}/1")]
     for level in range(1, how.order):
-        so_far, n_words = list(ranges), sum(r.n for r in ranges[0])
-        contexts = n_words + 1 if level == 1 else sum(r.n for r in ranges[level - 1])
+        so_far, n_words = list(made), made[0].nodes
+        contexts = n_words + 1 if level == 1 else made[-1].nodes
         bits = (n_words + 1).bit_length()
         of_level = min(parts, max(1, contexts))
 
@@ -303,8 +305,8 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[list[Rang
         if not contexts:
             break
         counted = _count(texts, keys, range_of, how)
-        ranges.append(_ranges(counted, of_level, _level_next(level, contexts, of_level, bits, n_words, how), f"{folder}/{level + 1}"))
-    return ranges
+        made.append(_ranges(counted, of_level, _level_next(level, contexts, of_level, bits, n_words, how), f"{folder}/{level + 1}"))
+    return made
 
 
 def token_log10(trie: Trie, hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,12 +321,12 @@ def token_log10(trie: Trie, hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.nda
 
 def score_documents(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
-    ranges = train(docs, how, text)
-    total = sum(r.total for r in ranges[0])
+    levels = train(docs, how, text)
+    total = levels[0].total
 
     @F.arrow_udf("struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double>")
     def scored(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trie = _trie(ranges, how)
+        trie = _trie(levels, how)
         for texts in column:
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
             for block in words.blocks(texts, lower=True, limit=how.block_bytes):

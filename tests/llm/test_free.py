@@ -207,7 +207,7 @@ def scores_by_force(rows, how):
                 if h or i - n < 0:
                     continue
                 run = tuple(x[i - n : i + 1])
-                if n < 2 or (counts[n - 1][run[:-1]] >= how.min_count and counts[n - 1][run[1:]] >= how.min_count):
+                if n < 2 or counts[n - 1][run[:-1]] >= how.min_count:
                     counts[n][run] += 1
     total, size = sum(counts[0].values()), len(counts[0])
     sums = [Counter() for _ in range(how.order)]
