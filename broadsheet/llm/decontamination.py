@@ -7,13 +7,17 @@ the window is at most four times its size: containment ``threshold`` then means
 Jaccard similarity of at least 0.8 / 4.2, however long the document is. Each of ``functions``
 minima of each window is looked up among the items' minima of that function; one
 hit makes a candidate, missed with a chance below (1 - 0.19) ** functions. Candidates are
-verified exactly: the share of the item's shingles found anywhere in the whole document.
+verified exactly: an item is contained in a document if one window holds ``threshold`` of its
+shingles; its share is the largest of any window. Shingles that are scattered over more
+than a window don't add up. An item of one to four words is one shingle of its own
+length, found wherever its words stand in a row.
 
 Items are held in blocks of at most ``block_items`` items and ``block_bytes`` of
-text; every block meets every document. Items without text or id, or with
-under five words, have no shingle and match nothing. Null document text counts
-as empty. Repeated items count each; repeated documents keep a row each; an empty
-table on either side gives no matches; other columns are ignored.
+text, as files in the shared folder that the workers map one after the other; every
+block meets every document. Items without text, words or id match nothing. Ids may be numbers or
+text. Null document text counts as empty, texts of any length are searched whole. Repeated items count
+each; repeated documents keep a row each; an empty table on either side gives no
+matches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .cluster import ship
+from .cluster import new_folder, ship
+from .elias_fano import read_arrays, write_arrays
 
 
 @dataclass(frozen=True)
@@ -48,35 +53,60 @@ _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 @dataclass(frozen=True)
 class Items:
-    """Items of one block: ids, distinct shingles by item, and by class and function the sorted minima with their items."""
+    """Items of one block: ids, distinct shingles by item, the sorted minima with their items by class (a row a function), and short items by their number of words."""
 
-    ids: np.ndarray
+    ids: pa.Array
     shingles: np.ndarray
     ptr: np.ndarray
     need: np.ndarray
-    classes: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def index_items(ids: list[int], texts: list[str], how: Containment) -> Items:
+def index_items(ids: pa.Array, texts: pa.Array, how: Containment) -> Items:
     sets: list[np.ndarray] = []
-    for block in words.blocks(pa.array(texts, pa.string())):
+    by_length: dict[int, list[tuple[int, int]]] = {}
+    for block in words.blocks(texts):
+        h = block.hashes()
         inside, to = words.starts_within(block.ptr, how.shingle)
-        code = words.windows(block.hashes(), how.shingle)[inside] if len(inside) else np.zeros(0, np.uint64)
+        code = words.windows(h, how.shingle)[inside] if len(inside) else np.zeros(0, np.uint64)
         sets += [np.unique(code[a:b]) for a, b in zip(to[:-1], to[1:], strict=True)]
+        for r in np.flatnonzero((block.counts > 0) & (block.counts < how.shingle)).tolist():
+            n = int(block.counts[r])
+            by_length.setdefault(n, []).append((int(words.windows(h[block.ptr[r] : block.ptr[r + 1]], n)[0]), block.first + r))
     size = np.array([len(s) for s in sets], np.int64)
+    level = np.where(size > 0, np.log2(np.maximum(size, 1)).astype(np.int64), -1)
     classes = {}
-    for c in sorted({int(math.log2(n)) for n in size if n}):
-        of = [i for i, n in enumerate(size) if n and int(math.log2(n)) == c]
-        by_function = []
-        for f in range(how.functions):
-            least = np.array([((sets[i] ^ _XOR[f]) * _MULTIPLY[f]).min() for i in of], np.uint64)
-            order = np.argsort(least)
-            gate = np.zeros(1 << 16, bool)
-            gate[(least & np.uint64(0xFFFF)).astype(np.int64)] = True
-            by_function.append((least[order], np.array(of)[order], gate))
-        classes[c] = by_function
+    for c in sorted(set(level[level >= 0].tolist())):
+        of = np.flatnonzero(level == c)
+        least = np.array([[((sets[i] ^ _XOR[f]) * _MULTIPLY[f]).min() for i in of] for f in range(how.functions)], np.uint64)
+        order = np.argsort(least, axis=1)
+        gate = np.zeros((how.functions, 1 << 16), bool)
+        np.put_along_axis(gate, (least & np.uint64(0xFFFF)).astype(np.int64), True, axis=1)
+        classes[c] = np.take_along_axis(least, order, 1), of[order], gate
+    short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for n, x in by_length.items()}
     need = np.ceil(how.threshold * size - 1e-9).astype(np.int64)
-    return Items(np.array(ids, np.int64), np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(size))), need, classes)
+    return Items(ids, np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(size))), need, classes, short)
+
+
+def write_items(path: str, items: Items) -> None:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", items.ids.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([items.ids], ["id"]))
+    arrays = {"ids": np.frombuffer(sink.getvalue(), np.uint8), "shingles": items.shingles, "ptr": items.ptr, "need": items.need}
+    for c, parts in items.classes.items():
+        arrays |= {f"class {c} {name}": a.reshape(-1) for name, a in zip(("least", "item", "gate"), parts, strict=True)}
+    for n, parts in items.short.items():
+        arrays |= {f"short {n} {name}": a for name, a in zip(("hash", "item"), parts, strict=True)}
+    write_arrays(path, arrays)
+
+
+def read_items(path: str, how: Containment) -> Items:
+    a = read_arrays(path)
+    numbers = lambda kind: sorted({int(name.split()[1]) for name in a if name.startswith(kind)})
+    classes = {c: tuple(a[f"class {c} {name}"].reshape(how.functions, -1) for name in ("least", "item", "gate")) for c in numbers("class")}
+    short = {n: (a[f"short {n} hash"], a[f"short {n} item"]) for n in numbers("short")}
+    return Items(pa.ipc.open_stream(a["ids"].tobytes()).read_all()["id"].combine_chunks(), a["shingles"], a["ptr"], a["need"], classes, short)
 
 
 def _cells(to: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,76 +117,108 @@ def _cells(to: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return to[row] + nth * size, row
 
 
-def candidates(code: np.ndarray, to: np.ndarray, items: Items, how: Containment) -> tuple[np.ndarray, np.ndarray]:
-    """(row, item) pairs with a common minimum in a window; code[to[r]:to[r+1]] are the shingles of row r."""
-    if not len(code) or not items.classes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = []
+def _equal(wanted: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in values, in the sorted wanted) of all equal entries."""
+    left, right = np.searchsorted(wanted, values, "left"), np.searchsorted(wanted, values, "right")
+    some = np.flatnonzero(right > left)
+    n = (right - left)[some]
+    return np.repeat(some, n), words.spread(left[some], n)
+
+
+def candidates(code: np.ndarray, to: np.ndarray, items: Items, how: Containment) -> Iterator[tuple[int, int, int, int]]:
+    """(row, first, last, item) of windows code[first:last] that have a minimum in common with an item; code[to[r]:to[r+1]] are the shingles of row r."""
+    if not len(code):
+        return
     levels = {c: _cells(to, 2 << c) for c in items.classes}
+    found: dict[int, list[np.ndarray]] = {c: [] for c in items.classes}
+    n_items = len(items.ids)
     for f in range(how.functions):
         h = (code ^ _XOR[f]) * _MULTIPLY[f]
-        for c, by_function in items.classes.items():
+        for c, (least, item, gate) in items.classes.items():
             start, row = levels[c]
             low = np.minimum.reduceat(h, start)
             window = low.copy()
-            joint = row[1:] == row[:-1]
-            window[:-1] = np.where(joint, np.minimum(low[:-1], low[1:]), low[:-1])
-            least, item, gate = by_function[f]
-            hit = np.flatnonzero(gate[(window & np.uint64(0xFFFF)).astype(np.int64)])
-            left, right = np.searchsorted(least, window[hit], "left"), np.searchsorted(least, window[hit], "right")
-            some = right > left
-            if some.any():
-                n = (right - left)[some]
-                found.append(np.repeat(row[hit[some]], n) * len(items.ids) + item[words.spread(left[some], n)])
-    pair = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
-    return pair // max(1, len(items.ids)), pair % max(1, len(items.ids))
-
-
-def contained(block: words.Block, items: Items, how: Containment) -> list[list[tuple[int, float]]]:
+            window[:-1] = np.where(row[1:] == row[:-1], np.minimum(low[:-1], low[1:]), low[:-1])
+            hit = np.flatnonzero(gate[f][(window & np.uint64(0xFFFF)).astype(np.int64)])
+            of, at = _equal(least[f], window[hit])
+            if len(of):
+                found[c].append(hit[of] * n_items + item[f][at])
+    for c, keys in found.items():
+        if keys:
+            start, row = levels[c]
+            for key in np.unique(np.concatenate(keys)).tolist():
+                w, i = divmod(key, n_items)
+                yield int(row[w]), int(start[w]), int(min(start[w] + (4 << c), to[row[w] + 1])), i
+
+
+def contained(block: words.Block, items: Items, how: Containment) -> list[dict[int, float]]:
     """For each row the items that it contains, with the exact share of their shingles."""
+    hashes = block.hashes()
     inside, to = words.starts_within(block.ptr, how.shingle)
-    code = words.windows(block.hashes(), how.shingle)[inside] if len(inside) else np.zeros(0, np.uint64)
-    out: list[list[tuple[int, float]]] = [[] for _ in range(block.rows)]
-    rows, found = candidates(code, to, items, how)
-    last, own = -1, code
-    for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-        if r != last:
-            last, own = r, np.unique(code[to[r] : to[r + 1]])
+    code = words.windows(hashes, how.shingle)[inside] if len(inside) else np.zeros(0, np.uint64)
+    out: list[dict[int, float]] = [{} for _ in range(block.rows)]
+    last, own = None, code
+    for r, a, b, i in candidates(code, to, items, how):
+        if (a, b) != last:
+            last, own = (a, b), np.unique(code[a:b])
         want = items.shingles[items.ptr[i] : items.ptr[i + 1]]
         hits = int((own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want).sum())
         if hits >= items.need[i]:
-            out[r].append((int(items.ids[i]), hits / len(want)))
+            out[r][i] = max(out[r].get(i, 0.0), hits / len(want))
+    for n, (wanted, item) in items.short.items():
+        inside, to = words.starts_within(block.ptr, n)
+        if len(inside):
+            of, at = _equal(wanted, words.windows(hashes, n)[inside])
+            for r, i in zip((np.searchsorted(to, of, "right") - 1).tolist(), item[at].tolist(), strict=True):
+                out[r][i] = 1.0
     return out
 
 
-def _item_blocks(benchmark: DataFrame, how: Containment) -> Iterator[Items]:
+def _item_files(benchmark: DataFrame, how: Containment) -> list[str]:
+    """One index file for each block of items; the driver holds one block at a time."""
     usable = benchmark.filter("item_id is not null and text is not null").select("item_id", "text")
     n, size = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, math.ceil(n / how.block_items), math.ceil(size / how.block_bytes))
+    folder = new_folder(benchmark.sparkSession, "items")
     for b in range(parts):
         part = usable if parts == 1 else usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == b)
-        rows = part.orderBy("item_id", "text").toArrow()
-        yield index_items(rows["item_id"].to_pylist(), rows["text"].to_pylist(), how)
+        rows = part.orderBy("item_id", "text").toArrow().combine_chunks()
+        write_items(f"{folder}/{b}", index_items(*(pa.concat_arrays(rows[c].chunks) if rows[c].chunks else pa.array([], rows[c].type) for c in ("item_id", "text")), how))
+    return [f"{folder}/{b}" for b in range(parts)]
 
 
-def matches(text: Column, benchmark: DataFrame, how: Containment = Containment()) -> Column:
-    """array<struct<item, share>> of the items contained in a text column."""
-    spark = benchmark.sparkSession
-    ship(spark)
-    kind = "array<struct<item: bigint, share: double>>"
+_held: dict[str, Items] = {}
 
-    def search(items: Items) -> Column:
-        shared = spark.sparkContext.broadcast(items)
 
-        @F.arrow_udf(kind)
-        def found(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in column:
-                out = [x for block in words.blocks(texts) for x in contained(block, shared.value, how)]
-                yield pa.array([[{"item": i, "share": s} for i, s in x] for x in out], pa.list_(pa.struct([("item", pa.int64()), ("share", pa.float64())])))
+def _items(path: str, how: Containment) -> Items:
+    """The mapped block; a worker holds one."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = read_items(path, how)
+    return _held[path]
 
-        return found(text)
 
-    return F.sort_array(F.concat(*[search(items) for items in _item_blocks(benchmark, how)]))
+def matches(text: Column, benchmark: DataFrame, how: Containment = Containment()) -> Column:
+    """array<struct<item, share>> of the items contained in a text column."""
+    ship(benchmark.sparkSession)
+    files = _item_files(benchmark, how)
+
+    @F.arrow_udf(f"array<struct<item: {dict(benchmark.dtypes)['item_id']}, share: double>>")
+    def found(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in column:
+            row, ids, share = [np.zeros(0, np.int64)], [], [np.zeros(0)]
+            for path in files:
+                items = _items(path, how)
+                hits = [(block.first + r, i, s) for block in words.blocks(texts) for r, x in enumerate(contained(block, items, how)) for i, s in x.items()]
+                row.append(np.array([h[0] for h in hits], np.int64))
+                ids.append(items.ids.take(pa.array([h[1] for h in hits], pa.int64())))
+                share.append(np.array([h[2] for h in hits], float))
+            rows = np.concatenate(row)
+            order = np.argsort(rows, kind="stable")
+            values = pa.StructArray.from_arrays([pa.concat_arrays(ids).take(pa.array(order)), pa.array(np.concatenate(share)[order])], ["item", "share"])
+            yield pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(len(texts) + 1)), pa.int32()), values)
+
+    return F.sort_array(found(text))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, how: Containment = Containment()) -> DataFrame:
@@ -166,10 +228,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, how: Containment = Cont
 
 
 def oracle(how: Containment = Containment()) -> str:
-    word = r"[^ \t\n\x0B\f\r]+"
-    grams = lambda id_, table: f"""SELECT {id_}, unnest(list_transform(range(1, len(w) - {how.shingle - 2}), lambda i: array_to_string(w[i:i + {how.shingle - 1}], ' '))) AS g FROM (SELECT {id_}, regexp_extract_all(text, '{word}') AS w FROM {table} WHERE text IS NOT NULL AND {id_} IS NOT NULL) WHERE len(w) >= {how.shingle}"""
-    return f"""WITH q AS (SELECT DISTINCT item_id, g FROM ({grams("item_id", "benchmark")})),
-n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
-d AS (SELECT DISTINCT doc_id, g FROM ({grams("doc_id", "documents")})),
-hit AS (SELECT doc_id, item_id, hits / n::DOUBLE AS share FROM (SELECT doc_id, item_id, count(*) AS hits FROM d JOIN q USING (g) GROUP BY ALL) JOIN n USING (item_id) WHERE hits >= ceil({how.threshold}::DOUBLE * n - 1e-9))
-SELECT doc_id, count(item_id)::BIGINT AS n_items, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS items, coalesce(max(share), 0.0)::DOUBLE AS best_share, count(item_id) > 0 AS contaminated FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id"""
+    """DuckDB: shingles with their place, counted by item and window."""
+    k, word = how.shingle, r"[^ \t\n\x0B\f\r]+"
+    split = lambda id_, table: f"SELECT {id_}, row_number() OVER () AS r, regexp_extract_all(text, '{word}') AS w FROM {table} WHERE text IS NOT NULL"
+    grams = lambda n: f"SELECT r, {n} AS k, i, array_to_string(w[i + 1:i + {n}], ' ') AS g FROM (SELECT r, w, unnest(range(0, len(w) - {n - 1})) AS i FROM d WHERE len(w) >= {n} AND {n} IN (SELECT k FROM q))"
+    every = " UNION ALL ".join(grams(n) for n in range(1, k + 1))
+    return f"""WITH b AS (SELECT * FROM ({split("item_id", "benchmark")}) WHERE item_id IS NOT NULL),
+q AS (SELECT DISTINCT item_id, r, {k} AS k, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS g FROM b WHERE len(w) >= {k}
+  UNION ALL SELECT item_id, r, len(w), array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND {k - 1}),
+n AS (SELECT r AS item, any_value(item_id) AS item_id, count(*) AS n, floor(log2(count(*)))::BIGINT AS c FROM q GROUP BY r),
+d AS (SELECT * FROM ({split("doc_id", "documents")})),
+pos AS (SELECT d.r, item, q.item_id, n, g, i // (2 << c) AS cell FROM ({every}) d JOIN q USING (k, g) JOIN n ON n.item = q.r),
+hit AS (SELECT r, item, any_value(item_id) AS item_id, max(hits / n::DOUBLE) AS share FROM (SELECT r, item, any_value(item_id) AS item_id, any_value(n) AS n, w, count(DISTINCT g) AS hits
+  FROM (SELECT *, unnest([cell - 1, cell]) AS w FROM pos) GROUP BY r, item, w) WHERE hits >= ceil({how.threshold}::DOUBLE * n - 1e-9) GROUP BY r, item),
+doc AS (SELECT doc_id, r FROM d UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL)
+SELECT doc_id, count(item)::BIGINT AS n_items, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS items, coalesce(max(share), 0.0)::DOUBLE AS best_share, count(item) > 0 AS contaminated
+FROM (SELECT row_number() OVER () AS one, * FROM doc) doc LEFT JOIN hit USING (r) GROUP BY one, doc_id"""

@@ -166,7 +166,7 @@ def test_contained_items_equal_sql(spark, documents):
     rows = small(documents, 100)
     item = bench.orderBy("item_id").first()["text"]
     rows += [(9001, " ".join(f"w{i}" for i in range(20_000)) + " " + item, "en", "s"), (9002, item.rsplit(" ", 3)[0], "en", "s"), (9003, " ".join(item.split(" ")[::2]), "en", "s"), (9004, None, "en", "s")]
-    items = [tuple(r) for r in bench.collect()] + [(-5, "a b c d e f"), (-6, "too short"), (-7, None), (None, item), (-8, item)]
+    items = [tuple(r) for r in bench.collect()] + [(-5, "a b c d e f"), (-6, "w17 w18 w19"), (-9, "w5"), (-10, " "), (-7, None), (None, item), (-8, item)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, rows, ["items", "m"])
     con = duckdb.connect()
@@ -178,6 +178,16 @@ def test_contained_items_equal_sql(spark, documents):
         names = [d[0] for d in cursor.description]
         assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, cursor.fetchall()))
     assert {r["doc_id"] for r in got.collect() if r["contaminated"]} >= {9001, 9002}
+    assert {"-6", "-9"} <= set(next(r["items"] for r in got.collect() if r["doc_id"] == 9001).split(","))
+
+
+def test_scattered_shingles_do_not_add_up_and_ids_may_be_text(spark):
+    item = [f"i{n}" for n in range(60)]
+    filler = [f"f{n}" for n in range(3000)]
+    rows = [(1, " ".join(item[:32] + filler + item[28:]), "en", "s"), (2, " ".join(filler + item + filler), "en", "s"), (3, " ".join(filler[:5] + ["x", "y", "z"] + filler), "en", "s")]
+    bench = spark.createDataFrame([("long", " ".join(item)), ("three", "x y z"), ("both", "x  y\tz")], "item_id string, text string")
+    got = {r["doc_id"]: (r["items"], r["best_share"]) for r in decontamination.decontaminate(frame(spark, rows), bench).collect()}
+    assert got == {1: ("", 0.0), 2: ("long", 1.0), 3: ("both,three", 1.0)}
 
 
 def test_decontamination_edges(spark):
