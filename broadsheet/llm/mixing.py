@@ -134,7 +134,8 @@ def mix_sources(docs: DataFrame, mix: Mix = TARGET) -> DataFrame:
     """Every row with its leaf, n_tokens, budget, epochs_full, in_prefix and copies (how often the mix takes it)."""
     base = written(with_levels(docs).select("doc_id", *LEVELS, "n_tokens"), "mix-rows")
     whole, prefix = copies(mix)
-    out = base.join(mix_plan(base, mix), list(LEVELS), "left").withColumns({"epochs_full": whole, "in_prefix": prefix})
+    # the written plan has a size: one row a leaf is broadcast, and no leaf's rows meet in one task
+    out = base.join(written(mix_plan(base, mix), "mix-leaves"), list(LEVELS), "left").withColumns({"epochs_full": whole, "in_prefix": prefix})
     return out.select("doc_id", *LEVELS, "n_tokens", F.coalesce("budget", F.lit(0)).cast("long").alias("budget"), "epochs_full", "in_prefix", (F.col("epochs_full") + F.col("in_prefix").cast("int")).alias("copies"))
 
 
