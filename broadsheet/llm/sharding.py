@@ -11,7 +11,7 @@ the planned tree stand in a region of their own, so one more shard changes no
 other weight and takes documents only into itself.
 
 A null key counts as the empty key. Null text has size 16 and the checksum of
-the empty text. Repeated rows keep one row each and get neighbouring slots. An
+the empty text; texts of any length count whole. Repeated rows keep one row each and get neighbouring slots. An
 empty table gives an empty result. Columns of the input that bear a name of the
 result are replaced.
 """
@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cluster import written
+
 HEX_DIGITS = 13
 DRAWS = 1 << (4 * HEX_DIGITS)
 
@@ -81,32 +83,38 @@ def descend(key: Column, tree: list[Shard]) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text", tree: list[Shard] | None = None, grown: list[Shard] | None = None, rows_per_bucket: int = 200_000, keep: list[str] | None = None) -> DataFrame:
     """Adds size, text_crc32, law, shard, slot and grown_shard; ``keep`` names the input columns that stay.
 
-    Slots count from 0 in each shard in the order of a seeded hash of the key.
+    Slots count from 0 in each shard in the order of a seeded hash of the key and the text's checksum.
     The order is cut into hash ranges of about ``rows_per_bucket`` rows: counts by
     range give each range's first slot and only the rows inside one range are ranked together, so no task
-    gathers a shard.
+    gathers a shard or the rows of one key. Rows that agree in all columns are counted before they
+    meet and told apart behind the ranking.
     """
     tree = tree or shard_tree(n_shards)
     grown = grown or shard_tree(n_shards + 1)
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    crc = F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
     total = docs.select(key).count()
     bits = max(3, math.ceil(math.log2(max(1, total / (n_shards * rows_per_bucket)))))
-    order = hash_bits("slot|", name)
-    bucket = F.shiftright(order, 4 * HEX_DIGITS - bits)
-    placed = docs.select(*keep, descend(name, tree).alias("__shard"), descend(name, grown).alias("__grown"), order.alias("__order"), bucket.alias("__bucket"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("__size"), F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("__crc"))
-    counts = docs.select(descend(name, tree).alias("__shard"), bucket.alias("__bucket")).groupBy("__shard", "__bucket").count()
+    order = hash_bits("slot|", name, "|", crc.cast("string"))
+    placed = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("__row") if keep else F.lit(0).alias("__row"), F.col(key).alias("__key"), descend(name, tree).alias("__shard"), descend(name, grown).alias("__grown"), order.alias("__order"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("__size"), crc.alias("__crc"))
+    # a map can't be a key: such rows are ranked one by one
+    alike = all("map<" not in kind and "variant" not in kind for c, kind in docs.dtypes if c in keep)
+    placed = placed.groupBy(*placed.columns).agg(F.count(F.lit(1)).alias("__copies")) if alike else placed.withColumn("__copies", F.lit(1).cast("long"))
+    placed = written(placed.withColumn("__bucket", F.shiftright("__order", 4 * HEX_DIGITS - bits)), "shard-rows")
+    counts = placed.groupBy("__shard", "__bucket").agg(F.sum("__copies").alias("n"))
     earlier = Window.partitionBy("__shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("__shard", "__bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy("__shard", "__bucket").orderBy("__order", F.col(key).asc_nulls_first(), "__size", "__crc")
-    ranked = placed.withColumn("__rank", F.row_number().over(inside))
-    return ranked.join(first, ["__shard", "__bucket"]).select(
-        *keep,
+    first = counts.select("__shard", "__bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy("__shard", "__bucket").orderBy("__order", F.col("__key").asc_nulls_first(), "__size", "__crc").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("__before", F.coalesce(F.sum("__copies").over(inside), F.lit(0))).join(first, ["__shard", "__bucket"])
+    slots = ranked.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    return slots.select(
+        *[F.col("__row")[f"c{i}"].alias(c) for i, c in enumerate(keep)],
         F.col("__size").alias("size"),
         F.col("__crc").alias("text_crc32"),
         F.lit("key").alias("law"),
         F.col("__shard").cast("int").alias("shard"),
-        (F.col("__first") + F.col("__rank") - 1).cast("long").alias("slot"),
+        (F.col("__first") + F.col("__before") + F.col("__nth")).cast("long").alias("slot"),
         F.col("__grown").cast("int").alias("grown_shard"),
     )
 
@@ -134,6 +142,6 @@ sized AS (SELECT doc_id, k, octet_length(encode(text))::BIGINT + 16 AS size,
   xor(coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295), 4294967295::BIGINT) AS text_crc32
   FROM keyed, crc)
 SELECT doc_id, size, text_crc32, 'key' AS law, now.shard::INTEGER AS shard,
-  row_number() OVER (PARTITION BY now.shard ORDER BY ('0x' || substr(md5('slot|' || k), 1, {HEX_DIGITS}))::BIGINT, doc_id, size, text_crc32) - 1 AS slot,
+  row_number() OVER (PARTITION BY now.shard ORDER BY ('0x' || substr(md5('slot|' || k || '|' || text_crc32::VARCHAR), 1, {HEX_DIGITS}))::BIGINT, doc_id NULLS FIRST, size) - 1 AS slot,
   later.shard::INTEGER AS grown_shard
 FROM sized JOIN now USING (k) JOIN later USING (k)"""
