@@ -46,6 +46,7 @@ class Lm:
     held_fold: int = 2
     flush: int = 3_000_000
     range_tokens: int = 12_000_000
+    splits: int = 8
     block_bytes: int = 1 << 22
 
 
@@ -201,6 +202,9 @@ def _count(texts: DataFrame, keys: Callable[[words.Block], np.ndarray], range_of
         def out() -> pa.RecordBatch:
             key, n = np.unique(np.concatenate(held), return_counts=True)
             part = range_of(key)
+            if (part[1:] < part[:-1]).any():
+                order = np.argsort(part, kind="stable")
+                key, n, part = key[order], n[order], part[order]
             edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
             return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array([pack(key[a:b], n[a:b].astype(np.uint32)) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["part", "data"])
 
@@ -226,6 +230,25 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first)
 
 
+def _folded(counted: DataFrame, bits: int, n_words: int, how: Lm) -> DataFrame:
+    """Counts from cells (range, part of the words) to ranges.
+
+    The children of a frequent word meet in ``splits`` tasks. What is below
+    ``min_count`` there only matters for its context's total and goes on as one key a context.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        k, n = _merged(table)
+        rest = np.uint64(n_words)
+        k = np.where(n < how.min_count, k >> np.uint64(bits) << np.uint64(bits) | rest, k)
+        order = np.argsort(k)
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        return pa.table({"part": pa.array([key[0].as_py() // how.splits], pa.int32()), "data": pa.array([pack(k[first], np.add.reduceat(n, first))], pa.binary())})
+
+    return counted.groupBy("part").applyInArrow(run, "part int, data binary")
+
+
 def _ranges(counted: DataFrame, parts: int, build: Callable[[int, np.ndarray, np.ndarray], tuple[dict[str, np.ndarray], int, int]], folder: str) -> Level:
     """Build and write each range where its counts meet; a range without keys gets a file too."""
 
@@ -299,12 +322,14 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[Level]:
                 word = np.where(levels[-2][1] >= 0, word, trie.size)
             return _key(trie, context[use], word[use])
 
-        def range_of(key: np.ndarray, contexts=contexts, of_level=of_level, bits=bits) -> np.ndarray:
-            return context_range((key >> np.uint64(bits)).astype(np.int64), contexts, of_level)
+        def range_of(key: np.ndarray, contexts=contexts, of_level=of_level, bits=bits, n_words=n_words) -> np.ndarray:
+            # a range is dealt to cells by word: consecutive words are hashes' order, so cells are even
+            cell = (key & np.uint64((1 << bits) - 1)) * np.uint64(how.splits) // np.uint64(n_words + 1)
+            return context_range((key >> np.uint64(bits)).astype(np.int64), contexts, of_level) * how.splits + cell.astype(np.int64)
 
         if not contexts:
             break
-        counted = _count(texts, keys, range_of, how)
+        counted = _folded(_count(texts, keys, range_of, how), bits, n_words, how)
         made.append(_ranges(counted, of_level, _level_next(level, contexts, of_level, bits, n_words, how), f"{folder}/{level + 1}"))
     return made
 
