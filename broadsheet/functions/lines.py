@@ -52,22 +52,37 @@ def ends(path: Column) -> tuple[Column, Column]:
 JOIN_CODES = ("label", "collapse", "direction", "parallel", "distance", "mask", "joined")
 
 
-def join_code(a: dict[str, Column], b: dict[str, Column], mask_free: Column, most_distance: float = 25.0) -> Column:
-    """Why segment b (x0, y0, x1, y1, label) can't follow a, or 'joined'.
+def nearest_ends(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """struct(d, i, j): the nearest pair of endpoints (0: start, 1: end) of two segments; ties go to the lower i, then j."""
+    pair = lambda i, j: F.struct(F.hypot(b[f"x{j}"] - a[f"x{i}"], b[f"y{j}"] - a[f"y{i}"]).alias("d"), F.lit(i).alias("i"), F.lit(j).alias("j"))
+    return F.least(pair(0, 0), pair(0, 1), pair(1, 0), pair(1, 1))
 
-    The tests: equal labels; a gap that isn't a point's; the gap leads on in a's
-    direction; both run parallel; b starts near a's line; nothing else lies in the corridor.
+
+def join_code(a: dict[str, Column], b: dict[str, Column], mask_free: Column, most_distance: float = 25.0, own_lengths: bool = False) -> Column:
+    """Why segments a and b (x0, y0, x1, y1, label) can't be joined at their nearest ends, or 'joined'.
+
+    The tests: equal labels; no common start and no common end; from a's end the gap leads on along the
+    label's main axis (8 along x, others along y), from a's start back; the gap runs parallel to
+    the longer segment; the starts lie no further apart across the longer segment than the distance; nothing
+    else lies in the corridor. Segments enter the parallel test as unit vectors, which it takes for too short
+    to tell, so it rejects nothing unless ``own_lengths`` are asked for.
     """
-    ax, ay = a["x1"] - a["x0"], a["y1"] - a["y0"]
-    gx, gy = b["x0"] - a["x1"], b["y0"] - a["y1"]
-    ux, uy = normal(a["x0"], a["y0"], a["x1"], a["y1"])
-    offset = F.abs(gx * ux + gy * uy)
+    near = nearest_ends(a, b)
+    end = lambda s, at, c: F.when(at == 0, s[f"{c}0"]).otherwise(s[f"{c}1"])
+    gx, gy = end(b, near["j"], "x") - end(a, near["i"], "x"), end(b, near["j"], "y") - end(a, near["i"], "y")
+    onward = F.when(a["label"] == 8, gx).otherwise(gy)
+    la, lb = (length(s["x0"], s["y0"], s["x1"], s["y1"]) for s in (a, b))
+    vx, vy = (F.when(la > lb, a[f"{c}1"] - a[f"{c}0"]).otherwise(b[f"{c}1"] - b[f"{c}0"]) for c in "xy")
+    n = F.greatest(la, lb)
+    apart = F.abs((a["y0"] - b["y0"]) * vx - (a["x0"] - b["x0"]) * vy)
+    along = parallel(vx, vy, gx, gy) if own_lengths else F.lit(True)
+    same = lambda k: (a[f"x{k}"] == b[f"x{k}"]) & (a[f"y{k}"] == b[f"y{k}"])
     return (
         F.when(a["label"] != b["label"], "label")
-        .when((ax == 0) & (ay == 0) | (b["x1"] == b["x0"]) & (b["y1"] == b["y0"]), "collapse")
-        .when(gx * ax + gy * ay < 0, "direction")
-        .when(~parallel(ax, ay, b["x1"] - b["x0"], b["y1"] - b["y0"]), "parallel")
-        .when(offset > most_distance, "distance")
+        .when(same(0) | same(1), "collapse")
+        .when(F.when(near["i"] == 1, onward < 0).otherwise(onward > 0), "direction")
+        .when(~along, "parallel")
+        .when(F.coalesce(F.try_divide(apart, n) > most_distance, F.lit(False)), "distance")
         .when(~mask_free, "mask")
         .otherwise("joined")
     )

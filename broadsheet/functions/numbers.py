@@ -30,9 +30,9 @@ def angle_between(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def parallel(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Short vectors (under 3) always are; under 50 within 30 degrees, else within 15."""
+    """Short vectors (under 3) always are; under 50 within 30 degrees, else within 15. A cosine that rounding takes beyond 1 counts as 0 degrees, on purpose."""
     shorter = F.least(F.hypot(ax, ay), F.hypot(bx, by))
-    return F.when(shorter < 3, F.lit(True)).otherwise(F.coalesce(angle_between(ax, ay, bx, by) < F.when(shorter < 50, 30.0).otherwise(15.0), F.lit(False)))
+    return F.when(shorter < 3, F.lit(True)).otherwise(F.coalesce(angle_between(ax, ay, bx, by) <= F.when(shorter < 50, 30.0).otherwise(15.0), F.lit(False)))
 
 
 def affine(m: list[float], x: Column, y: Column) -> tuple[Column, Column]:

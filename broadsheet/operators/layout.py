@@ -7,11 +7,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import box_pairs
 
-def row_cells(rows: DataFrame, separators: DataFrame) -> DataFrame:
-    """Rows (page, row, minx, maxx, miny, maxy) cut at the separators (page, x, y0, y1) that cross them: (page, row, cell, x0, x1)."""
-    crossing = (separators["x"] > rows["minx"]) & (separators["x"] < rows["maxx"]) & (separators["y0"] <= rows["maxy"]) & (separators["y1"] >= rows["miny"])
-    cuts = rows.join(separators, (rows["page"] == separators["page"]) & crossing).select(rows["page"], "row", separators["x"])
+
+def row_cells(rows: DataFrame, separators: DataFrame, width: float = 100.0) -> DataFrame:
+    """Rows (page, row, minx, maxx, miny, maxy) cut at the separators (page, id, x, y0, y1) that cross them: (page, row, cell, x0, x1). ``width`` is the size of the join's grid cells."""
+    boxes = rows.withColumnRenamed("row", "id").select("page", "id", "minx", "miny", "maxx", "maxy")
+    walls = separators.select("page", "id", F.col("x").alias("minx"), F.col("y0").alias("miny"), F.col("x").alias("maxx"), F.col("y1").alias("maxy"))
+    inside = box_pairs(boxes, walls, width).filter((F.col("r_minx") > F.col("minx")) & (F.col("r_minx") < F.col("maxx")))
+    cuts = inside.select("page", F.col("id").alias("row"), F.col("r_minx").alias("x"))
     edges = cuts.unionByName(rows.select("page", "row", F.col("minx").alias("x"))).unionByName(rows.select("page", "row", F.col("maxx").alias("x"))).distinct()
     by = Window.partitionBy("page", "row").orderBy("x")
     out = edges.withColumns({"x1": F.lead("x").over(by), "cell": F.row_number().over(by)})

@@ -50,10 +50,23 @@ def shares(rows: DataFrame, page: str, label: str, classes: list) -> DataFrame:
     return wide.select(page, F.explode(cells).alias("s")).select(page, "s.cls", steady(F.col("s.share")).alias("share"))
 
 
-def class_weights(shared: DataFrame, n_pixels: int) -> DataFrame:
-    """n_pixels over the median of the shares that aren't 0; 0 for a class never seen."""
-    middle = F.expr("percentile(share, 0.5) filter (where share > 0)")
-    return shared.groupBy("cls").agg(steady(F.coalesce(F.try_divide(F.lit(float(n_pixels)), middle), F.lit(0.0)), 6).alias("weight"))
+def class_weights(shared: DataFrame, n_pixels: int, buckets: int = 4096) -> DataFrame:
+    """n_pixels over the median of the shares that aren't 0; 0 for a class never seen.
+
+    Counts by bucket of the share find the one or two buckets of each class that hold its middle; only
+    their values are counted and ranked.
+    """
+    seen = shared.filter("share > 0").withColumn("b", F.floor(F.col("share") * buckets))
+    sizes = seen.groupBy("cls", "b").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("cls").orderBy("b")
+    total = F.sum("n").over(Window.partitionBy("cls"))
+    placed = sizes.withColumns({"end": F.sum("n").over(upto), "lo": F.floor((total + 1) / 2), "hi": F.floor((total + 2) / 2)})  # ranks from 1
+    placed = placed.withColumn("start", F.col("end") - F.col("n")).filter((F.col("start") < F.col("hi")) & (F.col("end") >= F.col("lo"))).select("cls", "b", "start", "lo", "hi")
+    values = seen.join(placed, ["cls", "b"]).groupBy("cls", "b", "start", "lo", "hi", "share").agg(F.count(F.lit(1)).alias("n"))
+    ranked = values.withColumn("end", F.col("start") + F.sum("n").over(Window.partitionBy("cls", "b").orderBy("share")))
+    holds = lambda r: F.min(F.when((F.col("end") - F.col("n") < F.col(r)) & (F.col("end") >= F.col(r)), F.col("share")))
+    middle = ranked.groupBy("cls").agg(((holds("lo") + holds("hi")) / 2).alias("middle"))
+    return shared.select("cls").distinct().join(middle, "cls", "left").select("cls", steady(F.coalesce(F.try_divide(F.lit(float(n_pixels)), F.col("middle")), F.lit(0.0)), 6).alias("weight"))
 
 
 def background_weight(weights: DataFrame, selected: list) -> DataFrame:
@@ -110,11 +123,11 @@ def closed(mask: DataFrame, half_x: int, half_y: int) -> DataFrame:
 
 
 def modal(rows: DataFrame, key: str, ignore: int | None = None, double: tuple[int, ...] = ()) -> DataFrame:
-    """The most frequent label of each key, lowest code first; some labels count double and one not at all."""
-    used = rows if ignore is None else rows.filter(F.col("label") != ignore)
-    counts = used.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"))
-    weighted = counts.withColumn("c", F.col("c") * F.when(F.col("label").isin(*double), 2).otherwise(1)) if double else counts
-    return weighted.groupBy(key).agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("label"))
+    """The most frequent label of each key, lowest code first; some labels count double and one not at all. A key that holds only this one is background (0)."""
+    counts = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"))
+    weight = F.when(F.col("label") == ignore, 0).when(F.col("label").isin(*double), 2).otherwise(1)
+    best = counts.withColumn("c", F.col("c") * weight).groupBy(key).agg(F.max(F.struct(F.col("c"), (-F.col("label")).alias("low"))).alias("b"))
+    return best.select(key, F.when(F.col("b.c") > 0, -F.col("b.low")).otherwise(F.lit(0)).alias("label"))
 
 
 def label_ratio(rows: DataFrame, key: str) -> DataFrame:
@@ -123,7 +136,14 @@ def label_ratio(rows: DataFrame, key: str) -> DataFrame:
     return counts.withColumn("ratio", steady(ratio(F.col("c"), F.sum("c").over(Window.partitionBy(key)))))
 
 
-def corridor_free(hist: DataFrame, key: str, own: Column, exempt: list[int]) -> DataFrame:
-    """Keys whose histogram holds nothing besides background, border, the own label and exempt labels."""
-    free = F.col("label").isin(0, 6, *exempt) | (F.col("label") == own)
-    return hist.groupBy(key).agg((F.coalesce(F.sum(F.when(~free, F.col("ratio"))), F.lit(0.0)) == 0).alias("free"))
+def corridor_free(hist: DataFrame, key: str, own: int, ignore: tuple[int, ...] = ()) -> DataFrame:
+    """Keys whose histogram (label, ratio) lets two segments of label ``own`` be joined.
+
+    Background, border, the own label and ``ignore`` never matter. Table text doesn't matter to table columns and
+    horizontal lines, and small antiqua not to vertical lines, while there is less of it than of the own label.
+    """
+    rival = {7: 5, 8: 5, 9: 4}.get(own, -1)
+    total = lambda which: F.coalesce(F.sum(F.when(which & ~F.col("label").isin(*ignore, -1), F.col("ratio"))), F.lit(0.0))
+    rest = total(~F.col("label").isin(0, 6, own, rival))
+    mine, other = total(F.col("label") == own), total(F.col("label") == rival)
+    return hist.groupBy(key).agg(((rest == 0) & ((other == 0) | (mine > other))).alias("free"))

@@ -45,11 +45,17 @@ def last_best(samples: DataFrame, key: str) -> DataFrame:
     return samples.groupBy(key).agg(F.max_by(F.struct("ord", "value"), F.struct("value", "ord")).alias("b")).select(key, "b.*")
 
 
-def runtime_by_gpu(runs: DataFrame) -> DataFrame:
-    """(gpu, start, stop, n_gpus): GPU seconds, mean run seconds and runs; runs that stop before they start are no runs."""
-    seconds = (F.unix_timestamp("stop") - F.unix_timestamp("start")).cast("long")
-    timed = runs.filter(F.col("stop") >= F.col("start")).withColumn("seconds", seconds)
-    return timed.groupBy("gpu").agg(F.sum(F.col("seconds") * F.col("n_gpus")).cast("long").alias("gpu_seconds"), steady(F.avg("seconds"), 3).alias("mean_seconds"), F.count(F.lit(1)).alias("n_runs"))
+def runtime_by_gpu(runs: DataFrame, key: list[str], order: list[str], backbones: list[str]) -> DataFrame:
+    """Card seconds and runs by card model, and the mean card seconds of a run over all cards.
+
+    Of completed runs (status, backbone, gpu, start, stop, n_gpus) with one of the backbones; of runs
+    with the same configuration ``key`` the first one in ``order`` counts.
+    """
+    done = runs.filter((F.col("status") == "COMPLETED") & F.col("backbone").isin(*backbones))
+    spent = ((F.unix_timestamp("stop") - F.unix_timestamp("start")) * F.col("n_gpus")).cast("long")
+    by_gpu = first_seen(done, key, order).groupBy("gpu").agg(F.sum(spent).alias("gpu_seconds"), F.count(F.lit(1)).alias("n_runs"))
+    every = Window.partitionBy(F.lit(0))  # a row a card model
+    return by_gpu.withColumn("mean_gpu_seconds", steady(F.sum("gpu_seconds").over(every) / F.sum("n_runs").over(every), 3))
 
 
 def status(runs: DataFrame, now: Column, max_age: int) -> DataFrame:

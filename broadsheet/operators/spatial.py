@@ -74,13 +74,15 @@ def containing(points: DataFrame, boxes: DataFrame, width: float, margin: float
 
 
 def most_overlap(spans: DataFrame, frames: DataFrame, width: float) -> DataFrame:
-    """Each span (page, id, lo, hi) with the frame that it overlaps longest; ties go to the lower frame."""
+    """Each span (page, id, lo, hi) with the frame that it overlaps longest; ties go to the lower frame, and a span that overlaps none to the first frame of its page."""
     s = spans.select("page", "id", "lo", "hi", F.explode(_cells(F.col("lo"), F.col("hi"), width)).alias("cell"))
     f = frames.select("page", F.col("id").alias("frame"), F.col("lo").alias("flo"), F.col("hi").alias("fhi"), F.explode(_cells(F.col("lo"), F.col("hi"), width)).alias("cell"))
     first = F.greatest(F.floor(F.col("lo") / width), F.floor(F.col("flo") / width))
     both = s.join(f, ["page", "cell"]).filter(F.col("cell") == first).withColumn("overlap", F.least("hi", "fhi") - F.greatest("lo", "flo")).filter(F.col("overlap") > 0)
-    best = F.max_by(F.struct("frame", "overlap"), F.struct(F.col("overlap"), -F.col("frame")))
-    return both.groupBy("page", "id").agg(best.alias("b")).select("page", "id", "b.frame", "b.overlap")
+    best = both.groupBy("page", "id").agg(F.max_by(F.struct("frame", "overlap"), F.struct(F.col("overlap"), -F.col("frame"))).alias("b"))
+    default = frames.groupBy("page").agg(F.min("id").alias("frame0"))
+    named = spans.select("page", "id").join(default, "page").join(best, ["page", "id"], "left")
+    return named.select("page", "id", F.coalesce("b.frame", "frame0").alias("frame"), F.coalesce("b.overlap", F.lit(0.0)).alias("overlap"))
 
 
 def split_choice(candidates: DataFrame) -> DataFrame:
@@ -90,7 +92,16 @@ def split_choice(candidates: DataFrame) -> DataFrame:
 
 
 def weighted_angle(segments: DataFrame) -> DataFrame:
-    """Length-weighted mean angle by page; null where all lengths are 0."""
-    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    phi = F.degrees(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")))
-    return segments.groupBy("page").agg(F.round(F.try_divide(F.sum(phi * length), F.sum(length)), 6).alias("angle"))
+    """The skew of each page in degrees, weighted by length, from segments (page, label, n_points, x0, y0, x1, y1).
+
+    Vertical lines and table columns (9, 7) measure it against the vertical; on pages without them
+    horizontal lines (8) against the horizontal. Paths of fewer than three points don't count, nor do table columns beyond 15
+    degrees, which belong to rotated tables. Null where nothing is left.
+    """
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    length, up = F.hypot(dx, dy), F.col("label").isin(7, 9)
+    turned = F.when(F.abs(dx) > F.abs(dy), F.pi() / 2 - F.atan2(dy, dx)).otherwise(F.pi() / 2 + F.atan2(dy, dx)) - F.when(F.col("label") == 8, F.pi() / 2).otherwise(0.0)
+    phi = F.degrees(F.asin(F.sin(turned)))
+    used = segments.select("page", "label", up.alias("up"), length.alias("length"), phi.alias("phi"), ((F.col("n_points") >= 3) & ~((F.col("label") == 7) & (F.abs(phi) > 15))).alias("good"))
+    mean = lambda which: F.try_divide(F.sum(F.when(which & F.col("good"), F.col("phi") * F.col("length"))), F.sum(F.when(which & F.col("good"), F.col("length"))))
+    return used.groupBy("page").agg(F.round(F.when(F.max("up"), mean(F.col("up"))).otherwise(mean(F.col("label") == 8)), 6).alias("angle"))

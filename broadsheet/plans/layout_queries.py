@@ -19,7 +19,7 @@ e AS (SELECT r.page, "row", s.minx AS x FROM r JOIN s ON r.page = s.page AND s.m
 SELECT page, "row", cell, x0, x1 FROM (SELECT page, "row", x AS x0, lead(x) OVER w AS x1, row_number() OVER w ::INTEGER AS cell FROM e WINDOW w AS (PARTITION BY page, "row" ORDER BY x)) WHERE x1 IS NOT NULL""")
 def row_cells(spark: SparkSession, d: str) -> DataFrame:
     rows = roles.boxes(spark, d, "c").select("page", F.col("id").alias("row"), (F.col("minx") - 150).alias("minx"), (F.col("maxx") + 150).alias("maxx"), (F.col("miny") - 100).alias("miny"), (F.col("maxy") + 100).alias("maxy"))
-    cuts = roles.boxes(spark, d, "s").select("page", F.col("minx").alias("x"), F.col("miny").alias("y0"), F.col("maxy").alias("y1"))
+    cuts = roles.boxes(spark, d, "s").select("page", "id", F.col("minx").alias("x"), F.col("miny").alias("y0"), F.col("maxy").alias("y1"))
     return layout.row_cells(rows, cuts)
 
 
@@ -45,28 +45,40 @@ def baseline_properties(spark: SparkSession, d: str) -> DataFrame:
     return roles.boxes(spark, d, "c").select("page", "id", r(lines.length(*line)).alias("length"), r(lines.direction(*line)[0]).alias("vx"), r(lines.normal(*line)[0]).alias("ux"), r(lines.angle(*line)).alias("angle"), lines.centre(*line)[0].alias("cx"), r(lines.levelled(*line)[0]).alias("level_x0"))
 
 
-@query(f"""{_C}, p AS (SELECT a.page, a.id AS a, b.id AS b, (a.id % 2) AS la, (b.id % 2) AS lb, a.maxx - a.minx AS ax, a.maxy - a.miny AS ay, b.minx - a.maxx AS gx, b.miny - a.maxy AS gy, b.maxx - b.minx AS bx, b.maxy - b.miny AS byy FROM c a JOIN c b ON a.page = b.page AND b.id > a.id AND b.id <= a.id + 100),
-m AS (SELECT *, sqrt(ax * ax + ay * ay) AS na, sqrt(bx * bx + byy * byy) AS nb, least(sqrt(ax * ax + ay * ay), sqrt(bx * bx + byy * byy)) AS short, degrees(acos(greatest(-1, least(1, (ax * bx + ay * byy) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + byy * byy)))))) AS phi FROM p)
-SELECT page, a, b, CASE WHEN la <> lb THEN 'label' WHEN gx * ax + gy * ay < 0 THEN 'direction' WHEN NOT (short < 3 OR phi < CASE WHEN short < 50 THEN 30 ELSE 15 END) THEN 'parallel' WHEN abs(gx * -(ay / na) + gy * (ax / na)) > 25 THEN 'distance' WHEN (a + b) % 5 = 0 THEN 'mask' ELSE 'joined' END AS code FROM m""")
+def _join_sql(condition: str) -> str:
+    ends = ", ".join(f"{{'d': sqrt((b.x{j} - a.x{i}) ** 2 + (b.y{j} - a.y{i}) ** 2), 'i': {i}, 'j': {j}}}" for i in (0, 1) for j in (0, 1))
+    return f"""{_C}, g AS (SELECT page, id, 8 + id % 2 AS label, minx AS x0, miny AS y0, maxx AS x1, maxy AS y1, sqrt((maxx - minx) ** 2 + (maxy - miny) ** 2) AS len FROM c),
+p AS (SELECT a, b, least({ends}) AS e FROM g a JOIN g b ON a.page = b.page AND {condition}),
+q AS (SELECT a, b, e, CASE WHEN e.j = 0 THEN b.x0 ELSE b.x1 END - CASE WHEN e.i = 0 THEN a.x0 ELSE a.x1 END AS gx, CASE WHEN e.j = 0 THEN b.y0 ELSE b.y1 END - CASE WHEN e.i = 0 THEN a.y0 ELSE a.y1 END AS gy, CASE WHEN a.len > b.len THEN a ELSE b END AS v FROM p),
+r AS (SELECT *, CASE WHEN a.label = 8 THEN gx ELSE gy END AS onward FROM q)
+SELECT a.page AS page, a.id AS a, b.id AS b, CASE WHEN a.label <> b.label THEN 'label' WHEN a.x0 = b.x0 AND a.y0 = b.y0 OR a.x1 = b.x1 AND a.y1 = b.y1 THEN 'collapse' WHEN (e.i = 1 AND onward < 0) OR (e.i = 0 AND onward > 0) THEN 'direction'
+WHEN abs((a.y0 - b.y0) * (v.x1 - v.x0) - (a.x0 - b.x0) * (v.y1 - v.y0)) / v.len > 25 THEN 'distance' WHEN (a.id + b.id) % 5 = 0 THEN 'mask' ELSE 'joined' END AS code FROM r"""
+
+
+def _join_codes(c: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Codes of pairs (page, a, b) of boxes, whose diagonals are the segments."""
+    side = lambda n: c.select("page", F.col("id").alias(n), *[F.col(k).alias(f"{n}_{v}") for k, v in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))], (8 + F.col("id") % 2).alias(f"{n}_label"))
+    part = lambda n: {k: F.col(f"{n}_{k}") for k in ("x0", "y0", "x1", "y1", "label")}
+    both = pairs.join(side("a"), ["page", "a"]).join(side("b"), ["page", "b"])
+    return both.select("page", "a", "b", lines.join_code(part("a"), part("b"), (F.col("a") + F.col("b")) % 5 != 0).alias("code"))
+
+
+@query(_join_sql("a.id < b.id AND least(sqrt((b.x0 - a.x0) ** 2 + (b.y0 - a.y0) ** 2), sqrt((b.x0 - a.x1) ** 2 + (b.y0 - a.y1) ** 2), sqrt((b.x1 - a.x0) ** 2 + (b.y1 - a.y0) ** 2), sqrt((b.x1 - a.x1) ** 2 + (b.y1 - a.y1) ** 2)) < 100"))
 def segment_join_codes(spark: SparkSession, d: str) -> DataFrame:
+    """A code for every two segments of a page with any two ends nearer than 100."""
     c = roles.boxes(spark, d, "c")
-    side = lambda n: c.select("page", F.col("id").alias(n), *[F.col(k).alias(f"{n}_{v}") for k, v in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))], (F.col("id") % 2).alias(f"{n}_label"))
-    pairs = side("a").join(side("b"), "page").filter((F.col("b") > F.col("a")) & (F.col("b") <= F.col("a") + 100))
-    part = lambda n: {k: F.col(f"{n}_{k}") for k in ("x0", "y0", "x1", "y1", "label")}
-    return pairs.select("page", "a", "b", lines.join_code(part("a"), part("b"), (F.col("a") + F.col("b")) % 5 != 0).alias("code"))
+    ends = c.select("page", F.col("id").alias("segment"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("x"), F.col(y).alias("y")) for i, x, y in ((0, "minx", "miny"), (1, "maxx", "maxy"))])).alias("e"))
+    near = spatial.near_pairs(ends.select("page", (2 * F.col("segment") + F.col("e.i")).alias("id"), "e.x", "e.y"), 100.0)
+    half = lambda n: F.floor(F.col(n) / 2).alias(n)
+    return _join_codes(c, near.select("page", half("a"), half("b")).filter("a != b").distinct())
 
 
-@query(f"""{_C}, p AS (SELECT a.page, a.id AS a, b.id AS b, (a.id % 2) AS la, (b.id % 2) AS lb, a.maxx - a.minx AS ax, a.maxy - a.miny AS ay, b.minx - a.maxx AS gx, b.miny - a.maxy AS gy, b.maxx - b.minx AS bx, b.maxy - b.miny AS byy FROM c a JOIN c b ON a.page = b.page AND a.id <> b.id AND sqrt((b.minx - a.maxx) * (b.minx - a.maxx) + (b.miny - a.maxy) * (b.miny - a.maxy)) < 500),
-m AS (SELECT *, sqrt(ax * ax + ay * ay) AS na, least(sqrt(ax * ax + ay * ay), sqrt(bx * bx + byy * byy)) AS short, degrees(acos(greatest(-1, least(1, (ax * bx + ay * byy) / (sqrt(ax * ax + ay * ay) * sqrt(bx * bx + byy * byy)))))) AS phi FROM p)
-SELECT page, a, b, CASE WHEN la <> lb THEN 'label' WHEN gx * ax + gy * ay < 0 THEN 'direction' WHEN NOT (short < 3 OR phi < CASE WHEN short < 50 THEN 30 ELSE 15 END) THEN 'parallel' WHEN abs(gx * -(ay / na) + gy * (ax / na)) > 25 THEN 'distance' WHEN (a + b) % 5 = 0 THEN 'mask' ELSE 'joined' END AS code FROM m""")
+@query(_join_sql("a.id <> b.id AND sqrt((b.x0 - a.x1) * (b.x0 - a.x1) + (b.y0 - a.y1) * (b.y0 - a.y1)) < 500"))
 def segment_near_join_codes(spark: SparkSession, d: str) -> DataFrame:
-    """A code for every pair of a page whose end and start lie within the reach of a join; segment_join_codes has a window of numbers."""
+    """A code for every end and start of a page within the reach of a join."""
     c = roles.boxes(spark, d, "c")
     near = spatial.following(c.select("page", F.col("id").alias("a"), F.col("maxx").alias("x"), F.col("maxy").alias("y")), c.select("page", F.col("id").alias("b"), F.col("minx").alias("x"), F.col("miny").alias("y")), 500.0)
-    side = lambda n: c.select("page", F.col("id").alias(n), *[F.col(k).alias(f"{n}_{v}") for k, v in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))], (F.col("id") % 2).alias(f"{n}_label"))
-    part = lambda n: {k: F.col(f"{n}_{k}") for k in ("x0", "y0", "x1", "y1", "label")}
-    pairs = near.join(side("a"), ["page", "a"]).join(side("b"), ["page", "b"])
-    return pairs.select("page", "a", "b", lines.join_code(part("a"), part("b"), (F.col("a") + F.col("b")) % 5 != 0).alias("code"))
+    return _join_codes(c, near)
 
 
 @query("SELECT event_id, round(0.5 * (1 + cos(pi() * (event_id % 50) / 50.0::DOUBLE)), 9) AS eta FROM events")

@@ -156,7 +156,7 @@ def mask_close(spark: SparkSession, d: str) -> DataFrame:
     return rasters.closed(roles.plane(spark, d).filter("label between 1 and 5").select("page", "y", "x"), 1, 1)
 
 
-@query(f"{_P} SELECT page, label FROM (SELECT page, label, count(*) * (CASE WHEN label IN (1, 3, 5) THEN 2 ELSE 1 END) AS c FROM plane WHERE label <> 0 GROUP BY page, label) QUALIFY row_number() OVER (PARTITION BY page ORDER BY c DESC, label) = 1")
+@query(f"{_P} SELECT page, label FROM (SELECT page, label, count(*) * (CASE WHEN label = 0 THEN 0 WHEN label IN (1, 3, 5) THEN 2 ELSE 1 END) AS c FROM plane GROUP BY page, label) QUALIFY row_number() OVER (PARTITION BY page ORDER BY c DESC, label) = 1")
 def modal_label(spark: SparkSession, d: str) -> DataFrame:
     return rasters.modal(roles.plane(spark, d), "page", ignore=0, double=(1, 3, 5))
 
@@ -169,9 +169,10 @@ def label_histogram_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rasters.label_ratio(roles.plane(spark, d), "page")
 
 
-@query(f"{_P}, {_RATIO} SELECT page, coalesce(sum(CASE WHEN label NOT IN (0, 6, 1, 2, 3, 4, 5, 9, 10, 11) THEN ratio END), 0) = 0 AS free FROM h GROUP BY page")
+@query(f"{_P}, {_RATIO} SELECT page, rest = 0 AND (other = 0 OR mine > other) AS free FROM (SELECT page, coalesce(sum(ratio) FILTER (label NOT IN (0, 6, 9, 4)), 0) AS rest, coalesce(sum(ratio) FILTER (label = 9), 0) AS mine, coalesce(sum(ratio) FILTER (label = 4), 0) AS other FROM (SELECT * FROM h WHERE page % 4 = 0 OR label IN (0, 4, 6, 9)) GROUP BY page)")
 def corridor_join_guard(spark: SparkSession, d: str) -> DataFrame:
-    return rasters.corridor_free(rasters.label_ratio(roles.plane(spark, d), "page"), "page", F.lit(9), [1, 2, 3, 4, 5, 10, 11])
+    h = rasters.label_ratio(roles.plane(spark, d), "page").filter((F.col("page") % 4 == 0) | F.col("label").isin(0, 4, 6, 9))
+    return rasters.corridor_free(h, "page", 9)
 
 
 @query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS cls FROM embeddings")

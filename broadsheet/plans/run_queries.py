@@ -48,16 +48,20 @@ def last_among_best(spark: SparkSession, d: str) -> DataFrame:
     return runs.last_best(rows, "key")
 
 
-_RUNTIMES = """r AS (SELECT o_orderkey AS run, c_mktsegment AS gpu, (1 + c_custkey % 4) AS n_gpus, o_orderdate AS start, max(l_shipdate) AS stop
+_RUNTIMES = """r AS (SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' ELSE 'RUNNING' END AS status, o_orderpriority AS backbone, c_nationkey AS model, c_mktsegment AS gpu, (1 + c_custkey % 4) AS n_gpus, o_orderdate AS start, max(l_shipdate) AS stop
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
-@query(f"""WITH {_RUNTIMES} SELECT gpu, sum(s * n_gpus)::BIGINT AS gpu_seconds, round(avg(s), 3) AS mean_seconds, count(*)::BIGINT AS n_runs FROM (
-  SELECT *, epoch(stop)::BIGINT - epoch(start)::BIGINT AS s FROM r WHERE stop >= start) GROUP BY gpu""")
+@query(f"""WITH {_RUNTIMES}, f AS (SELECT *, (epoch(stop)::BIGINT - epoch(start)::BIGINT) * n_gpus AS s FROM r WHERE status = 'COMPLETED' AND backbone IN ('1-URGENT', '2-HIGH', '5-LOW')
+  QUALIFY row_number() OVER (PARTITION BY backbone, model, gpu ORDER BY run) = 1),
+g AS (SELECT gpu, sum(s)::BIGINT AS gpu_seconds, count(*)::BIGINT AS n_runs FROM f GROUP BY gpu)
+SELECT gpu, gpu_seconds, n_runs, round((SELECT sum(gpu_seconds) / sum(n_runs)::DOUBLE FROM g), 3) AS mean_gpu_seconds FROM g""")
 def runtime_by_gpu(spark: SparkSession, d: str) -> DataFrame:
     stops = roles.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("stop"))
     joined = roles.table(spark, d, "orders").join(stops, F.col("o_orderkey") == F.col("l_orderkey")).join(roles.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return runs.runtime_by_gpu(joined.select(F.col("c_mktsegment").alias("gpu"), F.col("o_orderdate").alias("start"), "stop", (1 + F.col("c_custkey") % 4).alias("n_gpus")))
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("RUNNING").alias("status")
+    rows = joined.select(F.col("o_orderkey").alias("run"), status, F.col("o_orderpriority").alias("backbone"), F.col("c_nationkey").alias("model"), F.col("c_mktsegment").alias("gpu"), F.col("o_orderdate").alias("start"), "stop", (1 + F.col("c_custkey") % 4).alias("n_gpus"))
+    return runs.runtime_by_gpu(rows, ["backbone", "model", "gpu"], ["run"], ["1-URGENT", "2-HIGH", "5-LOW"])
 
 
 _NOW = "2002-01-01 00:00:00"

@@ -43,18 +43,21 @@ def containment_first_match(spark: SparkSession, d: str) -> DataFrame:
     return spatial.containing(dots, wide, 100.0)
 
 
-@query(f"""{_BOXES} SELECT page, id, frame, overlap FROM (SELECT c.page, c.id, s.id AS frame, least(c.maxx, s.maxx + 300) - greatest(c.minx, s.minx - 300) AS overlap FROM c JOIN s ON c.page = s.page) WHERE overlap > 0
+@query(f"""{_BOXES} SELECT page, id, frame, overlap FROM (SELECT c.page, c.id, s.id AS frame, greatest(0, least(c.maxx, s.maxx + 30) - greatest(c.minx, s.minx - 30)) AS overlap FROM c JOIN s ON c.page = s.page)
 QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY overlap DESC, frame) = 1""")
 def argmax_overlap_assign(spark: SparkSession, d: str) -> DataFrame:
     spans = roles.boxes(spark, d, "c").select("page", "id", F.col("minx").alias("lo"), F.col("maxx").alias("hi"))
-    frames = roles.boxes(spark, d, "s").select("page", "id", (F.col("minx") - 300).alias("lo"), (F.col("maxx") + 300).alias("hi"))
+    frames = roles.boxes(spark, d, "s").select("page", "id", (F.col("minx") - 30).alias("lo"), (F.col("maxx") + 30).alias("hi"))
     return spatial.most_overlap(spans, frames, 100.0)
 
 
-@query(f"{_BOXES} SELECT page, round(sum(degrees(atan2(maxy - miny, maxx - minx)) * sqrt((maxx - minx) ** 2 + (maxy - miny) ** 2)) / sum(sqrt((maxx - minx) ** 2 + (maxy - miny) ** 2)), 6) AS angle FROM c GROUP BY page")
+@query(f"""{_BOXES}, g AS (SELECT page, 7 + id % 3 AS label, 2 + id % 4 AS n_points, maxx - minx AS dx, maxy - miny AS dy FROM c WHERE page % 5 > 0 OR id % 3 = 1),
+p AS (SELECT page, label, n_points, sqrt(dx * dx + dy * dy) AS length, degrees(asin(sin(CASE WHEN abs(dx) > abs(dy) THEN pi() / 2 - atan2(dy, dx) ELSE pi() / 2 + atan2(dy, dx) END - CASE WHEN label = 8 THEN pi() / 2 ELSE 0 END))) AS phi FROM g),
+w AS (SELECT *, label <> 8 AS up, n_points >= 3 AND NOT (label = 7 AND abs(phi) > 15) AS good FROM p)
+SELECT page, round(CASE WHEN bool_or(up) THEN sum(phi * length) FILTER (up AND good) / sum(length) FILTER (up AND good) ELSE sum(phi * length) FILTER (NOT up AND good) / sum(length) FILTER (NOT up AND good) END, 6) AS angle FROM w GROUP BY page""")
 def weighted_mean_angle(spark: SparkSession, d: str) -> DataFrame:
-    b = roles.boxes(spark, d, "c")
-    return spatial.weighted_angle(b.select("page", F.col("minx").alias("x0"), F.col("miny").alias("y0"), F.col("maxx").alias("x1"), F.col("maxy").alias("y1")))
+    b = roles.boxes(spark, d, "c").filter((F.col("page") % 5 > 0) | (F.col("id") % 3 == 1))
+    return spatial.weighted_angle(b.select("page", (7 + F.col("id") % 3).alias("label"), (2 + F.col("id") % 4).alias("n_points"), F.col("minx").alias("x0"), F.col("miny").alias("y0"), F.col("maxx").alias("x1"), F.col("maxy").alias("y1")))
 
 
 @query(f"""{_BOXES} SELECT page AS frame, id FROM (SELECT page, id, id % 5 = 0 AS crosses, CASE WHEN id % 2 = 0 THEN 'H' ELSE 'V' END AS label, minx, miny FROM c)

@@ -64,12 +64,28 @@ def test_horizontal_merges_by_page(spark):
 
 
 def test_join_codes(spark):
-    rows = [(0, 0, 100, 0, 1, 110, 1, 200, 1, 1), (0, 0, 100, 0, 1, 110, 1, 200, 1, 2), (0, 0, 0, 0, 1, 110, 1, 200, 1, 1), (0, 0, 100, 0, 1, 50, 1, 200, 1, 1), (0, 0, 100, 0, 1, 110, 1, 200, 90, 1), (0, 0, 100, 0, 1, 110, 30, 200, 30, 1)]
+    a = (0, 0, 100, 0, 8)
+    cases = [
+        (a, (110, 1, 200, 1, 8), "joined"),
+        (a, (110, 1, 200, 1, 9), "label"),
+        (a, (0, 0, 50, 50, 8), "collapse"),
+        (a, (50, 50, 100, 0, 8), "collapse"),
+        (a, (95, 0, 200, 0, 8), "direction"),  # b starts before a ends
+        (a, (-200, 0, -10, 0, 8), "joined"),  # b ends before a starts
+        (a, (-200, 0, 5, 0, 8), "direction"),
+        (a, (110, 30, 200, 30, 8), "distance"),
+        ((0, 0, 0, 100, 9), (1, 110, 1, 200, 9), "joined"),
+        ((0, 0, 0, 100, 9), (1, 90, 1, 200, 9), "direction"),
+        (a, (101, 20, 300, 20, 8), "joined"),  # across the gap, which unit vectors don't tell
+        ((5, 5, 5, 5, 8), (4, 40, 4, 40, 8), "joined"),  # points have no side
+    ]
     names = [f"{s}_{k}" for s in "ab" for k in ("x0", "y0", "x1", "y1", "label")]
-    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{n} double" for n in names))
+    df = spark.createDataFrame([tuple(map(float, x + y)) for x, y, _ in cases], ", ".join(f"{n} double" for n in names))
     side = lambda s: {k: F.col(f"{s}_{k}") for k in ("x0", "y0", "x1", "y1", "label")}
     got = [r[0] for r in df.select(lines.join_code(side("a"), side("b"), F.lit(True))).collect()]
-    assert got == ["joined", "label", "collapse", "direction", "parallel", "distance"]
+    assert got == [c[2] for c in cases]
+    assert df.select(lines.join_code(side("a"), side("b"), F.lit(False))).first()[0] == "mask"
+    assert df.select(lines.join_code(side("a"), side("b"), F.lit(True), own_lengths=True)).collect()[10][0] == "parallel"
 
 
 def test_path_length(spark):
