@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     ship(docs.sparkSession)
     rated = labels.filter("quality is not null and toxic is not null and doc_id is not null").select(F.col("doc_id").alias("__id"), grade_of(F.col("quality"), F.col("toxic")).alias("__grade"))
     sample = rated.orderBy(F.xxhash64("__id"), "__id", "__grade").limit(how.max_labelled)
-    chosen = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("__id")).select("__grade", "text")
+    chosen = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(sample), "__id").select("__grade", "__text")
     dims = how.dims_log2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
                 out += [index[a:b].astype(np.int32).tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(out, pa.binary())], ["grade", "features"])
 
-    # copies of a rated id may repeat it; the bound holds for them too
-    rows = chosen.mapInArrow(run, "grade int, features binary").limit(how.max_labelled).toArrow()
+    # several rows may bear a rated id; the bound holds for them too, and the same rows are taken each time
+    rows = chosen.mapInArrow(run, "grade int, features binary").orderBy(F.xxhash64("features"), "grade").limit(how.max_labelled).toArrow()
     parts = [np.frombuffer(x, np.int32) for x in rows["features"].to_pylist()]
     ptr = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
     index = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)

@@ -4,7 +4,7 @@ import corpus_pipeline
 from broadsheet.llm import decontamination, mixing, near_dedup, quality_classifier
 from broadsheet.llm.cluster import written
 
-from .conftest import SF, words
+from .conftest import ODD, SF, frame, words
 
 
 def test_stages(spark):
@@ -55,6 +55,29 @@ def test_stages(spark):
     assert sorted(map(repr, corpus_pipeline.run(spark, SF).collect())) == sorted(map(repr, rows))
 
 
+def test_edges(spark, tmp_path):
+    own = ["found", "row", "__v", "__m", "__row", "__key", "c0"]
+    labels = spark.createDataFrame([(4, 1, 0), (7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, "x")], "item_id long, text string")
+    for name, rows in (("odd", ODD), ("none", [])):
+        at = str(tmp_path / name)
+        docs = frame(spark, rows, own)
+        for table, df in (("documents", docs), ("labels", labels.limit(len(rows))), ("benchmark", bench.limit(len(rows)))):
+            df.write.parquet(f"{at}/{table}.parquet")
+        docs = spark.read.schema(docs.schema).parquet(f"{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            after = written(f(spark, docs, at), stage.replace(" ", "-"))
+            assert after.columns == docs.columns
+            assert after.exceptAll(docs).isEmpty()
+            if stage == "near-dedup" and rows:
+                assert len({tuple(words(r["text"])) for r in docs.collect()}) == after.count()
+            if stage == "benchmark decontamination":
+                assert not {"one two three four five six seven", "x"} & {r["text"] for r in after.collect()}
+            docs = after
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, at)
+        assert out.count() == docs.count() == corpus_pipeline.run(spark, at).count()
+
+
 def test_sql_is_left_out():
     assert corpus_pipeline.ORACLE_SQL is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "near-dedup", "benchmark decontamination", "mixing", "sharding"]
