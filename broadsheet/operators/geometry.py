@@ -47,27 +47,32 @@ def convex_hulls(points: DataFrame) -> DataFrame:
 
 
 def parts_of(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Number of the 8-connected component of each cell, in the order of the cells' least (y, x)."""
-    order = np.lexsort((x, y))
-    place = {(int(y[i]), int(x[i])): i for i in order}
-    parent = np.arange(len(y))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for (cy, cx), i in place.items():
-        for dy, dx in ((-1, -1), (-1, 0), (-1, 1), (0, -1)):
-            j = place.get((cy + dy, cx + dx))
-            if j is not None:
-                parent[root(i)] = root(j)
-    roots = np.array([root(place[int(y[i]), int(x[i])]) for i in range(len(y))], int)
-    names: dict[int, int] = {}
-    for i in order:
-        names.setdefault(int(roots[i]), len(names) + 1)
-    return np.array([names[int(r)] for r in roots], int)
+    """Number of the 8-connected component of each cell, in the order of the cells' least (y, x).
+
+    Cells are one sorted array; neighbours are found by search, and labels fall to the least of each
+    component by neighbours' labels and then labels' own labels.
+    """
+    if not len(y):
+        return np.zeros(0, int)
+    wide = int(x.max()) - int(x.min()) + 3
+    key = (y.astype(np.int64) - int(y.min())) * wide + (x.astype(np.int64) - int(x.min()) + 1)
+    cells, back = np.unique(key, return_inverse=True)
+    pairs = []
+    for step in (1, wide - 1, wide, wide + 1):
+        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        met = np.flatnonzero(cells[at] == cells + step)
+        pairs.append((met, at[met]))
+    one, two = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    label = np.arange(len(cells))
+    while True:
+        least = np.minimum(label[one], label[two])
+        new = label.copy()
+        np.minimum.at(new, label[one], least)
+        np.minimum.at(new, label[two], least)
+        new = new[new]
+        if (new == label).all():
+            return (np.unique(label, return_inverse=True)[1] + 1)[back]
+        label = new
 
 
 def components(cells: DataFrame, min_cells: int = 1) -> DataFrame:

@@ -77,12 +77,22 @@ def affine_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round(back_x, 6).alias("back_x"), F.round(back_y, 6).alias("back_y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {roles.POINTS}, p AS (SELECT DISTINCT page, x, y FROM points),
+e AS (SELECT p.page, p.x, p.y, q.x AS tx, q.y AS ty FROM p JOIN p q ON p.page = q.page AND (p.x <> q.x OR p.y <> q.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p r WHERE r.page = p.page AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0)),
+walk AS (SELECT page, 0::BIGINT AS corner, x, y, x AS x0, y AS y0 FROM p QUALIFY row_number() OVER (PARTITION BY page ORDER BY x, y) = 1
+  UNION ALL SELECT w.page, corner + 1, tx, ty, x0, y0 FROM walk w JOIN e ON e.page = w.page AND e.x = w.x AND e.y = w.y WHERE tx <> x0 OR ty <> y0)
+SELECT page, corner, x, y, round(abs(sum(x * ny - nx * y) OVER (PARTITION BY page)) / 2, 6) AS area FROM (SELECT page, corner, x, y, coalesce(lead(x) OVER w, x0) AS nx, coalesce(lead(y) OVER w, y0) AS ny FROM walk WINDOW w AS (PARTITION BY page ORDER BY corner))""")
 def convex_hull(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.convex_hulls(roles.points(spark, d))
+    return geometry.convex_hulls(roles.points(spark, d)).withColumn("area", F.round("area", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {roles.PLANE}, cell AS (SELECT page, label, y, x, y * 64 + x AS k FROM plane WHERE label IN (7, 8, 9)),
+near AS (SELECT a.page, a.label, a.k AS a, b.k AS b FROM cell a JOIN cell b ON a.page = b.page AND a.label = b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+reach AS (SELECT page, label, k, k AS root FROM cell UNION SELECT n.page, n.label, n.b, root FROM reach r JOIN near n ON n.page = r.page AND n.label = r.label AND n.a = r.k WHERE root < n.b),
+part AS (SELECT page, label, k, min(root) AS root FROM reach GROUP BY ALL)
+SELECT page::BIGINT AS page, label::BIGINT AS label, row_number() OVER (PARTITION BY page, label ORDER BY root) AS component, n, miny, maxy, minx, maxx
+FROM (SELECT page, label, root, count(*) AS n, min(y)::BIGINT AS miny, max(y)::BIGINT AS maxy, min(x)::BIGINT AS minx, max(x)::BIGINT AS maxx FROM part JOIN cell USING (page, label, k) GROUP BY page, label, root)""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     cells = roles.plane(spark, d).filter("label in (7, 8, 9)")
     return geometry.components(cells.select(F.col("page").cast("long"), F.col("y").cast("long"), F.col("x").cast("long"), F.col("label").cast("long")))
@@ -93,7 +103,10 @@ def fit_polyline(spark: SparkSession, d: str) -> DataFrame:
     return geometry.polylines(roles.points(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {roles.boxes_sql("c", "c")},
+m AS (SELECT page, minx, miny, maxx, maxy, 0 AS turn FROM c
+  UNION ALL SELECT DISTINCT a.page, min(b.minx) AS minx, min(b.miny) AS miny, max(b.maxx) AS maxx, max(b.maxy) AS maxy, a.turn + 1 FROM m a JOIN m b ON a.page = b.page AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy WHERE a.turn < 20 GROUP BY a.page, a.minx, a.miny, a.maxx, a.maxy, a.turn)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY minx, miny, maxx, maxy) - 1 AS id, minx, miny, maxx, maxy FROM m WHERE turn = 20""")
 def merge_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return geometry.merge_to_fixpoint(roles.boxes(spark, d, "c"))
 
