@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims, tiling
-from ..operators import inference, rasters
+from ..operators import inference, planes, rasters, warps
 from . import roles
 from .registry import query
 
@@ -178,3 +179,35 @@ def corridor_join_guard(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS cls FROM embeddings")
 def argmax_first(spark: SparkSession, d: str) -> DataFrame:
     return roles.table(spark, d, "embeddings").select("vec_id", inference.first_maximum(F.col("embedding")).alias("cls"))
+
+
+@query(f"{_P} SELECT page, x AS y, 63 - y AS x, label FROM plane WHERE label <> 0")
+def rotate_plane(spark: SparkSession, d: str) -> DataFrame:
+    """Pages turned by 90 degrees as binary planes."""
+
+    def turned(plane: np.ndarray) -> np.ndarray:
+        matrix, shape = warps.rotation(plane.shape, 90)
+        return warps.affine(plane, matrix, shape)
+
+    return planes.unpacked(planes.transformed(planes.packed(roles.plane(spark, d), 64, 64), turned))
+
+
+@query(f"{_P} SELECT DISTINCT page, (y + dy)::INTEGER AS y, (x + dx)::INTEGER AS x, 1 AS label FROM plane, range(-1, 2) a(dy), range(-2, 3) b(dx) WHERE label IN (7, 8, 9) AND y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63")
+def dilate_plane(spark: SparkSession, d: str) -> DataFrame:
+    """Separators grown by a box of 3 x 5, on binary planes."""
+    cells = roles.plane(spark, d).filter(F.col("label").isin(7, 8, 9))
+    return planes.unpacked(planes.transformed(planes.packed(cells, 64, 64), planes.dilation(1, 2)))
+
+
+@query(f"""{_P}, f AS (SELECT page, y, x FROM plane WHERE label > 0)
+SELECT f.page, f.y, f.x, 1 AS label FROM f JOIN f l ON l.page = f.page AND l.y = f.y AND l.x = f.x - 1 JOIN f r ON r.page = f.page AND r.y = f.y AND r.x = f.x + 1""")
+def erode_plane(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with foreground on both sides, on binary planes."""
+    return planes.unpacked(planes.transformed(planes.packed(roles.plane(spark, d), 64, 64), planes.erosion(0, 1)))
+
+
+@query(f"{_P} SELECT page, y, x, label FROM plane WHERE label <> 0")
+def stitch_page(spark: SparkSession, d: str) -> DataFrame:
+    """Pages cut into overlapping tiles on both axes and put together from the tiles' inner parts."""
+    rows, columns = [(0, 40, 0, 32), (24, 64, 32, 64)], [(0, 30, 0, 23), (17, 47, 23, 40), (34, 64, 40, 64)]
+    return planes.unpacked(planes.stitched(planes.tiled(planes.packed(roles.plane(spark, d), 64, 64), rows, columns)))
