@@ -34,6 +34,20 @@ CLASSES = (
 # The parameter grid of the training runs.
 BACKBONES = ("resnet34", "resnet50", "seresnet34", "seresnet50", "vgg16", "inceptionv3", "efficientnetb1", "efficientnetb2", "seresnext50", "inceptionresnetv2")
 MODELS = ("fpn", "unet")
+# Backbone and its family in the result tables.
+FAMILIES = {
+    "resnet18": "resnet",
+    "resnet34": "resnet",
+    "resnet50": "resnet",
+    "seresnet18": "seresnet",
+    "seresnet34": "seresnet",
+    "seresnet50": "seresnet",
+    "efficientnetb0": "efficientnet",
+    "efficientnetb1": "efficientnet",
+    "efficientnetb2": "efficientnet",
+    "inceptionv3": "inceptionv3",
+    "vgg16": "vgg16",
+}
 LAYOUTS = ("layout_512x768", "layout_768x1280_T768x512", "layout_896x1280_T512x768", "layout_640x1024_T384x1024", "layout_896x1280_T256x1280", "layout_896x1280_T896x384", "layout_896x1280", "layout_1280x2400_T1280x896", "layout_1640x2400_T896x1280")
 LARGE_LAYOUTS = ("layout_896x1280", "layout_1280x2400_T1280x896", "layout_1640x2400_T896x1280")
 TEXT_LABELS = (1, 2, 3, 4, 5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dims import FAMILIES, literal_map
 from ..functions.numbers import steady
 
 
@@ -45,6 +46,40 @@ def last_best(samples: DataFrame, key: str) -> DataFrame:
     return samples.groupBy(key).agg(F.max_by(F.struct("ord", "value"), F.struct("value", "ord")).alias("b")).select(key, "b.*")
 
 
+def family_best(samples: DataFrame) -> DataFrame:
+    """The best sample of each model and backbone family, from (model, backbone, ord, value).
+
+    ``best_of_model`` and ``best`` mark the best family of its model and of all; a tie goes to the later
+    sample, and between families or models to the one that is first seen later.
+    """
+    family = F.coalesce(literal_map(FAMILIES)[F.col("backbone")], F.lit("other")).alias("family")
+    each = samples.groupBy("model", family).agg(F.max_by(F.struct("backbone", "value"), F.struct("value", "ord")).alias("b"), F.min("ord").alias("seen"))
+    each = each.select("model", "family", "b.*", "seen")  # a row a model and family
+    model, every = Window.partitionBy("model"), Window.partitionBy(F.lit(0))
+    top = F.struct("value", "seen") == F.max(F.struct("value", "seen")).over(model)
+    each = each.withColumns({"best_of_model": top, "model_seen": F.min("seen").over(model), "model_value": F.max("value").over(model)})
+    first = F.struct("model_value", "model_seen") == F.max(F.struct("model_value", "model_seen")).over(every)
+    return each.select("model", "family", "backbone", "value", "best_of_model", (F.col("best_of_model") & first).alias("best"))
+
+
+def best_against_tool(samples: DataFrame, tool: DataFrame, prefer: str = "fpn") -> DataFrame:
+    """The better model of each cell (labels, tiling, backbone), and whether no other cell of its tiling nor the tool's result (labels, tiling, value) is better; ``prefer`` wins ties."""
+    cell = samples.groupBy("labels", "tiling", "backbone").agg(F.max_by(F.struct("model", "value"), F.struct(F.col("value"), (F.col("model") == prefer).cast("int"))).alias("c"))
+    cell = cell.select("labels", "tiling", "backbone", "c.*")
+    top = cell.groupBy("labels", "tiling").agg(F.max("value").alias("top")).join(tool.select("labels", "tiling", F.col("value").alias("tool")), ["labels", "tiling"], "left")
+    top = top.select("labels", "tiling", F.greatest("top", F.coalesce("tool", F.lit(0.0)), F.lit(0.0)).alias("top"))
+    return cell.join(top, ["labels", "tiling"]).select(*cell.columns, "top", (F.col("value") == F.col("top")).alias("is_best"))
+
+
+def by_fraction(samples: DataFrame, modes: list[str], steps: int = 10) -> DataFrame:
+    """(labels, partial, value) at each decimal fraction of the training data, of the first sample's (tiling, backbone, model) at fold 1; of samples with the same configuration the last by ``ord``."""
+    config = ["tiling", "backbone", "model"]
+    default = samples.agg(F.min_by(F.struct(*config), "ord").alias("d")).select("d.*")
+    wanted = [i / steps for i in range(steps + 1)]
+    same = samples.filter(F.col("labels").isin(*modes) & (F.col("fold") == 1) & F.col("partial").isin(*wanted)).join(F.broadcast(default), config, "left_semi")  # one row
+    return same.groupBy("labels", "partial").agg(F.max_by("value", "ord").alias("value"))
+
+
 def runtime_by_gpu(runs: DataFrame, key: list[str], order: list[str], backbones: list[str]) -> DataFrame:
     """Card seconds and runs by card model, and the mean card seconds of a run over all cards.
 

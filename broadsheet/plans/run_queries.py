@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dims import BACKBONES
 from ..operators import datasets, runs
 from . import roles
 from .registry import query
@@ -118,3 +119,40 @@ def json_config_extract(spark: SparkSession, d: str) -> DataFrame:
 def batch_drop_remainder(spark: SparkSession, d: str) -> DataFrame:
     rows = roles.table(spark, d, "events").select(F.col("event_type").alias("grp"), "event_id")
     return datasets.batches(rows, ["event_id"], 7)
+
+
+_SAMPLES = f"""s AS (SELECT {list(BACKBONES)}[event_id % 10 + 1] AS backbone, CASE WHEN user_id % 2 = 0 THEN 'fpn' ELSE 'unet' END AS model, ['blkx', 'blk', 'sep'][user_id % 3 + 1] AS labels,
+(event_id % 4)::INTEGER AS tiling, (user_id % 5 + 1)::INTEGER AS fold, (event_id % 20) / 20.0::DOUBLE AS partial, round(value, 0) / 1000 AS value, event_id AS ord FROM events)"""
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    user, event = F.col("user_id"), F.col("event_id")
+    pick = lambda values, i: F.array(*map(F.lit, values))[i.cast("int")]
+    return roles.table(spark, d, "events").select(pick(BACKBONES, event % 10).alias("backbone"), pick(("fpn", "unet"), user % 2).alias("model"), pick(("blkx", "blk", "sep"), user % 3).alias("labels"), (event % 4).cast("int").alias("tiling"), (user % 5 + 1).cast("int").alias("fold"), ((event % 20) / F.lit(20.0)).alias("partial"), (F.round("value", 0) / 1000).alias("value"), event.alias("ord"))
+
+
+_FAMILY = "CASE WHEN backbone IN ('resnet34', 'resnet50') THEN 'resnet' WHEN backbone IN ('seresnet34', 'seresnet50') THEN 'seresnet' WHEN backbone LIKE 'efficientnet%' THEN 'efficientnet' WHEN backbone IN ('inceptionv3', 'vgg16') THEN backbone ELSE 'other' END"
+
+
+@query(f"""WITH {_SAMPLES}, f AS (SELECT *, {_FAMILY} AS family FROM s),
+e AS (SELECT model, family, backbone, value, min(ord) OVER (PARTITION BY model, family) AS seen FROM f QUALIFY row_number() OVER (PARTITION BY model, family ORDER BY value DESC, ord DESC) = 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY value DESC, seen DESC) = 1 AS best_of_model, min(seen) OVER (PARTITION BY model) AS model_seen FROM e)
+SELECT model, family, backbone, value, best_of_model, best_of_model AND row_number() OVER (PARTITION BY best_of_model ORDER BY value DESC, model_seen DESC) = 1 AS best FROM m""")
+def best_backbone_family(spark: SparkSession, d: str) -> DataFrame:
+    return runs.family_best(_samples(spark, d))
+
+
+@query(f"""WITH {_SAMPLES}, tool AS (SELECT ['blkx', 'blk', 'sep', 'none'][(c_custkey % 4 + 1)] AS labels, (c_nationkey % 4)::INTEGER AS tiling, max(c_acctbal) / 20000 AS value FROM customer GROUP BY ALL),
+c AS (SELECT labels, tiling, backbone, model, value FROM s QUALIFY row_number() OVER (PARTITION BY labels, tiling, backbone ORDER BY value DESC, model) = 1),
+t AS (SELECT labels, tiling, greatest(max(c.value), coalesce(max(tool.value), 0), 0) AS top FROM c LEFT JOIN tool USING (labels, tiling) GROUP BY ALL)
+SELECT c.*, top, value = top AS is_best FROM c JOIN t USING (labels, tiling)""")
+def best_against_tool(spark: SparkSession, d: str) -> DataFrame:
+    labels = F.array(*map(F.lit, ("blkx", "blk", "sep", "none")))[(F.col("c_custkey") % 4).cast("int")]
+    tool = roles.table(spark, d, "customer").groupBy(labels.alias("labels"), (F.col("c_nationkey") % 4).cast("int").alias("tiling")).agg((F.max("c_acctbal") / 20000).alias("value"))
+    return runs.best_against_tool(_samples(spark, d), tool)
+
+
+@query(f"""WITH {_SAMPLES}, d AS (SELECT tiling, backbone, model FROM s ORDER BY ord LIMIT 1), n AS (SELECT i / 10.0::DOUBLE AS partial FROM range(11) r(i))
+SELECT labels, partial, value FROM s JOIN d USING (tiling, backbone, model) JOIN n USING (partial) WHERE fold = 1 QUALIFY row_number() OVER (PARTITION BY labels, partial ORDER BY ord DESC) = 1""")
+def score_by_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return runs.by_fraction(_samples(spark, d), ["blkx", "blk", "sep"])
