@@ -40,39 +40,50 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
 
 
 def may_merge(a: np.ndarray, b: np.ndarray) -> bool:
-    """Boxes with line heights (minx, miny, maxx, maxy, height, lines): heights within 1.5, a gap up to a quarter of the wider box, and single lines on one baseline."""
-    gap = max(b[0] - a[2], a[0] - b[2], 0)
+    """Boxes with line heights (minx, miny, maxx, maxy, height, lines): heights within 1.5, a gap up to a quarter of the wider box, and centres of single lines apart by at most half of the lesser height."""
+    gap = np.hypot(max(b[0] - a[2], a[0] - b[2], 0), max(b[1] - a[3], a[1] - b[3], 0))
     low, high = sorted((a[4], b[4]))
     if low <= 0 or high > 1.5 * low or gap > 0.25 * max(a[2] - a[0], b[2] - b[0]):
         return False
-    return not (a[5] == 1 and b[5] == 1 and abs(a[3] - b[3]) > 0.5 * low)
-
-
-def merged_rows(boxes: np.ndarray, stoppers: np.ndarray, shrink: float = 3.0, rule=may_merge) -> np.ndarray:
-    """Boxes side by side, taken from left to right, grow into one box while the rule allows and no stopper's box meets the line between their centres; repeated until nothing changes."""
-    rows = [tuple(map(float, b)) for b in boxes]
-
-    def stopped(a: tuple, b: tuple) -> bool:
-        ax, ay, bx, by = (a[0] + a[2]) / 2, (a[1] + a[3]) / 2, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
-        hit = (stoppers[:, 0] <= max(ax, bx)) & (stoppers[:, 2] >= min(ax, bx)) & (stoppers[:, 1] <= max(ay, by)) & (stoppers[:, 3] >= min(ay, by))
-        return bool(hit.any())
-
-    changed = True
-    while changed:
-        changed, rest = False, sorted(rows)
-        rows = []
-        while rest:
-            a = rest.pop(0)
-            for i, b in enumerate(rest):
-                level = a[1] < b[3] + 1 - shrink and b[1] + shrink < a[3] + 1
-                if level and rule(np.array(a), np.array(b)) and not stopped(a, b):
-                    rest.pop(i)
-                    rest.insert(0, (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4]), max(a[5], b[5])))
-                    changed = True
-                    break
-            else:
-                rows.append(a)
-    return np.array(sorted(rows)).reshape(-1, 6)
+    return not (a[5] == 1 and b[5] == 1 and abs(a[1] + a[3] - b[1] - b[3]) / 2 > 0.5 * low)
+
+
+def _met(box: np.ndarray, others: np.ndarray) -> int:
+    """How many of the boxes meet a box."""
+    return int(np.count_nonzero((others[:, 0] <= box[2]) & (others[:, 2] >= box[0]) & (others[:, 1] <= box[3]) & (others[:, 3] >= box[1])))
+
+
+def merged_rows(boxes: np.ndarray, stoppers: np.ndarray, min_overlap: float = 3.0, erosion: float = 20.0, rule=may_merge) -> np.ndarray:
+    """Boxes side by side merge in sweeps from left to right until a sweep changes nothing.
+
+    A box's partners in a sweep are those that overlap its height at its turn. One is merged if the rule
+    allows, no stopper's box meets the line between the centres, and the box of both, less the erosion, meets
+    no stopper and at most two of the boxes that the sweep began with.
+    """
+    rows = np.asarray(boxes, float).reshape(-1, 6)
+    while True:
+        rows = rows[np.lexsort(rows.T[::-1])]
+        free, out = np.ones(len(rows), bool), []
+        for i, a in enumerate(rows):
+            if not free[i]:
+                continue
+            free[i] = False
+            low, high = a[1] + min_overlap, a[3] + 1 - min_overlap
+            for j in np.flatnonzero(free & (rows[:, 1] < high) & (rows[:, 3] + 1 > low) & (low < high)):
+                b = rows[j]
+                centres = np.stack((a[:2] + a[2:4], b[:2] + b[2:4])) / 2
+                if not rule(a, b) or _met(np.concatenate((centres.min(0), centres.max(0))), stoppers):
+                    continue
+                both = np.concatenate((np.minimum(a[:2], b[:2]), np.maximum(a[2:4], b[2:4]), [min(a[4], b[4]), max(a[5], b[5])]))
+                inner = both[:4] + erosion * np.array([1, 1, -1, -1])
+                if (inner[:2] < inner[2:]).all() and (_met(inner, stoppers) or _met(inner, rows) > 2):
+                    continue
+                free[j] = False
+                a = both
+            out.append(a)
+        if len(out) == len(rows):
+            return rows
+        rows = np.array(out)
 
 
 def horizontal_merges(boxes: DataFrame, stoppers: DataFrame) -> DataFrame:

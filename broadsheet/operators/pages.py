@@ -45,13 +45,20 @@ def length_inside(ring: np.ndarray, line: np.ndarray) -> float:
     return max(0.0, high - low) * float(np.hypot(*way))
 
 
-def _sides(rings: list[np.ndarray], line: np.ndarray) -> list[np.ndarray]:
-    """Signed distances of all corners from a line; positive below a line to the right and right of a line downwards."""
+def _normal(line: np.ndarray) -> np.ndarray:
+    """Across a line: downwards of a level one, to the right of an upright one."""
     n = np.array([line[0][1] - line[1][1], line[1][0] - line[0][0]])
-    n = n if (n[1], n[0]) > (0, 0) else -n
-    if not rings:
-        return []
-    return np.split((np.concatenate(rings) - line[0]) @ n, np.cumsum([len(r) for r in rings])[:-1])
+    return n if (n[1], n[0]) > (0, 0) else -n
+
+
+def _crosses(content: list[np.ndarray], lines: list[np.ndarray]) -> np.ndarray:
+    """Whether each line meets any of the rings."""
+    if not content or not lines:
+        return np.zeros(len(lines), bool)
+    corners, starts = np.concatenate(content), np.cumsum([0, *map(len, content[:-1])])
+    normals = np.array([_normal(line) for line in lines])
+    side = corners @ normals.T - (normals * np.array([line[0] for line in lines])).sum(1)
+    return ((np.minimum.reduceat(side, starts) <= 0) & (np.maximum.reduceat(side, starts) >= 0)).any(0)
 
 
 def split_frames(frame: np.ndarray, content: list[np.ndarray], lines: list[tuple[str, int, np.ndarray]]) -> list[tuple[str, np.ndarray]]:
@@ -64,16 +71,17 @@ def split_frames(frame: np.ndarray, content: list[np.ndarray], lines: list[tuple
     todo, leaves = [("", frame, content, lines)], []
     while todo:
         path, frame, content, lines = todo.pop()
-        crosses = [any(d.min() <= 0 <= d.max() for d in _sides(content, line)) for _, _, line in lines]
+        crosses = _crosses(content, [line for _, _, line in lines])
         ranked = sorted(range(len(lines)), key=lambda i: (crosses[i], lines[i][0] != "H", lines[i][2].mean(0)[1 if lines[i][0] == "H" else 0], lines[i][1]))
-        side = _sides([frame], lines[ranked[0]][2])[0] if ranked else np.zeros(1)
+        side = (frame - lines[ranked[0]][2][0]) @ _normal(lines[ranked[0]][2]) if ranked else np.zeros(1)
         if not side.min() < 0 < side.max():
             leaves.append((path, frame))
             continue
         label, _, cut = lines[ranked[0]]
+        pieces = [(r, (r - cut[0]) @ _normal(cut)) for r in content]
         parts = []
         for sign in (-1, 1):
-            held = [clipped(r, sign * d) if d.min() < 0 < d.max() else r for r, d in zip(content, _sides(content, cut), strict=True) if (sign * d).max() > 0]
+            held = [clipped(r, sign * d) if d.min() < 0 < d.max() else r for r, d in pieces if (sign * d).max() > 0]
             parts.append((clipped(frame, sign * side), held))
         parts.sort(key=lambda p: centroid(p[0])[1 if label == "H" else 0])
         rest = [lines[i] for i in ranked[1:]]

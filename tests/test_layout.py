@@ -57,6 +57,25 @@ def test_horizontal_merges():
     assert not layout.may_merge(np.array((0, 0, 40, 10, 10, 1)), np.array((45, 0, 90, 20, 20, 1)))
 
 
+def test_horizontal_merge_rules():
+    none = np.zeros((0, 4))
+    n_left = lambda boxes, stoppers=none: len(layout.merged_rows(np.array(boxes, float), np.array(stoppers, float)))
+    tall = [(0, 0, 100, 60, 60, 1), (110, 0, 210, 60, 60, 1)]
+    assert n_left(tall) == 1
+    # off the line between the centres at y 30, but inside (20, 20, 190, 40)
+    assert n_left(tall, [(50, 35, 60, 38)]) == 2
+    assert n_left(tall, [(50, 45, 60, 48)]) == 1
+    # a third box inside the merged one
+    assert n_left([*tall, (90, 25, 120, 28, 3, 1)]) == 3
+    # equal lower edges, centres 5 apart with heights of 8: half of it is 4
+    assert n_left([(0, 0, 40, 20, 8, 1), (45, 10, 85, 20, 8, 1)]) == 2
+    assert n_left([(0, 0, 40, 20, 8, 2), (45, 10, 85, 20, 8, 1)]) == 1
+    # too low to overlap by 3 at both borders
+    assert n_left([(0, 0, 40, 4, 4, 1), (45, 0, 85, 4, 4, 1)]) == 2
+    # the second sweep joins what the first one's widths left apart
+    assert n_left([(0, 0, 8, 10, 10, 1), (11, 0, 31, 10, 10, 1), (32, 0, 52, 10, 10, 1)]) == 1
+
+
 def test_horizontal_merges_by_page(spark):
     b = spark.createDataFrame([(1, 0.0, 0.0, 40.0, 10.0, 10.0, 1), (1, 45.0, 0.0, 90.0, 10.0, 10.0, 1), (2, 0.0, 0.0, 40.0, 10.0, 10.0, 1)], "page long, minx double, miny double, maxx double, maxy double, height double, n_lines long")
     s = spark.createDataFrame([(3, 0.0, 0.0, 1.0, 1.0)], "page long, minx double, miny double, maxx double, maxy double")
