@@ -6,7 +6,7 @@ what follows works on documents x classes**2 rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio, steady, truncated
@@ -17,10 +17,39 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 
 def class_sums(cells: DataFrame) -> DataFrame:
-    """(doc, class, hit, actual, predicted) of classes in truth or prediction."""
-    sides = cells.select("doc", F.col("truth").alias("class"), "n", F.lit(0).alias("p"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("hit"))
-    sides = sides.select("doc", "class", F.col("n").alias("a"), "p", "hit").unionByName(cells.select("doc", F.col("pred").alias("class"), F.lit(0).cast("long").alias("a"), F.col("n").alias("p"), F.lit(0).cast("long").alias("hit")))
-    return sides.groupBy("doc", "class").agg(F.sum("hit").alias("hit"), F.sum("a").alias("actual"), F.sum("p").alias("predicted"))
+    """(doc, class, hit, actual, predicted, within) of classes in truth or prediction; within counts a class's predictions whose truth is predicted somewhere in the document."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    seen = F.array_contains(F.collect_set("pred").over(Window.partitionBy("doc")), F.col("truth"))  # as many as there are classes
+    one = lambda cls, a, p, hit, within: F.struct(F.col(cls).alias("class"), a.alias("a"), p.alias("p"), hit.alias("hit"), within.alias("within"))
+    hit = F.when(F.col("truth") == F.col("pred"), n).otherwise(none)
+    sides = cells.withColumn("seen", seen).select("doc", F.explode(F.array(one("truth", n, none, none, none), one("pred", none, n, hit, F.when(F.col("seen"), n).otherwise(none)))).alias("s"))
+    return sides.select("doc", "s.*").groupBy("doc", "class").agg(F.sum("hit").alias("hit"), F.sum("a").alias("actual"), F.sum("p").alias("predicted"), F.sum("within").alias("within"))
+
+
+def _lsd() -> list[Column]:
+    """Of the rows of ``class_sums`` of a document; only predicted classes count."""
+    hit, predicted = F.col("hit"), F.col("predicted")
+    used = lambda x: F.when(predicted > 0, x)
+    iu = ratio(hit, predicted + F.col("within") - hit)
+    measures = {"pixel_accuracy": F.sum("hit") / F.sum("predicted"), "lsd_mean_accuracy": F.avg(used(ratio(hit, predicted))), "lsd_mean_iu": F.avg(used(iu)), "lsd_fw_iu": F.sum(used(predicted * iu)) / F.sum("predicted")}
+    return [steady(x).alias(k) for k, x in measures.items()]
+
+
+def _averages() -> list[Column]:
+    hit, actual, predicted, n = F.col("hit"), F.col("actual"), F.col("predicted"), F.sum("actual")
+    each = {"precision": ratio(hit, predicted), "recall": ratio(hit, actual), "jaccard": ratio(hit, actual + predicted - hit)}
+    micro = {"precision": F.sum("hit") / n, "recall": F.sum("hit") / n, "jaccard": F.sum("hit") / (2 * n - F.sum("hit"))}
+    return [
+        *[steady(x).alias(f"{k}_micro") for k, x in micro.items()],
+        *[steady(F.avg(x)).alias(f"{k}_macro") for k, x in each.items()],
+        *[steady(F.sum(x * actual) / n).alias(f"{k}_weighted") for k, x in each.items()],
+    ]
+
+
+def _matthews() -> list[Column]:
+    a, p, n = F.col("actual").cast("double"), F.col("predicted").cast("double"), F.sum("actual").cast("double")
+    root = F.sqrt((n * n - F.sum(p * p)) * (n * n - F.sum(a * a)))
+    return [steady(ratio(n * F.sum("hit").cast("double") - F.sum(a * p), root)).alias("matthews")]
 
 
 def lsd_metrics(cells: DataFrame) -> DataFrame:
@@ -29,50 +58,28 @@ def lsd_metrics(cells: DataFrame) -> DataFrame:
     The class total is that of the predictions, and the union counts only truth classes
     that are predicted somewhere; published figures rest on both.
     """
-    column = Window.partitionBy("doc", "pred")
-    totals = cells.withColumn("predicted", F.sum("n").over(column))
-    known = cells.select("doc", F.col("pred").alias("truth")).distinct()
-    inner = totals.join(known.withColumn("inside", F.lit(True)), ["doc", "truth"], "left")
-    by_class = inner.groupBy("doc", "pred", "predicted").agg(F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("hit"), F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("within"))
-    union = F.col("predicted") + F.col("within") - F.col("hit")
-    return by_class.groupBy("doc").agg(
-        steady(F.sum("hit") / F.sum("predicted")).alias("pixel_accuracy"),
-        steady(F.avg(F.col("hit") / F.col("predicted"))).alias("lsd_mean_accuracy"),
-        steady(F.avg(ratio(F.col("hit"), union))).alias("lsd_mean_iu"),
-        steady(F.sum(F.col("predicted") * ratio(F.col("hit"), union)) / F.sum("predicted")).alias("lsd_fw_iu"),
-    )
+    return class_sums(cells).groupBy("doc").agg(*_lsd())
 
 
 def precision_recall_jaccard(cells: DataFrame) -> DataFrame:
     """Micro, macro and weighted averages; a class without its denominator counts 0."""
-    c = class_sums(cells)
-    p, r, j = ratio(F.col("hit"), F.col("predicted")), ratio(F.col("hit"), F.col("actual")), ratio(F.col("hit"), F.col("actual") + F.col("predicted") - F.col("hit"))
-    n = F.sum("actual")
-    return c.groupBy("doc").agg(
-        steady(F.sum("hit") / n).alias("precision_micro"),
-        steady(F.sum("hit") / n).alias("recall_micro"),
-        steady(F.sum("hit") / (2 * n - F.sum("hit"))).alias("jaccard_micro"),
-        *[steady(F.avg(x)).alias(f"{k}_macro") for k, x in (("precision", p), ("recall", r), ("jaccard", j))],
-        *[steady(F.sum(x * F.col("actual")) / n).alias(f"{k}_weighted") for k, x in (("precision", p), ("recall", r), ("jaccard", j))],
-    )
+    return class_sums(cells).groupBy("doc").agg(*_averages())
 
 
 def matthews(cells: DataFrame) -> DataFrame:
     """Multi-class Matthews correlation; 0 where a margin holds one class only."""
-    s = class_sums(cells).groupBy("doc").agg(F.sum("hit").cast("double").alias("hit"), F.sum("actual").cast("double").alias("n"), F.sum(F.col("actual").cast("double") * F.col("predicted")).alias("ap"), F.sum(F.col("actual").cast("double") * F.col("actual")).alias("aa"), F.sum(F.col("predicted").cast("double") * F.col("predicted")).alias("pp"))
-    n = F.col("n")
-    return s.select("doc", steady(ratio(n * F.col("hit") - F.col("ap"), F.sqrt((n * n - F.col("pp")) * (n * n - F.col("aa"))))).alias("matthews"))
+    return class_sums(cells).groupBy("doc").agg(*_matthews())
 
 
 def iou(cells: DataFrame) -> DataFrame:
     """Plain mean and frequency-weighted intersection over union, by truth class."""
-    c = class_sums(cells)
     j = ratio(F.col("hit"), F.col("actual") + F.col("predicted") - F.col("hit"))
-    return c.groupBy("doc").agg(steady(F.avg(j)).alias("iou_mean"), steady(F.sum(j * F.col("actual")) / F.sum("actual")).alias("iou_weighted"))
+    return class_sums(cells).groupBy("doc").agg(steady(F.avg(j)).alias("iou_mean"), steady(F.sum(j * F.col("actual")) / F.sum("actual")).alias("iou_weighted"))
 
 
 def all_metrics(cells: DataFrame) -> DataFrame:
-    return lsd_metrics(cells).join(precision_recall_jaccard(cells), "doc").join(matthews(cells), "doc")
+    """All measures of a document from one pass over its cells."""
+    return class_sums(cells).groupBy("doc").agg(*_lsd(), *_averages(), *_matthews())
 
 
 def mean_over_documents(metrics: DataFrame, names: list[str]) -> DataFrame:
