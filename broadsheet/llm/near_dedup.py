@@ -279,14 +279,11 @@ def _pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
-    """(row, comp) of texts in classes of two or more, from (row, bands) with one row a text and the tokens of ``every`` row.
-
-    Joins of wide rows are merge joins at every size: a plan that changes with the input would hide how they grow.
-    """
+    """(row, comp) of texts in classes of two or more, from (row, bands) with one row a text and the tokens of ``every`` row."""
     keyed = texts.select("row", F.posexplode("bands").alias("f", "h")).select("row", "f", F.xxhash64("f", "h").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1")
-    members = written(keyed.join(shared.hint("merge"), "key").select("key", "f", "row", F.col("count").alias("n")), "near-members")
-    tokens = written(every.select("row", "tokens").join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "near-tokens")
+    members = written(keyed.join(shared, "key").select("key", "f", "row", F.col("count").alias("n")), "near-members")
+    tokens = written(every.select("row", "tokens").join(members.select("row").distinct(), "row", "left_semi"), "near-tokens")
     degree = members.groupBy("row").agg(F.sum("n").alias("degree"))
     first = members.join(degree, "row").groupBy("key").agg(F.max(F.struct("degree", "row")).alias("x")).select("key", F.col("x.row").alias("lead"))
     checked = _checked(_pairs(first, members.select("key", "row")), tokens, how)
@@ -325,7 +322,7 @@ def dedup_classes(docs: DataFrame, how: Dedup = Dedup(), text: str = "text") ->
     rows = written(named.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "s.*"), "near-rows")
     # of copies one row speaks for the text; only narrow rows find it
     speaker = written(rows.groupBy("tid").agg(F.min("row").alias("text_row")), "near-speakers")
-    texts = rows.select("row", "bands").join(speaker.select(F.col("text_row").alias("row")).hint("merge"), "row", "left_semi")
+    texts = rows.select("row", "bands").join(speaker.select(F.col("text_row").alias("row")), "row", "left_semi")
     classes = text_classes(texts, rows, how).withColumnRenamed("row", "text_row")
     narrow = rows.select("doc_id", "text_hash", "row", "tid").join(speaker, "tid")
     named = written(narrow.join(classes, "text_row", "left").select("doc_id", "text_hash", "row", F.coalesce("comp", "text_row").alias("comp")), "near-named")
