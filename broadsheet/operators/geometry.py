@@ -5,6 +5,8 @@ A page is a bounded unit (one scanned sheet), so a group never grows with the co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -143,6 +145,48 @@ def merge_to_fixpoint(boxes: DataFrame, gap: float = 0.0) -> DataFrame:
     return boxes.groupBy("page").applyInPandas(run, "page long, id long, minx double, miny double, maxx double, maxy double")
 
 
+def hulls_meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two convex hulls have a point in common (points and lines too): no axis along or across a side holds them apart."""
+    sides = np.concatenate([np.roll(h, -1, 0) - h for h in (a, b)] + [np.eye(2)])
+    axes = np.concatenate((sides, sides[:, ::-1] * (-1, 1)))
+    pa, pb = a @ axes.T, b @ axes.T
+    return bool(((pa.min(0) <= pb.max(0)) & (pb.min(0) <= pa.max(0))).all())
+
+
+def merged_hulls_of(hulls: list[np.ndarray]) -> list[tuple[list[int], np.ndarray]]:
+    """(members, hull) after hulls that meet are replaced by the hull of both until no two meet; the result doesn't depend on the order."""
+    live = {i: ([i], h) for i, h in enumerate(hulls)}
+    bounds = np.array([[*h.min(0), *h.max(0)] for h in hulls]).reshape(-1, 4)
+    todo = list(live)
+    while todo:
+        i = todo.pop()
+        if i not in live:
+            continue
+        b = bounds[i]
+        near = np.flatnonzero((bounds[:, :2] <= b[2:]).all(1) & (bounds[:, 2:] >= b[:2]).all(1)).tolist()
+        met = [i] + [j for j in near if j != i and hulls_meet(live[i][1], live[j][1])]
+        if len(met) > 1:
+            hull = hull_of(np.concatenate([live[j][1] for j in met]))
+            live[i] = (sorted(m for j in met for m in live[j][0]), hull)
+            bounds[i] = [*hull.min(0), *hull.max(0)]
+            for j in met[1:]:
+                del live[j]
+                bounds[j] = np.nan
+            todo.append(i)
+    return list(live.values())
+
+
+def merged_hulls(corners: DataFrame) -> DataFrame:
+    """Polygons (page, id, x, y), a row a corner, to their hulls, merged while any two of a page meet: the least id, all members, corners and area. A concave polygon counts as its hull."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [(i, hull_of(p[["x", "y"]].to_numpy())) for i, p in pdf.groupby("id")]
+        rows = [(pdf["page"].iloc[0], parts[m[0]][0], [parts[k][0] for k in m], [{"x": x, "y": y} for x, y in h.tolist()], area_of(h)) for m, h in merged_hulls_of([h for _, h in parts])]
+        return pd.DataFrame(rows, columns=["page", "id", "members", "corners", "area"])
+
+    return corners.groupBy("page").applyInPandas(run, "page long, id long, members array<long>, corners array<struct<x: double, y: double>>, area double")
+
+
 def may_join(a: np.ndarray, b: np.ndarray, horizontal: bool = True, most_distance: float = 25.0) -> bool:
     """Whether path b can follow path a: not from one and the same end, b starts onward in the label's direction, the gap runs parallel to the longer path, and b starts beside it by no more than the distance."""
     if (a[0] == b[0]).all() or (a[-1] == b[-1]).all():
@@ -251,3 +295,20 @@ def rasterised(ring: np.ndarray) -> np.ndarray:
         if ay != by:
             inside ^= ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
     return np.stack((ys[inside], xs[inside]), 1)
+
+
+def cells_of_rings(rings: DataFrame) -> DataFrame:
+    """Polygons (page, id, x, y as arrays) to the cells (page, id, y, x) whose centre they hold."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for page, i, x, y in zip(pdf["page"], pdf["id"], pdf["x"], pdf["y"], strict=True):
+                at = rasterised(np.stack((x, y), 1))
+                yield pd.DataFrame({"page": page, "id": i, "y": at[:, 0], "x": at[:, 1]})
+
+    return rings.select("page", "id", "x", "y").mapInPandas(run, "page long, id long, y int, x int")
+
+
+def labels_in_rings(plane: DataFrame, rings: DataFrame) -> DataFrame:
+    """(page, id, y, x, label) of the label plane (page, y, x, label) inside each polygon. A merge join: Spark knows the size of the polygons, not that of their cells."""
+    return cells_of_rings(rings).hint("merge").join(plane.select("page", "y", "x", "label"), ["page", "y", "x"]).select("page", "id", "y", "x", "label")

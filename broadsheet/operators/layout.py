@@ -30,6 +30,12 @@ def frames(blocks: DataFrame, least_share: float = 0.1) -> DataFrame:
     return good.groupBy("page").agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
 
 
+def block_widths(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Blocks (page, block) with the length of their longest line (page, block, length) as ``width``; 0 without lines."""
+    longest = lines.groupBy("page", "block").agg(F.max("length").alias("width"))
+    return blocks.join(longest, ["page", "block"], "left").fillna(0.0, ["width"])
+
+
 def grouped_lines(lines: DataFrame) -> DataFrame:
     """Lines (block, i, label, box) to one row for each run of equal labels, with its box; runs of label 5 are tables."""
     by = Window.partitionBy("block").orderBy("i")

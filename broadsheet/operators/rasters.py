@@ -18,6 +18,13 @@ def masked(plane: DataFrame, labels: tuple[int, ...], outside: int = 0) -> DataF
     return plane.withColumn("label", F.when(F.col("label").isin(*labels), F.col("label")).otherwise(outside))
 
 
+def one_hot(plane: DataFrame, classes: tuple[int, ...]) -> DataFrame:
+    """A column ``mask`` with one number for each class of a mask whose values are class + 1; with several classes the background, what is left of 1, comes last."""
+    marks = [(F.col("label") == c + 1).cast("double") for c in classes]
+    rest = [F.lit(1.0) - sum(marks[1:], marks[0])] if len(marks) > 1 else []
+    return plane.withColumn("mask", F.array(*marks, *rest))
+
+
 def without_separators(plane: DataFrame) -> DataFrame:
     return plane.withColumn("label", F.when(F.col("label").isin(*SEPARATOR_LABELS), 0).otherwise(F.col("label")))
 

@@ -29,6 +29,14 @@ def page_frames(spark: SparkSession, d: str) -> DataFrame:
     return layout.frames(roles.boxes(spark, d, "c").withColumn("width", F.lit(240.0)))
 
 
+@query(f"""{_CS}, l AS (SELECT page, id % 7 AS block, max(maxx - minx) AS width FROM c WHERE id % 7 > 0 GROUP BY ALL), b AS (SELECT DISTINCT page, id % 7 AS block FROM s)
+SELECT page, block, coalesce(width, 0) AS width FROM b LEFT JOIN l USING (page, block)""")
+def block_widths(spark: SparkSession, d: str) -> DataFrame:
+    block = (F.col("id") % 7).alias("block")
+    found = roles.boxes(spark, d, "c").filter("id % 7 > 0").select("page", block, (F.col("maxx") - F.col("minx")).alias("length"))
+    return layout.block_widths(roles.boxes(spark, d, "s").select("page", block).distinct(), found)
+
+
 @query(f"""{_C}, m AS (SELECT page, id, (id % 3)::INTEGER AS label, minx, miny, maxx, maxy FROM c),
 g AS (SELECT *, sum(ch) OVER (PARTITION BY page ORDER BY id)::BIGINT AS part FROM (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY page ORDER BY id) <> label THEN 1 ELSE 0 END AS ch FROM m))
 SELECT page AS block, part, label, count(*)::BIGINT AS n_lines, min(minx) AS minx, min(miny) AS miny, max(maxx) AS maxx, max(maxy) AS maxy, CASE WHEN label = 5 THEN 'table' ELSE 'text' END AS kind FROM g GROUP BY ALL""")

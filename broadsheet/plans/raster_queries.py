@@ -211,3 +211,9 @@ def stitch_page(spark: SparkSession, d: str) -> DataFrame:
     """Pages cut into overlapping tiles on both axes and put together from the tiles' inner parts."""
     rows, columns = [(0, 40, 0, 32), (24, 64, 32, 64)], [(0, 30, 0, 23), (17, 47, 23, 40), (34, 64, 40, 64)]
     return planes.unpacked(planes.stitched(planes.tiled(planes.packed(roles.plane(spark, d), 64, 64), rows, columns)))
+
+
+@query(f"""WITH {roles.PLANE} SELECT page, y, x, (label = 3)::INTEGER AS m0, (label = 6)::INTEGER AS m1, (label = 9)::INTEGER AS m2, (label NOT IN (3, 6, 9))::INTEGER AS background FROM plane""")
+def one_hot_masks(spark: SparkSession, d: str) -> DataFrame:
+    hot = rasters.one_hot(roles.plane(spark, d), (2, 5, 8))
+    return hot.select("page", "y", "x", *[F.col("mask")[i].cast("int").alias(n) for i, n in enumerate(("m0", "m1", "m2", "background"))])

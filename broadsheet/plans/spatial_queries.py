@@ -111,6 +111,23 @@ def merge_fixpoint(spark: SparkSession, d: str) -> DataFrame:
     return geometry.merge_to_fixpoint(roles.boxes(spark, d, "c"))
 
 
+@query()
+def merged_hulls(spark: SparkSession, d: str) -> DataFrame:
+    c = roles.boxes(spark, d, "c")
+    x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    ends = [(F.col("minx") - 20, y), (x, F.col("miny") - 15), (F.col("maxx") + 20, y), (x, F.col("maxy") + 15)]
+    corner = F.explode(F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ends]))
+    return geometry.merged_hulls(c.select("page", "id", corner.alias("p")).select("page", "id", "p.x", "p.y"))
+
+
+@query(f"""WITH {roles.PLANE}, r AS (SELECT s_suppkey AS page, s_suppkey % 40 + 12 AS cx, s_suppkey * 7 % 40 + 12 AS cy FROM supplier)
+SELECT page, page * 10 AS id, y, x, label FROM plane JOIN r USING (page) WHERE abs(x + 0.5 - cx) + abs(y + 0.5 - cy) < 8.5""")
+def labels_in_polygon(spark: SparkSession, d: str) -> DataFrame:
+    cx, cy = (F.col("s_suppkey") % 40 + 12).cast("double"), (F.col("s_suppkey") * 7 % 40 + 12).cast("double")
+    rings = roles.table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), (F.col("s_suppkey") * 10).alias("id"), F.array(cx - 8.5, cx, cx + 8.5, cx).alias("x"), F.array(cy, cy - 8.5, cy, cy + 8.5).alias("y"))
+    return geometry.labels_in_rings(roles.plane(spark, d), rings)
+
+
 @query()
 def endpoint_merges(spark: SparkSession, d: str) -> DataFrame:
     b = roles.boxes(spark, d, "s")
