@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_rules, lm_score, mixing, near_dedup, quality_classifier, secret_scan, sharding, substring_dedup, token_counts
+from . import decontamination, lexical_search, line_rules, lm_score, mixing, near_dedup, piece_codec, quality_classifier, secret_scan, sharding, substring_dedup, token_alignment, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -57,6 +57,22 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir), keep=["doc_id"])
 
 
-_ALL = (op1_ordinal_quality, op2_line_rules, op2_cleaned_text, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_secret_scan, op8_lm_score, op9_token_counts, op10_hash_tree)
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.encode_digests(_table(spark, sf_dir), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(_table(spark, sf_dir), *(str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (op1_ordinal_quality, op2_line_rules, op2_cleaned_text, op3_mix_sources, op4_substring_dedup, op5_near_dedup, op6_decontaminate, op7_secret_scan, op8_lm_score, op9_token_counts, op10_hash_tree, op11_piece_codec, op12_token_alignment, op13_lexical_search)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op2_line_rules": line_rules.oracle(), "op3_mix_sources": mixing.oracle(), "op4_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": decontamination.oracle(), "op10_hash_tree": sharding.oracle()}
+ORACLES = {"op2_line_rules": line_rules.oracle(), "op3_mix_sources": mixing.oracle(), "op4_substring_dedup": substring_dedup.oracle(), "op6_decontaminate": decontamination.oracle(), "op10_hash_tree": sharding.oracle(), "op13_lexical_search": lexical_search.oracle()}
