@@ -9,13 +9,17 @@ The allow-list drops candidates that are words, identifiers, paths, host names,
 UUIDs or repeats, pieces of candidates that hold a placeholder, and those inside a span that a pattern kind has
 found already.
 
-Null text counts as empty and has no spans. Offsets count code points, ends are
+Texts and candidates of any length are scanned whole, in time proportional to their length: a
+candidate in pieces of 65,536 characters that overlap by a window, matches in blocks; no pattern steps back
+over a long run. Null text counts as empty and has no spans. Offsets count code points, ends are
 exclusive. Repeated rows keep a row each; an empty table gives an empty result;
 other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,8 +51,8 @@ CLASSES = (
 NAME = r"[a-z]?(?:[A-Z]*+[a-z]{2,}+)*+[A-Z]*+"
 #: A candidate that any of these matches as a whole is no secret.
 ALLOW = (
-    rf"[-_/+]*(?:{NAME}[-_/+]+)*+{NAME}=*",  # words, alone or joined by marks
-    r"[-_/+]*[0-9]+([-_/+][0-9]+)*[-_/+]*",  # numbers and dates
+    rf"[-_/+]*+(?:{NAME}[-_/+]++)*+{NAME}=*",  # words, alone or joined by marks
+    r"[-_/+]*+[0-9]++(?:[-_/+][0-9]++)*+[-_/+]*",  # numbers and dates; no group is left by stepping back, so none recurses
     r"[-_=+/]+",  # rules
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
 )
@@ -58,50 +62,106 @@ BESIDE = rf"((?:(?<![0-9A-Za-z])(?![0-9A-Za-z]*{PLACEHOLDER})[0-9A-Za-z]++|[-_/+
 ALLOWED = r"\A(?:" + "|".join(ALLOW) + r")\z"
 
 
+_SPAN = "array<struct<at:int,to:int,found:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; a column named twice would be worked out twice."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scanned(items: Column, carry: Column, empty: Column, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 256) -> Column:
+    """What the steps give, one after the other: step(carry, item) is the next carry and an array. Blocks keep the copies of a growing array short."""
+
+    def inner(acc: Column, item: Column) -> Column:
+        after, new = step(acc["carry"], item)
+        return F.struct(after.alias("carry"), F.concat(acc["out"], new).alias("out"))
+
+    def outer(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["carry"].alias("carry"), empty.alias("out")), inner)
+        return _let(done, lambda x: F.struct(x["carry"].alias("carry"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def whole(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / block).cast("int"), F.lit(0))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * block + 1, block))
+        return F.flatten(F.aggregate(parts, F.struct(carry.alias("carry"), F.slice(F.array(empty), 1, 0).alias("out")), outer)["out"])
+
+    return _let(items, whole)
+
+
 def _matches(text: Column, pattern: str, group: int, least: int) -> Column:
     """array<struct<at, to, found>> of non-overlapping matches whose group has ``least`` characters; pieces between matches give the offsets."""
     gaps, whole, part = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), whole.alias("whole"), part.alias("part"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,to:int,found:string>>").alias("spans"))
+    none = F.array().cast(_SPAN)
 
-    def step(acc: Column, m: Column) -> Column:
-        at = acc["pos"] + m["gap"]
+    def step(pos: Column, m: Column) -> tuple[Column, Column]:
+        at = pos + m["gap"]
         to = at + F.coalesce(F.length(m["whole"]), F.lit(0))
-        new = F.array(F.struct(at.alias("at"), to.alias("to"), m["part"].alias("found")))
-        return F.struct(to.alias("pos"), F.when(F.length(m["part"]) >= least, F.concat(acc["spans"], new)).otherwise(acc["spans"]).alias("spans"))
+        return to, F.when(F.length(m["part"]) >= least, F.array(F.struct(at.alias("at"), to.alias("to"), m["part"].alias("found")))).otherwise(none)
+
+    return F.when(text.rlike(pattern), _scanned(zipped, F.lit(0), none, step)).otherwise(none)
+
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step)["spans"]).otherwise(F.array().cast("array<struct<at:int,to:int,found:string>>"))
+def _outside(candidates: Column, known: Column) -> Column:
+    """The candidates that no known span holds: in order of their starts, those that end behind every known span begun so far."""
+    ranked = lambda spans, rank: F.transform(spans, lambda x: F.struct(x["at"].alias("at"), F.lit(rank).alias("rank"), x["to"].alias("to"), x["found"].alias("found")))
+    none = F.array().cast(_SPAN)
 
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        free = (x["rank"] == 1) & (x["to"] > reach)
+        return F.when(x["rank"] == 0, F.greatest(reach, x["to"])).otherwise(reach), F.when(free, F.array(F.struct(x["at"].alias("at"), x["to"].alias("to"), x["found"].alias("found")))).otherwise(none)
 
-def _plogp(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    return _scanned(F.sort_array(F.concat(ranked(known, 0), ranked(candidates, 1))), F.lit(-1), none, step)
+
+
+#: Characters of a candidate that are held as an array at once.
+_CHARS = 1 << 16
 
 
 def _hot(found: Column, c: EntropyClass) -> Column:
     """struct<first, last> of the windows at or above the limit (0-based starts), nulls if none.
 
-    State: counts by character of the alphabet, and s = sum of count * log2(count).
+    State: the counts by character of the alphabet, some to a long, and s = sum of count * log2(count). A
+    step adds one to the count of the character that enters and takes one from that which leaves; s changes
+    by what these two counts give. A long candidate is taken in pieces that overlap by a window less one character.
     """
-    chars = F.split(found, "")
-    codes = F.transform(chars, lambda x: F.instr(F.lit(c.alphabet), x))
-    n = len(c.alphabet)
-    zero = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    full = F.log2(F.lit(float(c.window)))
+    bits = c.window.bit_length()
+    each = 62 // bits
+    n_longs = -(-len(c.alphabet) // each)
+    place = [c.alphabet.find(chr(i)) for i in range(128)]
+    # by character: which long holds its count, from which bit on, and a count of one there
+    table = F.array(*[F.struct(F.lit(i // each).alias("long"), F.lit(i % each * bits).alias("bit"), F.lit(1 << i % each * bits).cast("long").alias("one")) for i in place])
+    plogp = [n * math.log2(n) if n else 0.0 for n in range(c.window + 2)]
+    more = F.lit([b - a for a, b in zip(plogp, plogp[1:], strict=False)])  # from n to n + 1
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), n_longs).alias("counts"), F.lit(0.0).alias("s"), F.lit(1 - c.window).alias("begin"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    most = c.window * (math.log2(c.window) - c.limit)  # s of a window at the limit
+
+    def count(acc: Column, x: Column) -> Column:
+        return F.call_function("shiftright", acc["counts"][x["long"]], x["bit"]).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
 
     def slide(acc: Column, x: Column) -> Column:
-        enters, leaves, i = x["enters"], x["leaves"], x["i"]
-        out = F.coalesce(acc["counts"][leaves - 1], F.lit(0))
-        s1 = F.when(leaves > 0, acc["s"] - _plogp(out) + _plogp(out - 1)).otherwise(acc["s"])
-        here = acc["counts"][enters - 1] - F.when(leaves == enters, F.lit(1)).otherwise(F.lit(0))
-        s2 = s1 - _plogp(here) + _plogp(here + 1)
-        counts = F.transform(acc["counts"], lambda v, k: v + (k == enters - 1).cast("int") - (k == leaves - 1).cast("int"))
-        high = (i + 1 >= c.window) & (full - s2 / F.lit(float(c.window)) >= F.lit(c.limit))
-        begin = i + 1 - c.window
-        return F.struct(counts.alias("counts"), s2.alias("s"), F.when(high, F.coalesce(acc["first"], begin)).otherwise(acc["first"]).alias("first"), F.when(high, begin).otherwise(acc["last"]).alias("last"))
+        enters, leaves, begin = x["enters"], x["leaves"], acc["begin"]
+        # the one that leaves has gone when the other enters
+        here = count(acc, enters) - F.when(leaves["one"] == enters["one"], F.when(leaves["long"] == enters["long"], 1).otherwise(0)).otherwise(0)
+        s = acc["s"] - F.when(leaves["one"] > 0, more[count(acc, leaves) - 1]).otherwise(F.lit(0.0)) + more[here]
+        counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == enters["long"], enters["one"]).otherwise(F.lit(0).cast("long")) - F.when(k == leaves["long"], leaves["one"]).otherwise(F.lit(0).cast("long")))
+        return F.struct(counts.alias("counts"), s.alias("s"), begin.alias("begin"), acc["first"].alias("first"), acc["last"].alias("last"))
+
+    def judge(x: Column) -> Column:
+        high = (x["begin"] >= 0) & (x["s"] <= F.lit(most + 1e-9))
+        return F.struct(x["counts"].alias("counts"), x["s"].alias("s"), (x["begin"] + 1).alias("begin"), F.when(high, F.coalesce(x["first"], x["begin"])).otherwise(x["first"]).alias("first"), F.when(high, x["begin"]).otherwise(x["last"]).alias("last"))
+
+    def piece(k: Column) -> Column:
+        at = k * _CHARS
+        chars = F.transform(F.split(F.substring(found, at + 1, F.lit(_CHARS + c.window - 1)), ""), lambda x: table[F.ascii(x)])
+        nothing = F.array_repeat(F.struct(F.lit(0).alias("long"), F.lit(0).alias("bit"), F.lit(0).cast("long").alias("one")), c.window)
+        moves = lambda v: F.zip_with(v, F.slice(F.concat(nothing, v), 1, F.size(v)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
+        return _let(F.aggregate(_let(chars, moves), zero, lambda acc, x: _let(slide(acc, x), judge)), lambda x: F.struct((x["first"] + at).alias("first"), (x["last"] + at).alias("last")))
 
-    moves = F.transform(codes, lambda v, i: F.struct(i.alias("i"), v.alias("enters"), F.when(i >= c.window, F.element_at(codes, F.greatest(i - c.window, F.lit(0)) + 1)).otherwise(F.lit(0)).alias("leaves")))
-    end = F.aggregate(moves, zero, slide)
-    return F.struct(end["first"].alias("first"), end["last"].alias("last"))
+    last = F.greatest(F.floor((F.length(found) - c.window) / _CHARS).cast("int"), F.lit(0))
+    pieces = F.transform(F.sequence(F.lit(0), last), piece)
+    return _let(pieces, lambda x: F.struct(F.array_min(F.transform(x, lambda y: y["first"])).alias("first"), F.array_max(F.transform(x, lambda y: y["last"])).alias("last")))
 
 
 def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -112,14 +172,14 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     kinds = [kind for kind, *_ in BASE] + [c.kind for c in CLASSES]
     out = named.select(*keep, *[_matches(F.col("__text"), p, g, n).alias(f"__{kind}") for kind, p, g, n in BASE], *[_matches(F.col("__text"), c.candidate, 1, c.window).alias(f"__{c.kind}") for c in CLASSES])
     known = F.concat(*[F.col(f"__{kind}") for kind, *_ in BASE])
-    out = out.withColumn("__known", F.transform(known, lambda x: F.struct(x["at"].alias("at"), x["to"].alias("to"))))
+    out = out.withColumn("__known", known)
     for c in CLASSES:
-        inside = lambda x: F.exists(F.col("__known"), lambda b: (b["at"] <= x["at"]) & (b["to"] >= x["to"]))  # noqa: E731, B023
         # once for each candidate; those without a placeholder stay as they are
         beside = lambda x: F.when(x["found"].rlike(PLACEHOLDER), F.transform(_matches(x["found"], BESIDE, 1, c.window), lambda y: F.struct((x["at"] + y["at"]).alias("at"), (x["at"] + y["to"]).alias("to"), y["found"].alias("found")))).otherwise(F.array(x))  # noqa: E731, B023
         out = out.withColumn(f"__{c.kind}", F.when(F.exists(F.col(f"__{c.kind}"), lambda x: x["found"].rlike(PLACEHOLDER)), F.flatten(F.transform(F.col(f"__{c.kind}"), beside))).otherwise(F.col(f"__{c.kind}")))
-        open_ = F.filter(F.col(f"__{c.kind}"), lambda x: ~x["found"].rlike(ALLOWED) & ~inside(x))  # noqa: B023
-        out = out.withColumn(f"__{c.kind}", F.when(F.size(f"__{c.kind}") > 0, open_).otherwise(F.col(f"__{c.kind}")))
+        own = F.col(f"__{c.kind}")
+        out = out.withColumn(f"__{c.kind}", F.when(F.size(own) > 0, F.filter(own, lambda x: ~x["found"].rlike(ALLOWED))).otherwise(own))
+        out = out.withColumn(f"__{c.kind}", F.when((F.size(own) > 0) & (F.size("__known") > 0), _outside(own, F.col("__known"))).otherwise(own))
         hot = F.transform(F.col(f"__{c.kind}"), lambda x: F.struct(x["at"].alias("at"), _hot(x["found"], c).alias("h")))  # noqa: B023
         out = out.withColumn(f"__{c.kind}", F.when(F.size(f"__{c.kind}") > 0, hot).otherwise(F.array().cast("array<struct<at:int,h:struct<first:int,last:int>>>")))
         spans = F.transform(F.filter(F.col(f"__{c.kind}"), lambda x: x["h"]["first"].isNotNull()), lambda x: F.struct((x["at"] + x["h"]["first"]).alias("at"), (x["at"] + x["h"]["last"] + c.window).alias("to"), F.lit(None).cast("string").alias("found")))  # noqa: B023
