@@ -48,8 +48,8 @@ def convex_hulls(points: DataFrame) -> DataFrame:
     return points.groupBy("page").applyInPandas(run, "page long, corner long, x double, y double, area double")
 
 
-def parts_of(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Number of the 8-connected component of each cell, in the order of the cells' least (y, x).
+def parts_of(y: np.ndarray, x: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Number of the 8-connected component of each cell (4-connected if not ``diagonal``), in the order of the cells' least (y, x).
 
     Cells are one sorted array; neighbours are found by search, and labels fall to the least of each
     component by neighbours' labels and then labels' own labels.
@@ -60,7 +60,7 @@ def parts_of(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     key = (y.astype(np.int64) - int(y.min())) * wide + (x.astype(np.int64) - int(x.min()) + 1)
     cells, back = np.unique(key, return_inverse=True)
     pairs = []
-    for step in (1, wide - 1, wide, wide + 1):
+    for step in (1, wide - 1, wide, wide + 1) if diagonal else (1, wide):
         at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
         met = np.flatnonzero(cells[at] == cells + step)
         pairs.append((met, at[met]))
@@ -187,8 +187,17 @@ def merged_hulls(corners: DataFrame) -> DataFrame:
     return corners.groupBy("page").applyInPandas(run, "page long, id long, members array<long>, corners array<struct<x: double, y: double>>, area double")
 
 
-def may_join(a: np.ndarray, b: np.ndarray, horizontal: bool = True, most_distance: float = 25.0) -> bool:
-    """Whether path b can follow path a: not from one and the same end, b starts onward in the label's direction, the gap runs parallel to the longer path, and b starts beside it by no more than the distance."""
+def parallel(v: np.ndarray, w: np.ndarray) -> bool:
+    """Whether two vectors run in one direction or against each other, within 30 degrees, 15 if both are long; short ones (under 3) always do."""
+    nv, nw = np.hypot(*v), np.hypot(*w)
+    if min(nv, nw) < 3:
+        return True
+    phi = np.degrees(np.arccos(np.clip(v @ w / (nv * nw), -1, 1)))
+    return bool(min(phi, 180 - phi) <= (30 if min(nv, nw) < 50 else 15))
+
+
+def may_join(a: np.ndarray, b: np.ndarray, horizontal: bool = True, most_distance: float = 25.0, own_lengths: bool = False) -> bool:
+    """Whether path b can follow path a: not from one and the same end, b starts onward in the label's direction, the gap runs parallel to the longer path (judged with ``own_lengths`` only, as in ``lines.join_code``), and b starts beside it by no more than the distance."""
     if (a[0] == b[0]).all() or (a[-1] == b[-1]).all():
         return False
     gap = b[0] - a[-1]
@@ -197,15 +206,13 @@ def may_join(a: np.ndarray, b: np.ndarray, horizontal: bool = True, most_distanc
     length = lambda p: np.hypot(*np.diff(p, axis=0).T).sum()
     longer = a if length(a) > length(b) else b
     v = longer[-1] - longer[0]
-    nv, ng = np.hypot(*v), np.hypot(*gap)
-    if min(nv, ng) >= 3:
-        phi = np.degrees(np.arccos(np.clip(v @ gap / (nv * ng), -1, 1)))
-        if min(phi, 180 - phi) > (30 if min(nv, ng) < 50 else 15):
-            return False
+    nv = np.hypot(*v)
+    if own_lengths and not parallel(v, gap):
+        return False
     return bool(nv == 0 or abs((a[0] - b[0]) @ np.array([-v[1], v[0]])) / nv <= most_distance)
 
 
-def _greedy_chains(segments: np.ndarray, reach: float, horizontal: bool) -> tuple[list[tuple[int, int]], list[tuple[list[int], np.ndarray]]]:
+def _greedy_chains(segments: np.ndarray, reach: float, horizontal: bool, own_lengths: bool = False) -> tuple[list[tuple[int, int]], list[tuple[list[int], np.ndarray]]]:
     """The joins in the order made, and (members, path) of each chain that is left."""
     starts, ends = segments[:, :2], segments[:, 2:]
     d = np.hypot(*(ends[:, None, :] - starts[None, :, :]).transpose(2, 0, 1))
@@ -214,7 +221,7 @@ def _greedy_chains(segments: np.ndarray, reach: float, horizontal: bool) -> tupl
     chain = {i: ([i], segments[i].reshape(2, 2).astype(float)) for i in range(len(segments))}
     for i in np.lexsort((b, a, d[a, b])):
         p, q = int(a[i]), int(b[i])
-        if p in used_end or q in used_start or chain[p] is chain[q] or not may_join(chain[p][1], chain[q][1], horizontal):
+        if p in used_end or q in used_start or chain[p] is chain[q] or not may_join(chain[p][1], chain[q][1], horizontal, own_lengths=own_lengths):
             continue
         path = smoothed_at(np.concatenate((chain[p][1], chain[q][1])), len(chain[p][1]))
         whole = (chain[p][0] + chain[q][0], path)
@@ -230,13 +237,13 @@ def greedy_endpoint_merges(segments: np.ndarray, reach: float, horizontal: bool
     return _greedy_chains(segments, reach, horizontal)[0]
 
 
-def endpoint_merges(segments: DataFrame, reach: float = 500.0) -> DataFrame:
+def endpoint_merges(segments: DataFrame, reach: float = 500.0, own_lengths: bool = False) -> DataFrame:
     """(page, label, id, x0, y0, x1, y1) to the joined segments within page and label: the first member's id, all members in order and the path. Label H runs along x, others along y."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         ids, label = pdf["id"].to_numpy(), pdf["label"].iloc[0]
-        chains = _greedy_chains(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), reach, label == "H")[1]
+        chains = _greedy_chains(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), reach, label == "H", own_lengths)[1]
         rows = [(pdf["page"].iloc[0], label, ids[m[0]], [int(ids[i]) for i in m], [{"x": float(x), "y": float(y)} for x, y in path]) for m, path in chains]
         return pd.DataFrame(rows, columns=["page", "label", "id", "members", "path"])
 

@@ -73,3 +73,21 @@ def boxes(spark: SparkSession, d: str, table_key: str = "c") -> DataFrame:
 def boxes_sql(name: str, table_key: str) -> str:
     source, key = ("customer", "c_custkey") if table_key == "c" else ("supplier", "s_suppkey")
     return f"{name} AS (SELECT {table_key}_nationkey::BIGINT AS page, {key} AS id, ({key} * 37 % 1000)::DOUBLE AS minx, ({key} * 91 % 1000)::DOUBLE AS miny, ({key} * 37 % 1000 + {key} % 23 + 4)::DOUBLE AS maxx, ({key} * 91 % 1000 + {key} % 17 + 4)::DOUBLE AS maxy FROM {source})"
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Short horizontal (8) and vertical (9) segments on the pages of ``plane``; a page's share doesn't grow with the tables."""
+    flat, grown = F.col("l_linenumber") == 6, F.col("l_quantity") % 9 + 3
+    x0, y0 = (F.col("l_partkey") % 60).cast("double"), (F.col("l_orderkey") % 60).cast("double")
+    x1, y1 = x0 + F.when(flat, grown).otherwise(0.0), y0 + F.when(flat, 0.0).otherwise(grown)
+    line = table(spark, d, "lineitem").filter("l_linenumber >= 6")
+    return line.select(F.col("l_suppkey").cast("long").alias("page"), F.when(flat, 8).otherwise(9).alias("label"), _segment_id().alias("id"), x0.alias("x0"), y0.alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (F.col("l_partkey") % 3 + 1).cast("double").alias("thickness")).distinct()
+
+
+def _segment_id():
+    """Order, line, part and quantity in one number: order and line alone repeat."""
+    return ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")
+
+
+SEGMENTS = """seg AS (SELECT DISTINCT l_suppkey::BIGINT AS page, CASE WHEN l_linenumber = 6 THEN 8 ELSE 9 END AS label, ((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) * 100 + l_quantity::BIGINT AS id, (l_partkey % 60)::DOUBLE AS x0, (l_orderkey % 60)::DOUBLE AS y0,
+  (l_partkey % 60 + CASE WHEN l_linenumber = 6 THEN l_quantity % 9 + 3 ELSE 0 END)::DOUBLE AS x1, (l_orderkey % 60 + CASE WHEN l_linenumber = 6 THEN 0 ELSE l_quantity % 9 + 3 END)::DOUBLE AS y1, (l_partkey % 3 + 1)::DOUBLE AS thickness FROM lineitem WHERE l_linenumber >= 6)"""
