@@ -48,6 +48,7 @@ class Lm:
     range_tokens: int = 12_000_000
     splits: int = 8
     block_bytes: int = 1 << 22
+    key_bits: int = 64  # of a context and a word in one number
 
 
 _END = np.uint64(0x9FB21C651E98DF25)
@@ -311,6 +312,8 @@ def train(docs: DataFrame, how: Lm = Lm(), text: str = "text") -> list[Level]:
         so_far, n_words = list(made), made[0].nodes
         contexts = n_words + 1 if level == 1 else made[-1].nodes
         bits = (n_words + 1).bit_length()
+        if bits + max(contexts - 1, 0).bit_length() > how.key_bits:
+            raise ValueError(f"{contexts} contexts of {n_words} words need keys of more than {how.key_bits} bits: take a larger min_count or a smaller order")
         of_level = min(parts, max(1, contexts))
 
         def keys(block: words.Block, so_far=so_far, level=level) -> np.ndarray:
