@@ -342,7 +342,7 @@ def keep_one(docs: DataFrame, how: Dedup = Dedup()) -> DataFrame:
     own = docs.columns
     named = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"))
     kept = named.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
-    # rows that agree in doc_id and text can't be told apart above: of these one stays
+    # rows that agree in doc_id and text can't be told apart above: of these the one with the least hash of all columns stays
     if not named.groupBy("__doc", "__text").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__doc", "__text"])
+        kept = kept.groupBy("__doc", "__text").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
     return kept.select(*[F.col("__row")[c].alias(c) for c in own])
