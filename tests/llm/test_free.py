@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from broadsheet.llm import decontamination, lm_score, near_dedup, quality_classifier, substring_dedup, token_counts
+from broadsheet.llm import words as words_of
 from pyspark.sql import functions as F
 
 from .conftest import ODD, SF, frame, words
@@ -181,13 +182,38 @@ def test_contained_items_equal_sql(spark, documents):
     assert {"-6", "-9"} <= set(next(r["items"] for r in got.collect() if r["doc_id"] == 9001).split(","))
 
 
-def test_scattered_shingles_do_not_add_up_and_ids_may_be_text(spark):
+def test_scattered_shingles_add_up_and_ids_may_be_text(spark):
     item = [f"i{n}" for n in range(60)]
     filler = [f"f{n}" for n in range(3000)]
-    rows = [(1, " ".join(item[:32] + filler + item[28:]), "en", "s"), (2, " ".join(filler + item + filler), "en", "s"), (3, " ".join(filler[:5] + ["x", "y", "z"] + filler), "en", "s")]
+    rows = [(1, " ".join(item[:32] + filler + item[28:]), "en", "s"), (2, " ".join(filler + item + filler), "en", "s"), (3, " ".join(filler[:5] + ["x", "y", "z"] + filler), "en", "s"), (4, " ".join(item[:30] + filler + item[40:]), "en", "s")]
     bench = spark.createDataFrame([("long", " ".join(item)), ("three", "x y z"), ("both", "x  y\tz")], "item_id string, text string")
     got = {r["doc_id"]: (r["items"], r["best_share"]) for r in decontamination.decontaminate(frame(spark, rows), bench).collect()}
-    assert got == {1: ("", 0.0), 2: ("long", 1.0), 3: ("both,three", 1.0)}
+    assert got == {1: ("long", 1.0), 2: ("long", 1.0), 3: ("both,three", 1.0), 4: ("", 0.0)}
+
+
+def test_containment_does_not_depend_on_the_place():
+    """Pieces at every offset, any filler between them, items of 12 to 70 words, whole or with words changed: as plain sets say."""
+    how = decontamination.Containment()
+    rng = np.random.default_rng(8)
+    sizes = [12, 35, 36, 70]
+    items = [[f"i{k}w{n}" for n in range(m)] for k, m in enumerate(sizes)]
+    index = decontamination.index_items(pa.array(range(len(items))), pa.array([" ".join(i) for i in items]), how)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = [grams(i) for i in items]
+    texts, want = [], []
+    for offset in range(0, 65, 4):
+        for filler in (10, 30, 60, 120, 200):
+            for k, item in enumerate(items):
+                cut = len(item) // 2
+                first, second = item[: cut + 2], item[cut - 2 :]
+                if (offset + filler) % 3 == 0:
+                    second[len(second) // 2] = "changed"
+                w = [f"p{n}" for n in range(offset)] + first + [f"f{n}" for n in range(filler)] + second + [f"t{n}" for n in range(int(rng.integers(300)))]
+                own = grams(w)
+                texts.append(" ".join(w))
+                want.append({j: len(own & s) / len(s) for j, s in enumerate(sets) if len(own & s) >= 0.8 * len(s) - 1e-9})
+    got = [x for block in words_of.blocks(pa.array(texts)) for x in decontamination.contained(block, index, how)]
+    assert got == want and sum(map(len, want)) > len(want) / 2
 
 
 def test_decontamination_edges(spark):
