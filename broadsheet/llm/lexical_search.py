@@ -118,7 +118,8 @@ def search(index: Index, asked: DataFrame, how: Search = Search()) -> DataFrame:
 def lexical_search(docs: DataFrame, items: DataFrame, how: Search = Search()) -> DataFrame:
     """The best documents of each item, over an index of the terms that the items ask for."""
     asked = written(item_terms(items), "item-terms")
-    return search(build_index(docs, asked.select("term").distinct(), how), asked, how)
+    wanted = written(asked.select("term").distinct(), "wanted")  # written, so Spark knows its size before it joins
+    return search(build_index(docs, wanted, how), asked, how)
 
 
 def oracle(how: Search = Search()) -> str:
