@@ -71,7 +71,8 @@ def build_index(docs: DataFrame, wanted: DataFrame | None = None, how: Search =
     found = split.select("row", "doc_id", n.alias("n"), F.explode(F.concat(F.array(F.lit(head)), "pieces")).alias("term")).filter("term != ''")
     found = found.select("row", "doc_id", "n", _lowered(F.col("term")).alias("term"))
     if wanted is not None:
-        found = found.join(wanted.select("term").unionByName(docs.sparkSession.createDataFrame([(head,)], "term string")), "term", "left_semi")
+        # written, head and all, so Spark knows its size before it joins
+        found = found.join(written(wanted.select("term").unionByName(docs.sparkSession.createDataFrame([(head,)], "term string")), "wanted"), "term", "left_semi")
     counted = written(found.groupBy("row", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf")), "counted")
     own = F.col("term") == head
     counts = written(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("length"), F.count_if(F.col("n") > 0).alias("documents")), "terms")
@@ -118,8 +119,7 @@ def search(index: Index, asked: DataFrame, how: Search = Search()) -> DataFrame:
 def lexical_search(docs: DataFrame, items: DataFrame, how: Search = Search()) -> DataFrame:
     """The best documents of each item, over an index of the terms that the items ask for."""
     asked = written(item_terms(items), "item-terms")
-    wanted = written(asked.select("term").distinct(), "wanted")  # written, so Spark knows its size before it joins
-    return search(build_index(docs, wanted, how), asked, how)
+    return search(build_index(docs, asked.select("term").distinct(), how), asked, how)
 
 
 def oracle(how: Search = Search()) -> str:
