@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contours, growth, planes, repair
+from ..operators import contours, cuts, growth, planes, rays, repair
 from . import roles
 from .registry import query
 
@@ -108,3 +108,32 @@ def parallel_merges(spark: SparkSession, d: str) -> DataFrame:
     far = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("int")
     at = lambda i: F.struct((F.col("x0") + F.when(F.col("label") == 8, i).otherwise(0)).alias("x"), (F.col("y0") + F.when(F.col("label") == 8, 0).otherwise(i)).alias("y"))
     return repair.parallel_merges(s.select("page", "label", "id", F.transform(F.sequence(F.lit(0), far), at).alias("points")), distance=2.0)
+
+
+@query(f"""WITH {roles.SEGMENTS}, ray AS (SELECT page, id, e, x, y, dx * 0.5 AS dx, dy * 0.5 AS dy FROM (SELECT page, id, 0 AS e, x0 AS x, y0 AS y, x0 - x1 AS dx, y0 - y1 AS dy FROM seg UNION ALL SELECT page, id, 1, x1, y1, x1 - x0, y1 - y0 FROM seg)),
+met AS (SELECT page, id, e, greatest(0, min(a)) AS t FROM (SELECT r.page, r.id, e, ((o.x0 - x) * (o.y1 - o.y0) - (o.y0 - y) * (o.x1 - o.x0)) / (dx * (o.y1 - o.y0) - dy * (o.x1 - o.x0)) AS a, ((o.x0 - x) * dy - (o.y0 - y) * dx) / (dx * (o.y1 - o.y0) - dy * (o.x1 - o.x0)) AS b
+  FROM ray r JOIN seg o ON o.page = r.page AND o.id <> r.id AND dx * (o.y1 - o.y0) - dy * (o.x1 - o.x0) <> 0) WHERE a BETWEEN -1e-9 AND 1 AND b BETWEEN -1e-9 AND 1 + 1e-9 GROUP BY ALL),
+ends AS (SELECT page, id, e, x + coalesce(t, 1) * dx AS x, y + coalesce(t, 1) * dy AS y FROM ray LEFT JOIN met USING (page, id, e))
+SELECT a.page, a.id, round(a.x, 6) AS x0, round(a.y, 6) AS y0, round(b.x, 6) AS x1, round(b.y, 6) AS y1 FROM ends a JOIN ends b ON a.page = b.page AND a.id = b.id AND a.e = 0 AND b.e = 1""")
+def clipped_rays(spark: SparkSession, d: str) -> DataFrame:
+    """Segments made longer by half at both ends, up to the next segment."""
+    out = rays.clipped_rays(roles.segments(spark, d), 0.5)
+    return out.select("page", "id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query()
+def block_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Outer borders of the regions of a page cut at three baselines."""
+    rings = contours.region_borders(_planes(spark, d)).filter("outer and area >= 4")
+    blocks = rings.select("page", F.col("border").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"))
+    low, high = F.array_min("y"), F.array_max("y")
+    lines = blocks.select("page", F.col("id").alias("block"), F.array_min("x").alias("x0"), F.array_max("x").alias("x1"), low.alias("low"), high.alias("high"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("line"))
+    at = F.col("low") + (F.col("high") - F.col("low")) * F.col("line") / 4
+    return cuts.block_lines(blocks, lines.select("page", "block", "line", "x0", at.alias("y0"), "x1", (at + 0.5).alias("y1"))).select("page", "id", "piece", F.size("x").alias("corners"), F.round("area", 6).alias("area"))
+
+
+@query()
+def consensus_angles(spark: SparkSession, d: str) -> DataFrame:
+    """The direction that most cells of a label on a page agree on."""
+    cells = roles.plane(spark, d).filter("label in (7, 8, 9)")
+    return rays.consensus_angles(cells.select(F.col("page").cast("long").alias("page"), F.col("label").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).withColumn("angle", F.round("angle", 6))
