@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import dataset_queries, layout_queries, quality_queries, raster_queries, region_queries, run_queries, spatial_queries  # noqa: F401
+    from . import dataset_queries, layout_queries, polygon_queries, quality_queries, raster_queries, region_queries, run_queries, spatial_queries  # noqa: F401
