@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import overlays
+from ..operators import blocks, overlays, planes
 from . import roles
 from .registry import query
 
@@ -44,3 +44,50 @@ def polygon_difference(spark: SparkSession, d: str) -> DataFrame:
     """Horizontal bars less the vertical ones."""
     b = _bars(spark, d)
     return _measured(overlays.overlaid(b.filter("label = 8"), b.filter("label = 9"), "difference"))
+
+
+_PAINTED = """painted AS (SELECT c_custkey // 24 AS page, c_custkey AS id, list_extract([4, 2, 5, 11, 9, 4], (c_custkey % 6 + 1)::INTEGER) AS label, c_custkey * 37 % 110 AS x, c_custkey * 91 % 110 AS y,
+CASE WHEN c_custkey % 6 = 4 THEN 6 ELSE c_custkey % 23 + 24 END AS w, CASE WHEN c_custkey % 6 = 4 THEN 50 ELSE c_custkey % 17 + 14 END AS h FROM customer)"""
+
+
+def _painted(spark: SparkSession, d: str) -> DataFrame:
+    """24 boxes a page: text, tables, pictures and upright separators (9)."""
+    k = F.col("c_custkey")
+    thin = k % 6 == 4
+    label = F.element_at(F.array(*map(F.lit, (4, 2, 5, 11, 9, 4))), (k % 6 + 1).cast("int"))
+    w, h = F.when(thin, 6).otherwise(k % 23 + 24), F.when(thin, 50).otherwise(k % 17 + 14)
+    return roles.table(spark, d, "customer").select(F.floor(k / 24).alias("page"), k.alias("id"), label.alias("label"), (k * 37 % 110).alias("x"), (k * 91 % 110).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The boxes as planes, the later one on top, and the separators as paths down their middle."""
+    boxes = _painted(spark, d)
+    rows = boxes.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
+    cells = rows.withColumn("x", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)))
+    top = cells.groupBy("page", "y", "x").agg(F.max_by("label", "id").alias("label"))
+    middle, end = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h")
+    paths = boxes.filter("label = 9").select("page", "id", F.array(middle, middle).alias("x"), F.array(F.col("y").cast("double"), end.cast("double")).alias("y"))
+    return planes.packed(top, 160, 160), paths
+
+
+@query()
+def text_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Text of painted pages, parted about separators, less pictures."""
+    return blocks.text_polygons(*_pages(spark, d))
+
+
+@query()
+def table_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of painted pages."""
+    return blocks.table_polygons(*_pages(spark, d))
+
+
+@query(f"""WITH {_PAINTED}, bar AS (SELECT page, id AS block, x + w / 2 AS middle, y AS head FROM painted WHERE label = 9)
+SELECT p.page, block, id, CASE WHEN y + h / 2 < head THEN 'top' WHEN x + w / 2 < middle THEN 'left' ELSE 'right' END AS side FROM painted p JOIN bar USING (page) WHERE label <> 9""")
+def separator_sides(spark: SparkSession, d: str) -> DataFrame:
+    """On which side of each separator of its page the centre of a box lies."""
+    boxes = _painted(spark, d)
+    centres = boxes.filter("label <> 9").select("page", "id", (F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))
+    middle = F.col("x") + F.col("w") / 2
+    bars = boxes.filter("label = 9").select("page", F.col("id").alias("block"), F.array(middle, middle).alias("x"), F.array(F.col("y").cast("double"), (F.col("y") + F.col("h")).cast("double")).alias("y"))
+    return blocks.separator_sides(centres.join(bars.select("page", "block"), "page"), bars)
