@@ -21,7 +21,7 @@ from .geometry import area_of, hull_of, merged_hulls_of, parts_of
 from .growth import TABLES, TEXT_BLOCKS, Growth, Stopper, ellipse, grown, spread_by
 from .overlays import RULES, oriented, overlay, polygons
 from .pages import centroid, clipped
-from .planes import _array
+from .planes import _array, by_task
 
 SIDES = ("top", "left", "right")
 
@@ -182,11 +182,7 @@ def _by_page(planes: DataFrame, separators: DataFrame, kernel: Callable) -> Data
                     rows += [(page, i, k, k > 0, r[:, 0].tolist(), r[:, 1].tolist(), signed_area(r)) for k, r in enumerate((outer, *holes))]
         return pd.DataFrame(rows, columns=["page", "id", "ring", "hole", "x", "y", "area"])
 
-    own = lambda df, names: df.select(*[F.col(c).alias(c) for c in names])
-    a, b = own(planes, ("page", "height", "width", "data")), own(separators, ("page", "id", "x", "y"))
-    # a page takes long for its few bytes: a fixed number of tasks, which Spark doesn't put together by size
-    tasks = int(planes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a, b = a.repartition(tasks, "page"), b.repartition(tasks, "page")
+    a, b = by_task(planes.select("page", "height", "width", "data")), by_task(separators.select("page", "id", "x", "y"))
     return a.groupBy("page").cogroup(b.groupBy("page")).applyInPandas(run, "page long, id long, ring int, hole boolean, x array<double>, y array<double>, area double")
 
 

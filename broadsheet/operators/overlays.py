@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contours import signed_area
+from .planes import by_task
 
 _GRID = 2.0**20
 _NEAR = 2.0**-18
@@ -237,6 +238,5 @@ def overlaid(left: DataFrame, right: DataFrame, how: str = "union") -> DataFrame
                 rows.append((key[0], i, k, k > 0, r[:, 0].tolist(), r[:, 1].tolist(), signed_area(r)))
         return pd.DataFrame(rows, columns=names)
 
-    # aliased, so that two sides made from one frame don't share columns, which a co-group would lose
-    sides = [s.select(F.col("page").cast("long").alias("page"), F.col("x").alias("x"), F.col("y").alias("y"), (F.coalesce("hole", F.lit(False)) if "hole" in s.columns else F.lit(False)).alias("hole")) for s in (left, right)]
+    sides = [by_task(s.select(F.col("page").cast("long").alias("page"), "x", "y", (F.coalesce("hole", F.lit(False)) if "hole" in s.columns else F.lit(False)).alias("hole"))) for s in (left, right)]
     return sides[0].groupBy("page").cogroup(sides[1].groupBy("page")).applyInPandas(run, "page long, id long, ring int, hole boolean, x array<double>, y array<double>, area double")

@@ -23,6 +23,11 @@ def _array(data: bytes | None, height: int, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width) if data is not None else np.zeros((height, width), np.uint8)
 
 
+def by_task(rows: DataFrame) -> DataFrame:
+    """Rows by page in as many tasks as the session's shuffles have: geometry takes long for its few bytes, so tasks mustn't be put together by size. Columns are aliased, since a co-group of two frames that share columns loses some."""
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns]).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page")
+
+
 def packed(cells: DataFrame, height: int, width: int) -> DataFrame:
     """Planes from cells (page, y, x, label); cells that aren't there are background, those outside are left out."""
 

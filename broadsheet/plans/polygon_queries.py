@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, overlays, planes
+from ..operators import blocks, curves, overlays, planes
 from . import roles
 from .registry import query
 
@@ -91,3 +91,35 @@ def separator_sides(spark: SparkSession, d: str) -> DataFrame:
     middle = F.col("x") + F.col("w") / 2
     bars = boxes.filter("label = 9").select("page", F.col("id").alias("block"), F.array(middle, middle).alias("x"), F.array(F.col("y").cast("double"), (F.col("y") + F.col("h")).cast("double")).alias("y"))
     return blocks.separator_sides(centres.join(bars.select("page", "block"), "page"), bars)
+
+
+def _bows(spark: SparkSession, d: str) -> DataFrame:
+    """Separators of painted pages as bows of 13 points through half of the page, level ones (H) and upright ones (V)."""
+    k = F.col("c_custkey")
+    at = lambda i: (i * 6 + k * 37 % 80).cast("double")
+    bow = lambda i: (k * 91 % 120 + 20 + (i * (12 - i)) * (k % 5 - 2) / 6).cast("double")
+    level, steps = k % 12 == 4, F.sequence(F.lit(0), F.lit(12))
+    s = roles.table(spark, d, "customer").filter("c_custkey % 6 = 4").select(F.floor(k / 24).alias("page"), F.when(level, "H").otherwise("V").alias("kind"), k.alias("id"), F.transform(steps, at).alias("a"), F.transform(steps, bow).alias("b"))
+    return s.select("page", "kind", "id", F.when(F.col("kind") == "H", F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("kind") == "H", F.col("b")).otherwise(F.col("a")).alias("y"))
+
+
+@query(f"""WITH {roles.SEGMENTS}, line AS (SELECT *, label = 8 AS level FROM seg WHERE x0 <> x1 OR y0 <> y1), step AS (SELECT unnest(range(10)) AS i)
+SELECT page, id, i::INTEGER AS i, round(CASE WHEN level THEN i * 64 / 9.0 ELSE x0 + thickness * (i * 64 / 9.0 - y0) / (y1 - y0) END, 6) AS x, round(CASE WHEN level THEN y0 + thickness * (i * 64 / 9.0 - x0) / (x1 - x0) ELSE i * 64 / 9.0 END, 6) AS y FROM line, step""")
+def cut_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Slanted segments made as long as the page."""
+    s = roles.segments(spark, d).filter("x0 <> x1 or y0 <> y1")
+    level = F.col("label") == 8
+    paths = s.select("page", F.when(level, "H").otherwise("V").alias("kind"), "id", F.array("x0", F.when(level, F.col("x1")).otherwise(F.col("x0") + F.col("thickness"))).alias("x"), F.array("y0", F.when(level, F.col("y0") + F.col("thickness")).otherwise(F.col("y1"))).alias("y"), F.lit(64.0).alias("width"), F.lit(64.0).alias("height"))
+    out = curves.cut_paths(paths).select("page", "id", F.posexplode(F.arrays_zip("x", "y")).alias("i", "p"))
+    return out.select("page", "id", "i", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query()
+def page_split_along(spark: SparkSession, d: str) -> DataFrame:
+    """Painted pages split along bowed separators into frames in reading order."""
+    boxes = _painted(spark, d).filter("label <> 9")
+    x1, y1 = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    ring = lambda *c: F.array(*[F.col(v).cast("double") if isinstance(v, str) else v.cast("double") for v in c])
+    content = boxes.select("page", ring("x", x1, x1, "x").alias("x"), ring("y", "y", y1, y1).alias("y"))
+    pages = boxes.select("page", F.lit(160.0).alias("width"), F.lit(160.0).alias("height")).distinct()
+    return curves.split_pages_along(pages, content, _bows(spark, d))
