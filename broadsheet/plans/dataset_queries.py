@@ -11,17 +11,22 @@ from ..sources import readers
 from . import roles
 from .registry import query
 
-_DAYS = "e AS (SELECT d::DATE AS day, p AS part FROM generate_series(DATE '1872-01-01', DATE '1930-12-31', INTERVAL 1 DAY) s(d), (VALUES ('M'), ('A')) t(p))"
+_DAYS = "e AS (SELECT d::DATE AS day, p AS part FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) s(d), (VALUES ('M'), ('A')) t(p))"
+_PART = "CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'A' END"
 
 
-@query(f"WITH {_DAYS} SELECT * FROM e")
+@query(f"WITH {_DAYS}, n AS (SELECT o_orderdate::DATE AS day, {_PART} AS part, count(*) AS n FROM orders GROUP BY ALL) SELECT day, part, coalesce(n, 0)::BIGINT AS n FROM e LEFT JOIN n USING (day, part)")
 def edition_calendar(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.editions(spark, "1872-01-01", "1930-12-31")
+    """Every edition of the calendar with its orders, days without any too."""
+    orders = roles.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.expr(_PART).alias("part"))
+    n = orders.groupBy("day", "part").agg(F.count(F.lit(1)).alias("n"))
+    return datasets.editions(spark, "1995-01-01", "2001-12-31").join(n, ["day", "part"], "left").fillna(0, ["n"])
 
 
-@query(f"WITH {_DAYS} SELECT 'SNP2436020X-' || strftime(day, '%Y%m%d') || '-' || (CASE WHEN part = 'A' THEN 1 ELSE 0 END)::VARCHAR || '-3-0-0' AS id FROM e")
+@query(f"SELECT o_orderkey, 'SNP2436020X-' || strftime(o_orderdate, '%Y%m%d') || '-' || (CASE WHEN {_PART} = 'A' THEN 1 ELSE 0 END)::VARCHAR || '-' || (o_custkey % 12)::VARCHAR || '-0-0' AS id FROM orders")
 def edition_id_format(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.editions(spark, "1872-01-01", "1930-12-31").select(names.edition_id(F.col("day"), F.col("part"), F.lit(3)).alias("id"))
+    orders = roles.table(spark, d, "orders")
+    return orders.select("o_orderkey", names.edition_id(F.col("o_orderdate").cast("date"), F.expr(_PART), (F.col("o_custkey") % 12).cast("int")).alias("id"))
 
 
 _FOLDS = "f AS (SELECT p_partkey, p_brand, ntile(5) OVER (ORDER BY md5(p_partkey::VARCHAR), p_partkey)::INTEGER AS fold FROM part)"
@@ -56,24 +61,33 @@ def suffix_semi_join(spark: SparkSession, d: str) -> DataFrame:
     return datasets.with_suffix(images, valid, "name")
 
 
-_v = lambda xs: ", ".join(f"('{x}')" for x in xs)
 _l = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_AXES = (("backbone", dims.BACKBONES, 1), ("model", dims.MODELS, 7), ("data_name", dims.LAYOUTS, 11))
+_MODE = "p_partkey % 3"
 
 
-@query(f"""SELECT backbone, model, data_name, labels, illustrations,
-CASE WHEN data_name IN ({_l(dims.LARGE_LAYOUTS)}) OR (backbone = 'seresnext50' AND data_name IN ('layout_896x1280_T512x768', 'layout_768x1280_T768x512')) OR backbone IN ('seresnet50', 'efficientnetb2') OR (backbone IN ('efficientnetb1', 'seresnext50', 'inceptionresnetv2') AND model = 'fpn') THEN 'v100' ELSE 'rtx2080ti' END AS gpu,
-(CASE WHEN backbone = 'seresnext50' AND model = 'fpn' AND data_name IN ({_l(dims.LARGE_LAYOUTS)}) THEN 4 ELSE 12 END)::INTEGER AS batchsize, 1::INTEGER AS fold, 4::INTEGER AS ngpus
-FROM (VALUES {_v(dims.BACKBONES)}) a(backbone), (VALUES {_v(dims.MODELS)}) b(model), (VALUES {_v(dims.LAYOUTS)}) c(data_name), (VALUES ('sep', false), ('txt', false), ('txt', true)) m(labels, illustrations)""")
+@query(f"""WITH job AS (SELECT p_partkey, {", ".join(f"list_extract([{_l(xs)}], 1 + (p_partkey // {k} % {len(xs)})::INTEGER) AS {c}" for c, xs, k in _AXES)}, CASE WHEN {_MODE} = 0 THEN 'sep' ELSE 'txt' END AS labels, {_MODE} = 2 AS illustrations FROM part)
+SELECT *, CASE WHEN data_name IN ({_l(dims.LARGE_LAYOUTS)}) OR (backbone = 'seresnext50' AND data_name IN ('layout_896x1280_T512x768', 'layout_768x1280_T768x512')) OR backbone IN ('seresnet50', 'efficientnetb2') OR (backbone IN ('efficientnetb1', 'seresnext50', 'inceptionresnetv2') AND model = 'fpn') THEN 'v100' ELSE 'rtx2080ti' END AS gpu,
+(CASE WHEN backbone = 'seresnext50' AND model = 'fpn' AND data_name IN ({_l(dims.LARGE_LAYOUTS)}) THEN 4 ELSE 12 END)::INTEGER AS batchsize, 1::INTEGER AS fold, 4::INTEGER AS ngpus FROM job""")
 def param_grid_conditional(spark: SparkSession, d: str) -> DataFrame:
-    return datasets.parameter_grid(spark)
+    """The point of the parameter grid that each part asks for."""
+    k = F.col("p_partkey")
+    pick = lambda xs, by: F.element_at(F.array(*map(F.lit, xs)), (F.floor(k / by) % len(xs) + 1).cast("int"))
+    jobs = roles.table(spark, d, "part").select("p_partkey", *[pick(xs, by).alias(c) for c, xs, by in _AXES], F.when(k % 3 == 0, "sep").otherwise("txt").alias("labels"), (k % 3 == 2).alias("illustrations"))
+    return jobs.join(F.broadcast(datasets.parameter_grid(spark)), [*(c for c, _, _ in _AXES), "labels", "illustrations"])  # a grid of fixed size
 
 
-@query(f"""SELECT name, nullif(regexp_extract(name, '^layout_(\\d+)x(\\d+)(?:_T(\\d+)x(\\d+))?$', 1), '')::INTEGER AS w, nullif(regexp_extract(name, '^layout_(\\d+)x(\\d+)(?:_T(\\d+)x(\\d+))?$', 2), '')::INTEGER AS h,
-nullif(regexp_extract(name, '^layout_(\\d+)x(\\d+)(?:_T(\\d+)x(\\d+))?$', 3), '')::INTEGER AS tw, nullif(regexp_extract(name, '^layout_(\\d+)x(\\d+)(?:_T(\\d+)x(\\d+))?$', 4), '')::INTEGER AS th, name AS again FROM (VALUES {_v(dims.LAYOUTS)}) t(name)""")
+_SHAPE = "p_partkey, (64 * (p_partkey % 30 + 1))::INTEGER AS w, (32 * p_size)::INTEGER AS h, (CASE WHEN p_partkey % 4 > 0 THEN 16 * (p_partkey % 9 + 1) END)::INTEGER AS tw, (CASE WHEN p_partkey % 4 > 0 THEN 8 * p_size END)::INTEGER AS th"
+
+
+@query(f"""SELECT *, 'layout_' || w::VARCHAR || 'x' || h::VARCHAR || coalesce('_T' || tw::VARCHAR || 'x' || th::VARCHAR, '') AS name FROM (SELECT {_SHAPE} FROM part)""")
 def layout_name_parse(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.createDataFrame([(x,) for x in dims.LAYOUTS], "name string")
-    parsed = n.select("name", *[names.layout_part(F.col("name"), i).alias(c) for i, c in enumerate(("w", "h", "tw", "th"), 1)])
-    return parsed.withColumn("again", names.layout_name(*[F.col(c) for c in ("w", "h", "tw", "th")]))
+    """Names of layouts made from sizes and read again."""
+    part, k = roles.table(spark, d, "part"), F.col("p_partkey")
+    tiled = lambda c: F.when(k % 4 > 0, c).cast("int")
+    sizes = [(64 * (k % 30 + 1)).cast("int"), (32 * F.col("p_size")).cast("int"), tiled(16 * (k % 9 + 1)), tiled(8 * F.col("p_size"))]
+    named = part.select("p_partkey", names.layout_name(*sizes).alias("name"))
+    return named.select("*", *[names.layout_part(F.col("name"), i).alias(c) for i, c in enumerate(("w", "h", "tw", "th"), 1)])
 
 
 @query("""SELECT page_id, (i - 1)::INTEGER AS i, url || '/' || (i - 1)::VARCHAR AS href FROM (SELECT page_id, replace(url, '&', '%26') AS url, unnest(range(1, (page_id % 3 + 2)::BIGINT)) AS i FROM pages)""")

@@ -87,8 +87,7 @@ def harmonic_background_weight(spark: SparkSession, d: str) -> DataFrame:
     return rasters.background_weight(rasters.class_weights(_shares(spark, d), 100), ["F"])
 
 
-_SIZES = [(640, 384), (768, 512), (896, 512), (1280, 512), (1280, 768), (896, 384), (1280, 384), (896, 256), (1280, 896), (2400, 896), (1640, 896), (2400, 1280), (512, 512)]
-_SIZES_SQL = "sizes(f, t) AS (VALUES " + ", ".join(map(str, _SIZES)) + ")"
+_SIZES_SQL = "sizes(f, t) AS (SELECT DISTINCT CASE WHEN p_size % 10 = 0 THEN t ELSE f END, t FROM (SELECT p_size, (32 * (16 + p_size))::INTEGER AS f, (128 * (2 + p_partkey % 3))::INTEGER AS t FROM part))"
 _COUNT = {
     "train": "(SELECT min(k) FROM range(2, 200) r(k) WHERE trunc((k * t - f) / (k - 1)::DOUBLE) >= 50)",
     "eval": "(SELECT min(k) FROM range(2, 200) r(k) WHERE k >= ceil(f / t::DOUBLE) AND t - (f - t) / (k - 1)::DOUBLE > 50)",
@@ -103,24 +102,26 @@ s AS (SELECT f, t, n, i, x - greatest(0, x + t - f) AS x0 FROM raw)
 SELECT f::INTEGER AS "full", t::INTEGER AS tile, i::INTEGER AS i, x0::INTEGER AS x0, (x0 + t)::INTEGER AS x1, (CASE WHEN i = 0 THEN 0 ELSE (lag(x0) OVER w + t + x0) // 2 END)::INTEGER AS inner0, (CASE WHEN i = n - 1 THEN f ELSE (x0 + t + lead(x0) OVER w) // 2 END)::INTEGER AS inner1 FROM s WINDOW w AS (PARTITION BY f, t ORDER BY i)"""
 
 
-def _tiles(spark: SparkSession, starts) -> DataFrame:
-    sizes = spark.createDataFrame(_SIZES, "full int, tile int")
+def _tiles(spark: SparkSession, d: str, starts) -> DataFrame:
+    tile = (128 * (2 + F.col("p_partkey") % 3)).cast("int")
+    full = F.when(F.col("p_size") % 10 == 0, tile).otherwise(32 * (16 + F.col("p_size"))).cast("int")
+    sizes = roles.table(spark, d, "part").select(full.alias("full"), tile.alias("tile")).distinct()
     return tiling.with_inner(sizes.withColumn("starts", starts(F.col("full"), F.col("tile"))), "starts", [])
 
 
 @query(_tiles_sql("train", "cut"))
 def tiling_train(spark: SparkSession, d: str) -> DataFrame:
-    return _tiles(spark, tiling.train_starts)
+    return _tiles(spark, d, tiling.train_starts)
 
 
 @query(_tiles_sql("eval", "cut"))
 def tiling_eval_inner(spark: SparkSession, d: str) -> DataFrame:
-    return _tiles(spark, tiling.eval_starts)
+    return _tiles(spark, d, tiling.eval_starts)
 
 
 @query(_tiles_sql("eval", "round"))
 def tiling_predict_inner(spark: SparkSession, d: str) -> DataFrame:
-    return _tiles(spark, tiling.predict_starts)
+    return _tiles(spark, d, tiling.predict_starts)
 
 
 @query("""SELECT i::INTEGER AS i, count(*)::BIGINT AS n, sum(l_quantity)::DOUBLE AS q FROM (SELECT l_partkey % 1280 AS x, l_quantity FROM lineitem) JOIN (VALUES (0, 0, 341), (1, 341, 640), (2, 640, 939), (3, 939, 1280)) t(i, a, b) ON x >= a AND x < b GROUP BY i""")
