@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .contours import signed_area
 from .overlays import RULES, oriented, overlay, within
-from .pages import centroid
+from .pages import TIE, centroid
 from .planes import by_task
 from .warps import simplified
 
@@ -218,7 +218,7 @@ def split_along(frame: np.ndarray, content: list[np.ndarray], lines: list[tuple[
             continue
         held = [overlay(content, half, RULES[how]) for how in ("difference", "intersection")]
         both = sorted(zip((p[0] for p in parts), held, strict=True), key=lambda p: centroid(p[0])[1 if label == "H" else 0])
-        second = [length_within([both[1][0]], s[2]) > length_within([both[0][0]], s[2]) for s in ranked[1:]]
+        second = [length_within([both[1][0]], s[2]) > length_within([both[0][0]], s[2]) + TIE for s in ranked[1:]]
         todo += [(f"{name}/{k}", *both[k], [s for s, late in zip(ranked[1:], second, strict=True) if late == bool(k)]) for k in (1, 0)]
     return leaves
 

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+TIE = 1e-6  # lengths this near are equal
+
 
 def clipped(ring: np.ndarray, side: np.ndarray) -> np.ndarray:
     """The part of a convex ring where ``side``, a signed distance of each corner, isn't negative."""
@@ -85,7 +87,7 @@ def split_frames(frame: np.ndarray, content: list[np.ndarray], lines: list[tuple
             parts.append((clipped(frame, sign * side), held))
         parts.sort(key=lambda p: centroid(p[0])[1 if label == "H" else 0])
         rest = [lines[i] for i in ranked[1:]]
-        second = [length_inside(parts[1][0], s[2]) > length_inside(parts[0][0], s[2]) for s in rest]
+        second = [length_inside(parts[1][0], s[2]) > length_inside(parts[0][0], s[2]) + TIE for s in rest]
         todo += [(f"{path}/{k}", *parts[k], [s for s, late in zip(rest, second, strict=True) if late == bool(k)]) for k in (1, 0)]
     return leaves
 

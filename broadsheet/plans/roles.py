@@ -56,23 +56,27 @@ SPANS = "spans AS (SELECT user_id AS page, event_id AS id, epoch_us(ts) / 1e6 AS
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("label").cast("long").alias("page"), F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
+    """Vectors by label, in groups that don't grow with the table."""
+    return table(spark, d, "embeddings").select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 500)).cast("long").alias("page"), F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
 
 
-POINTS = "points AS (SELECT label::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
+POINTS = "points AS (SELECT (label * 1000000 + vec_id // 500)::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
+
+
+_BOXES = {"c": ("customer", "c_custkey", 60), "s": ("supplier", "s_suppkey", 4)}
 
 
 def boxes(spark: SparkSession, d: str, table_key: str = "c") -> DataFrame:
-    """Boxes on a 1000 x 1000 page of each nation, from customers (c) or suppliers (s)."""
-    name, key = ("customer", "c_custkey") if table_key == "c" else ("supplier", "s_suppkey")
+    """Boxes on pages of 1000 x 1000, from customers (c), 60 a page, or suppliers (s), 4 a page."""
+    name, key, held = _BOXES[table_key]
     k = F.col(key)
-    b = table(spark, d, name).select(F.col(f"{table_key}_nationkey").cast("long").alias("page"), k.alias("id"), (k * 37 % 1000).cast("double").alias("minx"), (k * 91 % 1000).cast("double").alias("miny"), (k % 23 + 4).cast("double").alias("w"), (k % 17 + 4).cast("double").alias("h"))
+    b = table(spark, d, name).select(F.floor(k / held).alias("page"), k.alias("id"), (k * 37 % 1000).cast("double").alias("minx"), (k * 91 % 1000).cast("double").alias("miny"), (k % 23 + 4).cast("double").alias("w"), (k % 17 + 4).cast("double").alias("h"))
     return b.select("page", "id", "minx", "miny", (F.col("minx") + F.col("w")).alias("maxx"), (F.col("miny") + F.col("h")).alias("maxy"))
 
 
 def boxes_sql(name: str, table_key: str) -> str:
-    source, key = ("customer", "c_custkey") if table_key == "c" else ("supplier", "s_suppkey")
-    return f"{name} AS (SELECT {table_key}_nationkey::BIGINT AS page, {key} AS id, ({key} * 37 % 1000)::DOUBLE AS minx, ({key} * 91 % 1000)::DOUBLE AS miny, ({key} * 37 % 1000 + {key} % 23 + 4)::DOUBLE AS maxx, ({key} * 91 % 1000 + {key} % 17 + 4)::DOUBLE AS maxy FROM {source})"
+    source, key, held = _BOXES[table_key]
+    return f"{name} AS (SELECT {key} // {held} AS page, {key} AS id, ({key} * 37 % 1000)::DOUBLE AS minx, ({key} * 91 % 1000)::DOUBLE AS miny, ({key} * 37 % 1000 + {key} % 23 + 4)::DOUBLE AS maxx, ({key} * 91 % 1000 + {key} % 17 + 4)::DOUBLE AS maxy FROM {source})"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:

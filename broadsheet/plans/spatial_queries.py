@@ -147,16 +147,17 @@ SELECT page, id, label, round(length, 6) AS length, error FROM k WHERE list_min(
 def filtered_segments(spark: SparkSession, d: str) -> DataFrame:
     corners = [F.col(c).alias(v) for c, v in (("minx", "x0"), ("miny", "y0"), ("maxx", "x1"), ("maxy", "y1"))]
     c = roles.boxes(spark, d, "c").select("page", "id", (F.col("id") % 4 + 6).cast("int").alias("label"), *corners, F.hypot(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")).alias("length"), ((F.col("id") % 11) / F.lit(100.0)).alias("error"))
-    planes = roles.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page"), F.lit(1000).alias("width"), F.lit(1400).alias("height"))
+    planes = c.select("page").distinct().select("page", F.lit(1000).alias("width"), F.lit(1400).alias("height"))
     region = roles.boxes(spark, d, "s").groupBy("page").agg(*[f(n).alias(n) for f, n in ((F.min, "minx"), (F.min, "miny"), (F.max, "maxx"), (F.max, "maxy"))])
     kept = segments.in_region(segments.long_enough(segments.well_fitted(c, planes, min_length=0.008)), region)
     return kept.select("page", "id", "label", F.round("length", 6).alias("length"), "error")
 
 
 @query(f"""WITH RECURSIVE {roles.boxes_sql("c", "c")}, {roles.boxes_sql("s", "s")},
-t AS (SELECT n_nationkey::BIGINT AS page, '' AS path, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 1000.0::DOUBLE AS x1, 1000.0::DOUBLE AS y1, e.id, e.label, e.pos, e.lo, e.hi FROM nation JOIN
+sheet AS (SELECT DISTINCT page FROM c),
+t AS (SELECT sheet.page, '' AS path, 0.0::DOUBLE AS x0, 0.0::DOUBLE AS y0, 1000.0::DOUBLE AS x1, 1000.0::DOUBLE AS y1, e.id, e.label, e.pos, e.lo, e.hi FROM sheet JOIN
     (SELECT page, id, CASE WHEN id % 2 = 0 THEN 'H' ELSE 'V' END AS label, CASE WHEN id % 2 = 0 THEN miny ELSE minx END AS pos, CASE WHEN id % 2 = 0 THEN minx ELSE miny END - 300 AS lo, CASE WHEN id % 2 = 0 THEN maxx ELSE maxy END + 300 AS hi FROM s
-     UNION ALL SELECT n_nationkey, -1, 'Z', 0, 0, 0 FROM nation) e ON e.page = n_nationkey
+     UNION ALL SELECT page, -1, 'Z', 0, 0, 0 FROM sheet) e ON e.page = sheet.page
   UNION ALL
   SELECT page, path || '/' || k, CASE WHEN cut.label = 'V' AND k = 1 THEN cut.pos ELSE x0 END, CASE WHEN cut.label = 'H' AND k = 1 THEN cut.pos ELSE y0 END, CASE WHEN cut.label = 'V' AND k = 0 THEN cut.pos ELSE x1 END, CASE WHEN cut.label = 'H' AND k = 0 THEN cut.pos ELSE y1 END, id, label, pos, lo, hi
   FROM (SELECT *, CASE WHEN label = cut.label THEN pos > cut.pos ELSE least(hi, CASE WHEN label = 'H' THEN x1 ELSE y1 END) - greatest(lo, cut.pos, CASE WHEN label = 'H' THEN x0 ELSE y0 END) > greatest(0, least(hi, cut.pos) - greatest(lo, CASE WHEN label = 'H' THEN x0 ELSE y0 END)) AND pos BETWEEN CASE WHEN label = 'H' THEN y0 ELSE x0 END AND CASE WHEN label = 'H' THEN y1 ELSE x1 END END AS late
@@ -167,7 +168,7 @@ t AS (SELECT n_nationkey::BIGINT AS page, '' AS path, 0.0::DOUBLE AS x0, 0.0::DO
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY path) AS leaf, path, x0 AS minx, y0 AS miny, x1 AS maxx, y1 AS maxy FROM t WHERE label = 'Z' AND NOT EXISTS (SELECT 1 FROM t u WHERE u.page = t.page AND u.path = t.path || '/0')""")
 def page_split_order(spark: SparkSession, d: str) -> DataFrame:
     num = lambda x: F.lit(float(x))
-    frame = roles.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("page"), F.lit("frame").alias("kind"), F.lit(0).cast("long").alias("id"), num(0).alias("x0"), num(0).alias("y0"), num(1000).alias("x1"), num(1000).alias("y1"))
+    frame = roles.boxes(spark, d, "c").select("page").distinct().select("page", F.lit("frame").alias("kind"), F.lit(0).cast("long").alias("id"), num(0).alias("x0"), num(0).alias("y0"), num(1000).alias("x1"), num(1000).alias("y1"))
     box = roles.boxes(spark, d, "c").select("page", F.lit("content").alias("kind"), F.col("id").cast("long").alias("id"), F.col("minx").alias("x0"), F.col("miny").alias("y0"), F.col("maxx").alias("x1"), F.col("maxy").alias("y1"))
     flat = F.col("id") % 2 == 0
     line = roles.boxes(spark, d, "s").select("page", F.when(flat, "H").otherwise("V").alias("kind"), F.col("id").cast("long").alias("id"), F.when(flat, F.col("minx") - 300).otherwise(F.col("minx")).alias("x0"), F.when(flat, F.col("miny")).otherwise(F.col("miny") - 300).alias("y0"), F.when(flat, F.col("maxx") + 300).otherwise(F.col("minx")).alias("x1"), F.when(flat, F.col("miny")).otherwise(F.col("maxy") + 300).alias("y1"))
