@@ -63,20 +63,21 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 POINTS = "points AS (SELECT (label * 1000000 + vec_id // 500)::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
 
 
-_BOXES = {"c": ("customer", "c_custkey", 60), "s": ("supplier", "s_suppkey", 4)}
+# a page is a nation and a stretch of keys
+_BOXES = {"c": ("customer", "c_custkey", 1500), "s": ("supplier", "s_suppkey", 100)}
 
 
 def boxes(spark: SparkSession, d: str, table_key: str = "c") -> DataFrame:
-    """Boxes on pages of 1000 x 1000, from customers (c), 60 a page, or suppliers (s), 4 a page."""
+    """Boxes on pages of 1000 x 1000, from customers (c), some 60 a page, or suppliers (s), some 4 a page."""
     name, key, held = _BOXES[table_key]
     k = F.col(key)
-    b = table(spark, d, name).select(F.floor(k / held).alias("page"), k.alias("id"), (k * 37 % 1000).cast("double").alias("minx"), (k * 91 % 1000).cast("double").alias("miny"), (k % 23 + 4).cast("double").alias("w"), (k % 17 + 4).cast("double").alias("h"))
+    b = table(spark, d, name).select((F.col(f"{table_key}_nationkey") + 25 * F.floor(k / held)).cast("long").alias("page"), k.alias("id"), (k * 37 % 1000).cast("double").alias("minx"), (k * 91 % 1000).cast("double").alias("miny"), (k % 23 + 4).cast("double").alias("w"), (k % 17 + 4).cast("double").alias("h"))
     return b.select("page", "id", "minx", "miny", (F.col("minx") + F.col("w")).alias("maxx"), (F.col("miny") + F.col("h")).alias("maxy"))
 
 
 def boxes_sql(name: str, table_key: str) -> str:
     source, key, held = _BOXES[table_key]
-    return f"{name} AS (SELECT {key} // {held} AS page, {key} AS id, ({key} * 37 % 1000)::DOUBLE AS minx, ({key} * 91 % 1000)::DOUBLE AS miny, ({key} * 37 % 1000 + {key} % 23 + 4)::DOUBLE AS maxx, ({key} * 91 % 1000 + {key} % 17 + 4)::DOUBLE AS maxy FROM {source})"
+    return f"{name} AS (SELECT ({table_key}_nationkey + 25 * ({key} // {held}))::BIGINT AS page, {key} AS id, ({key} * 37 % 1000)::DOUBLE AS minx, ({key} * 91 % 1000)::DOUBLE AS miny, ({key} * 37 % 1000 + {key} % 23 + 4)::DOUBLE AS maxx, ({key} * 91 % 1000 + {key} % 17 + 4)::DOUBLE AS maxy FROM {source})"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
