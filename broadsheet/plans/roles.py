@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -56,11 +56,23 @@ SPANS = "spans AS (SELECT user_id AS page, event_id AS id, epoch_us(ts) / 1e6 AS
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors by label, in groups that don't grow with the table."""
-    return table(spark, d, "embeddings").select((F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 500)).cast("long").alias("page"), F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
+    """Vectors by label: every vector of a label is on its page."""
+    return _vectors(spark, d, F.col("label"))
 
 
-POINTS = "points AS (SELECT (label * 1000000 + vec_id // 500)::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
+POINTS = "points AS (SELECT label::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
+
+
+def point_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors by label and stretch of keys, in groups that don't grow with the table."""
+    return _vectors(spark, d, F.col("label") * 1_000_000 + F.floor(F.col("vec_id") / 500))
+
+
+def _vectors(spark: SparkSession, d: str, page: Column) -> DataFrame:
+    return table(spark, d, "embeddings").select(page.cast("long").alias("page"), F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
+
+
+POINT_STRETCHES = "points AS (SELECT (label * 1000000 + vec_id // 500)::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
 
 
 # a page is a nation and a stretch of keys

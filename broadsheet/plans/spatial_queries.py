@@ -18,7 +18,7 @@ def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {roles.POINTS} SELECT * FROM (SELECT a.page, a.id AS a, b.id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS d FROM points a JOIN points b ON a.page = b.page AND a.id < b.id) WHERE d < 0.05")
 def distance_self_join(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.near_pairs(roles.points(spark, d), 0.05).withColumn("d", F.round("d", 9))
+    return spatial.near_pairs(roles.points(spark, d), 0.05).withColumn("d", F.round("d", 9)).filter("d < 0.05")
 
 
 _BOXES = f"WITH {roles.boxes_sql('c', 'c')}, {roles.boxes_sql('s', 's')}"
@@ -77,14 +77,14 @@ def affine_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page", "id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round(back_x, 6).alias("back_x"), F.round(back_y, 6).alias("back_y"))
 
 
-@query(f"""WITH RECURSIVE {roles.POINTS}, p AS (SELECT DISTINCT page, x, y FROM points),
+@query(f"""WITH RECURSIVE {roles.POINT_STRETCHES}, p AS (SELECT DISTINCT page, x, y FROM points),
 e AS (SELECT p.page, p.x, p.y, q.x AS tx, q.y AS ty FROM p JOIN p q ON p.page = q.page AND (p.x <> q.x OR p.y <> q.y)
   WHERE NOT EXISTS (SELECT 1 FROM p r WHERE r.page = p.page AND (q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0)),
 walk AS (SELECT page, 0::BIGINT AS corner, x, y, x AS x0, y AS y0 FROM p QUALIFY row_number() OVER (PARTITION BY page ORDER BY x, y) = 1
   UNION ALL SELECT w.page, corner + 1, tx, ty, x0, y0 FROM walk w JOIN e ON e.page = w.page AND e.x = w.x AND e.y = w.y WHERE tx <> x0 OR ty <> y0)
 SELECT page, corner, x, y, round(abs(sum(x * ny - nx * y) OVER (PARTITION BY page)) / 2, 6) AS area FROM (SELECT page, corner, x, y, coalesce(lead(x) OVER w, x0) AS nx, coalesce(lead(y) OVER w, y0) AS ny FROM walk WINDOW w AS (PARTITION BY page ORDER BY corner))""")
 def convex_hull(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.convex_hulls(roles.points(spark, d)).withColumn("area", F.round("area", 6))
+    return geometry.convex_hulls(roles.point_stretches(spark, d)).withColumn("area", F.round("area", 6))
 
 
 @query(f"""WITH RECURSIVE {roles.PLANE}, cell AS (SELECT page, label, y, x, y * 64 + x AS k FROM plane WHERE label IN (7, 8, 9)),
@@ -100,7 +100,7 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fit_polyline(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.polylines(roles.points(spark, d))
+    return geometry.polylines(roles.point_stretches(spark, d))
 
 
 @query(f"""WITH RECURSIVE {roles.boxes_sql("c", "c")},
