@@ -1,6 +1,7 @@
 """Per-page geometry in numpy, applied page by page with Arrow.
 
-A page is a bounded unit (one scanned sheet), so a group never grows with the corpus.
+A page is a bounded unit (one scanned sheet), so a group never grows with the corpus; only
+``convex_hulls`` takes pages of any size.
 """
 
 from __future__ import annotations
@@ -38,14 +39,38 @@ def area_of(ring: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
+def outer_points(points: np.ndarray) -> np.ndarray:
+    """The points but for those well inside the hull, which no further point can make a corner; one that lies on a side but for rounding stays."""
+    pts = np.unique(points, axis=0)
+    ring = hull_of(pts)
+    if len(ring) < 3:
+        return pts
+    side = np.roll(ring, -1, 0) - ring
+    least = np.full(len(pts), np.inf)
+    for (x, y), (dx, dy) in zip(ring, side, strict=True):
+        least = np.minimum(least, (dx * (pts[:, 1] - y) - dy * (pts[:, 0] - x)) / np.hypot(dx, dy))
+    return pts[~(least > 1e-9 * np.abs(ring).max())]
+
+
 def convex_hulls(points: DataFrame) -> DataFrame:
-    """(page, x, y) to the hull's corners in order, and its area."""
+    """(page, x, y) to the hull's corners in order, and its area. Each task reduces its share of a page to the points that can be corners; only these meet."""
+
+    def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for page, part in pdf.groupby("page", dropna=False):
+                page = None if pd.isna(page) else int(page)
+                pts = part[["x", "y"]].to_numpy(float)
+                held[page] = outer_points(np.concatenate((held[page], pts)) if page in held else pts)
+        for page, pts in held.items():
+            yield pd.DataFrame({"page": pd.array([page] * len(pts), "Int64"), "x": pts[:, 0], "y": pts[:, 1]})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ring = hull_of(pdf[["x", "y"]].to_numpy())
         return pd.DataFrame({"page": pdf["page"].iloc[0], "corner": np.arange(len(ring)), "x": ring[:, 0], "y": ring[:, 1], "area": area_of(ring)})
 
-    return points.groupBy("page").applyInPandas(run, "page long, corner long, x double, y double, area double")
+    few = points.select("page", "x", "y").mapInPandas(outer, "page long, x double, y double")
+    return few.groupBy("page").applyInPandas(run, "page long, corner long, x double, y double, area double")
 
 
 def parts_of(y: np.ndarray, x: np.ndarray, diagonal: bool = True) -> np.ndarray:

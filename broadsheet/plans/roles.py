@@ -72,9 +72,6 @@ def _vectors(spark: SparkSession, d: str, page: Column) -> DataFrame:
     return table(spark, d, "embeddings").select(page.cast("long").alias("page"), F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
 
 
-POINT_STRETCHES = "points AS (SELECT (label * 1000000 + vec_id // 500)::BIGINT AS page, vec_id AS id, list_extract(embedding, 1)::DOUBLE AS x, list_extract(embedding, 2)::DOUBLE AS y FROM embeddings)"
-
-
 # a page is a nation and a stretch of keys
 _BOXES = {"c": ("customer", "c_custkey", 1500), "s": ("supplier", "s_suppkey", 100)}
 
