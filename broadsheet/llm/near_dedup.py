@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -315,19 +316,21 @@ def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
     return classes
 
 
-def dedup_classes(docs: DataFrame, how: Dedup = Dedup(), text: str = "text") -> DataFrame:
-    """A row for each input row: doc_id, text_hash, row, class_id (the least doc_id of its class), class_size, first_row (the row of that document that stays)."""
+def dedup_classes(docs: DataFrame, how: Dedup = Dedup(), text: str = "text", tie: Column | None = None, **carried: Column) -> DataFrame:
+    """A row for each input row: doc_id, the carried columns, row, class_id (the least doc_id of its class), class_size, first_row (the row of that document that stays, of several that with the least ``tie``)."""
     ship(docs.sparkSession)
-    named = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _sketch(how)(F.col(text)).alias("s"))
-    rows = written(named.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "s.*"), "near-rows")
+    tie = F.xxhash64(text) if tie is None else tie
+    named = docs.select("doc_id", tie.alias("tie"), *[c.alias(n) for n, c in carried.items()], _sketch(how)(F.col(text)).alias("s"))
+    own = ["doc_id", "tie", *carried]
+    rows = written(named.select(*own, F.monotonically_increasing_id().alias("row"), "s.*"), "near-rows")
     # of copies one row speaks for the text; only narrow rows find it
     speaker = written(rows.groupBy("tid").agg(F.min("row").alias("text_row")), "near-speakers")
     texts = rows.select("row", "bands").join(speaker.select(F.col("text_row").alias("row")), "row", "left_semi")
     classes = text_classes(texts, rows, how).withColumnRenamed("row", "text_row")
-    narrow = rows.select("doc_id", "text_hash", "row", "tid").join(speaker, "tid")
-    named = written(narrow.join(classes, "text_row", "left").select("doc_id", "text_hash", "row", F.coalesce("comp", "text_row").alias("comp")), "near-named")
-    heads = written(named.groupBy("comp").agg(F.min(F.struct("doc_id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
-    return named.join(heads, "comp").select("doc_id", "text_hash", "row", F.col("head.doc_id").alias("class_id"), "class_size", F.col("head.row").alias("first_row"))
+    narrow = rows.select(*own, "row", "tid").join(speaker, "tid")
+    named = written(narrow.join(classes, "text_row", "left").select(*own, "row", F.coalesce("comp", "text_row").alias("comp")), "near-named")
+    heads = written(named.groupBy("comp").agg(F.min(F.struct("doc_id", "tie", "row")).alias("head"), F.count(F.lit(1)).alias("class_size")), "near-heads")
+    return named.join(heads, "comp").select("doc_id", *carried, "row", F.col("head.doc_id").alias("class_id"), "class_size", F.col("head.row").alias("first_row"))
 
 
 def near_dedup(docs: DataFrame, how: Dedup = Dedup()) -> DataFrame:
@@ -336,13 +339,34 @@ def near_dedup(docs: DataFrame, how: Dedup = Dedup()) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"))
 
 
+def _places(docs: DataFrame) -> dict[str, Column]:
+    """Where a row of Parquet files stands: its file, a block of 32,768 rows and the place in the block."""
+    at = docs.metadataColumn("_metadata")
+    return {"file": F.xxhash64(at["file_path"]), "block": F.shiftright(at["row_index"], 15), "bit": at["row_index"].bitwiseAND(F.lit(32767))}
+
+
+def _names_rows(docs: DataFrame) -> bool:
+    """Whether each row has a place of its own: not if it comes from elsewhere than Parquet files, or several from one by a join."""
+    try:
+        placed = docs.select(*[c.alias(n) for n, c in _places(docs).items()])
+    except AnalysisException:
+        return False
+    blocks = placed.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_construct_agg("bit")).alias("places"))
+    return blocks.filter("n != places").isEmpty()
+
+
 def keep_one(docs: DataFrame, how: Dedup = Dedup()) -> DataFrame:
-    """The input rows that stay, with the input's columns."""
-    stay = written(dedup_classes(docs, how).filter("row = first_row").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "near-stay")
+    """The input rows that stay, with the input's columns; of rows that share doc_id and class the one with the least hash of all columns.
+
+    The rows that stay are listed by place, a bit for each row of the input. So the list is
+    small enough to be sent to the documents, which otherwise would be shuffled with their texts.
+    """
     own = docs.columns
-    named = docs.select(F.struct(*own).alias("__row"), F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"))
-    kept = named.join(stay, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
-    # rows that agree in doc_id and text can't be told apart above: of these the one with the least hash of all columns stays
-    if not named.groupBy("__doc", "__text").count().filter("count > 1").isEmpty():
-        kept = kept.groupBy("__doc", "__text").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
-    return kept.select(*[F.col("__row")[c].alias(c) for c in own])
+    if not _names_rows(docs):
+        docs = written(docs, "near-input")
+    hashed = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]))
+    found = dedup_classes(docs, how, tie=hashed, **_places(docs)).filter("row = first_row").select("file", "block", "bit")
+    stay = written(found.repartition("file", "block").groupBy("file", "block").agg(F.bitmap_construct_agg("bit").alias("bits")), "near-stay")
+    placed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), *[c.alias(n) for n, c in _places(docs).items()])
+    kept = placed.join(stay, ["file", "block"]).filter("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    return kept.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(own)])
