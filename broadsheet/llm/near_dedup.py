@@ -279,12 +279,27 @@ def _pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("lead", "row").alias("a"), F.greatest("lead", "row").alias("b")).distinct()
 
 
+#: Whether the list of ``bits`` by block has a row's ``bit``.
+_LISTED = "shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1"
+
+
+def _bits(listed: DataFrame, *by: str) -> DataFrame:
+    """The places (block, bit) of a list as 32,768 bits for each block: so small that Spark can send it to a wide table instead of shuffling that."""
+    return written(listed.repartition(*by).groupBy(*by).agg(F.bitmap_construct_agg("bit").alias("bits")), "near-bits")
+
+
+def _among(table: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows of the table whose ``row`` is listed. Numbers of one partition follow each other, so they share blocks."""
+    place = {"block": F.shiftright("row", 15), "bit": F.col("row").bitwiseAND(F.lit(32767))}
+    return table.withColumns(place).join(_bits(listed.withColumns(place), "block"), "block").filter(_LISTED).select(*table.columns)
+
+
 def text_classes(texts: DataFrame, every: DataFrame, how: Dedup) -> DataFrame:
     """(row, comp) of texts in classes of two or more, from (row, bands) with one row a text and the tokens of ``every`` row."""
     keyed = texts.select("row", F.posexplode("bands").alias("f", "h")).select("row", "f", F.xxhash64("f", "h").alias("key"))
     shared = keyed.groupBy("key").count().filter("count > 1")
     members = written(keyed.join(shared, "key").select("key", "f", "row", F.col("count").alias("n")), "near-members")
-    tokens = written(every.select("row", "tokens").join(members.select("row").distinct(), "row", "left_semi"), "near-tokens")
+    tokens = written(_among(every.select("row", "tokens"), members.select("row").distinct()), "near-tokens")
     degree = members.groupBy("row").agg(F.sum("n").alias("degree"))
     first = members.join(degree, "row").groupBy("key").agg(F.max(F.struct("degree", "row")).alias("x")).select("key", F.col("x.row").alias("lead"))
     checked = _checked(_pairs(first, members.select("key", "row")), tokens, how)
@@ -366,7 +381,7 @@ def keep_one(docs: DataFrame, how: Dedup = Dedup()) -> DataFrame:
         docs = written(docs, "near-input")
     hashed = F.xxhash64(F.struct(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]))
     found = dedup_classes(docs, how, tie=hashed, **_places(docs)).filter("row = first_row").select("file", "block", "bit")
-    stay = written(found.repartition("file", "block").groupBy("file", "block").agg(F.bitmap_construct_agg("bit").alias("bits")), "near-stay")
+    stay = _bits(found, "file", "block")
     placed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]).alias("row"), *[c.alias(n) for n, c in _places(docs).items()])
-    kept = placed.join(stay, ["file", "block"]).filter("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) & 1 = 1")
+    kept = placed.join(stay, ["file", "block"]).filter(_LISTED)
     return kept.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(own)])

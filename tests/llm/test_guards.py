@@ -45,3 +45,11 @@ def test_rows_that_share_a_place_in_their_file_are_told_apart(spark, tmp_path):
     assert near_dedup.keep_one(twice.union(twice)).count() == 80
     assert near_dedup.keep_one(docs.union(docs)).count() == 40
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs.filter("doc_id % 3 = 1")).collect()) == list(range(1, 40, 3))
+
+
+def test_rows_are_picked_by_a_list_of_bits(spark):
+    numbers = [(p << 33) + i for p in (0, 1, 5) for i in (0, 1, 7, 8, 32767, 32768, 40000)]
+    for listed in (numbers[::2], numbers[1::3], numbers, []):
+        table = spark.createDataFrame([(n, str(n)) for n in numbers], "row long, tokens string")
+        got = near_dedup._among(table, spark.createDataFrame([(n,) for n in listed], "row long"))
+        assert got.columns == table.columns and sorted(map(tuple, got.collect())) == [(n, str(n)) for n in sorted(listed)]
