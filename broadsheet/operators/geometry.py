@@ -76,21 +76,22 @@ def convex_hulls(points: DataFrame) -> DataFrame:
 def parts_of(y: np.ndarray, x: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Number of the 8-connected component of each cell (4-connected if not ``diagonal``), in the order of the cells' least (y, x).
 
-    Cells are one sorted array; neighbours are found by search, and labels fall to the least of each
+    Cells are one sorted array and fall into runs along x; runs that touch in the next line are found by search, and labels fall to the least of each
     component by neighbours' labels and then labels' own labels.
     """
     if not len(y):
         return np.zeros(0, int)
     wide = int(x.max()) - int(x.min()) + 3
     key = (y.astype(np.int64) - int(y.min())) * wide + (x.astype(np.int64) - int(x.min()) + 1)
-    cells, back = np.unique(key, return_inverse=True)
-    pairs = []
-    for step in (1, wide - 1, wide, wide + 1) if diagonal else (1, wide):
-        at = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
-        met = np.flatnonzero(cells[at] == cells + step)
-        pairs.append((met, at[met]))
-    one, two = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    label = np.arange(len(cells))
+    cells, back = (key, slice(None)) if (key[1:] > key[:-1]).all() else np.unique(key, return_inverse=True)
+    breaks = np.flatnonzero(np.diff(cells) > 1) + 1
+    start, end = cells[np.append(0, breaks)], cells[np.append(breaks - 1, len(cells) - 1)]
+    beside = 1 if diagonal else 0
+    first, last = np.searchsorted(end, start + wide - beside), np.searchsorted(start, end + wide + beside, "right")
+    met = last - first
+    one = np.repeat(np.arange(len(start)), met)
+    two = np.arange(len(one)) - np.repeat(np.cumsum(met) - met - first, met)
+    label = np.arange(len(start))
     while True:
         least = np.minimum(label[one], label[two])
         new = label.copy()
@@ -98,7 +99,8 @@ def parts_of(y: np.ndarray, x: np.ndarray, diagonal: bool = True) -> np.ndarray:
         np.minimum.at(new, label[two], least)
         new = new[new]
         if (new == label).all():
-            return (np.unique(label, return_inverse=True)[1] + 1)[back]
+            number = np.cumsum(label == np.arange(len(label)))[label]
+            return np.repeat(number, np.diff(np.concatenate(([0], breaks, [len(cells)]))))[back]
         label = new
 
 

@@ -20,10 +20,14 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = "pairs AS (SELECT l_orderkey % 50 AS doc, (l_linenumber - 1)::INTEGER AS truth, (CASE WHEN l_quantity > 20 THEN l_linenumber - 1 ELSE l_partkey % 7 END)::INTEGER AS pred FROM lineitem)"
 
 
+def cells(spark: SparkSession, d: str) -> DataFrame:
+    """page, y, x, label from order lines, cells with several labels too."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") % 64).cast("int").alias("y"), (F.col("l_partkey") % 64).cast("int").alias("x"), ((F.col("l_linenumber") * 5 + F.col("l_partkey")) % 13).cast("int").alias("label"))
+
+
 def plane(spark: SparkSession, d: str) -> DataFrame:
-    """page, y, x, label from order lines: one label a cell, the highest."""
-    cells = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") % 64).cast("int").alias("y"), (F.col("l_partkey") % 64).cast("int").alias("x"), ((F.col("l_linenumber") * 5 + F.col("l_partkey")) % 13).cast("int").alias("label"))
-    return cells.groupBy("page", "y", "x").agg(F.max("label").alias("label"))
+    """``cells`` with one label a cell, the highest."""
+    return cells(spark, d).groupBy("page", "y", "x").agg(F.max("label").alias("label"))
 
 
 PLANE = "plane AS (SELECT l_suppkey AS page, (l_orderkey % 64)::INTEGER AS y, (l_partkey % 64)::INTEGER AS x, max((l_linenumber * 5 + l_partkey) % 13)::INTEGER AS label FROM lineitem GROUP BY ALL)"
