@@ -94,12 +94,12 @@ def boxes_sql(name: str, table_key: str) -> str:
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Short horizontal (8) and vertical (9) segments on the pages of ``plane``; a page's share doesn't grow with the tables."""
+    """Short horizontal (8) and vertical (9) segments on the pages of ``plane``; a page's share doesn't grow with the tables. They are shuffled by page once, for what follows too."""
     flat, grown = F.col("l_linenumber") == 6, F.col("l_quantity") % 9 + 3
     x0, y0 = (F.col("l_partkey") % 60).cast("double"), (F.col("l_orderkey") % 60).cast("double")
     x1, y1 = x0 + F.when(flat, grown).otherwise(0.0), y0 + F.when(flat, 0.0).otherwise(grown)
     line = table(spark, d, "lineitem").filter("l_linenumber >= 6")
-    return line.select(F.col("l_suppkey").cast("long").alias("page"), F.when(flat, 8).otherwise(9).alias("label"), _segment_id().alias("id"), x0.alias("x0"), y0.alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (F.col("l_partkey") % 3 + 1).cast("double").alias("thickness")).distinct()
+    return line.select(F.col("l_suppkey").cast("long").alias("page"), F.when(flat, 8).otherwise(9).alias("label"), _segment_id().alias("id"), x0.alias("x0"), y0.alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (F.col("l_partkey") % 3 + 1).cast("double").alias("thickness")).repartition("page").distinct()
 
 
 def _segment_id():

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from broadsheet.operators import contours, cuts, planes
+from broadsheet.operators import contours, cuts, planes, repair
 from broadsheet.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -53,3 +53,30 @@ def test_borders_of_pages_together_are_those_of_each(spark):
 def test_the_greatest_label_of_a_cell_is_kept(spark):
     df = spark.createDataFrame([(1, 2, 3, 4), (1, 2, 3, 9), (1, 2, 3, 7), (1, 0, 0, 1)], "page long, y int, x int, label int")
     assert sorted(map(tuple, planes.unpacked(planes.packed(df, 4, 5)).collect())) == [(1, 0, 0, 1), (1, 2, 3, 9)]
+
+
+def near_by_hand(rows, plane, reach):
+    out = []
+    for _, label, a, _, _, ax, ay, t in rows:
+        for _, other, b, bx, by, *_ in rows:
+            if label == other and a != b and (bx - ax if label == 8 else by - ay) >= 0 and np.hypot(bx - ax, by - ay) < reach:
+                out.append((1, a, b, plane is None or repair.free_corridor(plane, label, (ax, ay), (bx, by), t)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_guards_by_hand(spark, seed):
+    rng = np.random.default_rng(seed)
+    plane = rng.choice(13, (30, 30), p=[0.88, *[0.01] * 12]).astype(np.uint8)
+    rows = [(1, int(rng.choice((7, 8, 9))), i, *map(float, rng.integers(0, 32, 2)), *map(float, rng.integers(0, 32, 2)), float(rng.integers(1, 4))) for i in range(40)]
+    s = spark.createDataFrame(rows, "page long, label int, id long, x0 double, y0 double, x1 double, y1 double, thickness double")
+    p = spark.createDataFrame([(1, 30, 30, bytearray(plane.tobytes()))], planes._PLANE)
+    got = sorted(map(tuple, repair.near_guards(s, p, 12.0).collect()))
+    assert got == near_by_hand(rows, plane, 12.0) and 0 < sum(r[3] for r in got) < len(got)
+    assert sorted(map(tuple, repair.near_guards(s, p.limit(0), 12.0).collect())) == near_by_hand(rows, None, 12.0)
+
+
+@needs_tables
+def test_corridor_guards_shuffle_no_pairs(spark):
+    text = plan(spark, "corridor_guards")
+    assert "CoGroup" not in text and text.count("hashpartitioning") == 2
