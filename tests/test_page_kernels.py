@@ -121,3 +121,48 @@ def test_joins_by_hand(seed):
 def test_repaired_segments_take_many_pages_at_once(spark):
     text = plan(spark, "repaired_segments")
     assert "CoGroup" not in text and text.count("hashpartitioning") == 2
+
+
+def merged_by_hand(points, distance, buffer):
+    """Rounds over all pairs, with numpy's own medians and covariance."""
+
+    def fitted(p):
+        centre = p.mean(0)
+        axis = np.linalg.eigh(np.cov((p - centre).T))[1][:, -1] if len(p) > 1 else np.array([1.0, 0.0])
+        axis = axis if (axis[0], axis[1]) > (0, 0) or axis[0] > 1e-12 else -axis
+        along, across = (p - centre) @ axis, (p - centre) @ np.array([-axis[1], axis[0]])
+        edges = np.linspace(along.min(), along.max(), max(3, int(np.ptp(along) / 5)) + 1)
+        bins = [q for q in ((along >= a) & (along <= b) for a, b in zip(edges[:-1], edges[1:], strict=True)) if q.any()]
+        return np.array([np.median(p[q], 0) for q in bins]), 2 * float(np.median([np.median(np.abs(across[q] - np.median(across[q]))) for q in bins]))
+
+    live = [([i], p, *fitted(p)) for i, p in enumerate(points)]
+    while True:
+        root = list(range(len(live)))
+        for j in range(len(live)):
+            for i in range(j):
+                a, b = live[i][2], live[j][2]
+                if root[i] != root[j] and (a.min(0) <= b.max(0) + buffer).all() and (b.min(0) <= a.max(0) + buffer).all() and repair.path_distance(a, b) <= distance:
+                    root = [root[i] if r == root[j] else r for r in root]
+        if len(set(root)) == len(root):
+            return [(m, path, t) for m, _, path, t in live]
+        groups = [[k for k in range(len(root)) if root[k] == r] for r in dict.fromkeys(root)]
+        together = [live[g[0]][1] if len(g) == 1 else np.unique(np.concatenate([live[k][1] for k in g]), axis=0) for g in groups]
+        live = sorted([(sorted(m for k in g for m in live[k][0]), p, *(live[g[0]][2:] if len(g) == 1 else fitted(p))) for g, p in zip(groups, together, strict=True)], key=lambda s: s[0][0])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parallel_merges_by_hand(spark, seed):
+    rng = np.random.default_rng(seed)
+    way = [(1.0, 0.0), (0.0, 1.0), (0.5, 0.25)][seed % 3]
+    points = [rng.integers(0, 60, 2) + np.arange(n)[:, None] * way for n in rng.integers(1, 12, 40)]
+    want, got = merged_by_hand(points, 2.0, 1.0), repair.merged_parallel(points, 2.0, 1.0)
+    assert [(m, p.tolist(), t) for m, p, t in got] == [(m, p.tolist(), t) for m, p, t in want] and len(want) < 40
+    df = spark.createDataFrame([(5, 8, i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(points)], "page long, label int, id long, points array<struct<x: double, y: double>>")
+    rows = sorted((r["id"], r["members"], [tuple(q) for q in r["path"]], r["thickness"]) for r in repair.parallel_merges(df, 2.0, 1.0).collect())
+    assert rows == [(m[0], m, [tuple(q) for q in p.tolist()], t) for m, p, t in want]
+
+
+@needs_tables
+def test_parallel_merges_take_many_pages_at_once(spark):
+    text = plan(spark, "parallel_merges")
+    assert "FlatMapGroups" not in text and text.count("hashpartitioning") == 1
