@@ -8,17 +8,17 @@ first by id counts. Planes without text give no rows; separators of pages withou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contours import polygons_of, signed_area
 from .geometry import area_of, hull_of, merged_hulls_of, parts_of
-from .growth import TABLES, TEXT_BLOCKS, Growth, Stopper, ellipse, grown, spread_by
+from .growth import TABLES, TEXT_BLOCKS, Growth, Stopper, ellipse, grown, spread_by, without_specks
 from .overlays import RULES, oriented, overlay, polygons
 from .pages import centroid, clipped
 from .planes import _array, by_task
@@ -111,13 +111,16 @@ def _merged(hulls: list[np.ndarray]) -> list[np.ndarray]:
     return [h for _, h in merged_hulls_of(hulls)] if hulls else []
 
 
-def text_hulls(plane: np.ndarray, label: int, separators: list[np.ndarray], how: Blocks) -> tuple[list[np.ndarray], np.ndarray]:
-    """The hulls of one label, shrunk, and its strongly grown region outside other content."""
+def text_hulls(plane: np.ndarray, label: int, free: np.ndarray, separators: list[np.ndarray], how: Blocks) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hulls of one label, shrunk, and its strongly grown region outside other content. Where text may grow (``free``) is the same for all labels."""
+    weak = Growth((label,), TEXT_BLOCKS.stoppers, how.kernel, least=how.speck, snapshots=(1,))
+    begin = without_specks(plane == label, how.speck), free
+    if not begin[0].any():
+        return [], begin[0]
     others = [x for x in how.text if x != label]
     ground = spread_by(np.isin(plane, (how.illustration, how.table, *others)), ellipse(*how.ground))
-    weak = Growth((label,), TEXT_BLOCKS.stoppers, how.kernel, least=how.speck, snapshots=(1,))
-    ((pieces,), (micro,)) = (grown(plane, replace(weak, kernel=k)) for k in (how.pieces, how.kernel))
-    macro = grown(plane, replace(weak, closings=3, snapshots=(3,)))[0] & ~ground
+    ((pieces,), (micro,)) = (grown(plane, replace(weak, kernel=k), begin) for k in (how.pieces, how.kernel))
+    macro = grown(plane, replace(weak, closings=3, snapshots=(3,)), begin)[0] & ~ground
     hulls = []
     for at, part in _parts(macro):
         hull = _outline(at, part & micro[at], how)
@@ -131,8 +134,9 @@ def text_hulls(plane: np.ndarray, label: int, separators: list[np.ndarray], how:
 def text_polygons_of(plane: np.ndarray, separators: list[np.ndarray], how: Blocks = Blocks()) -> list[tuple[np.ndarray, list[np.ndarray]]]:
     """Outer rings and holes of the text, less illustrations outside the grown region of the last label. Of several polygons those of enough area stay."""
     texts, macro = [], np.zeros(plane.shape, bool)
+    free = ~np.logical_or.reduce([stopper.mask(plane) for stopper in TEXT_BLOCKS.stoppers])
     for label in how.text:
-        hulls, macro = text_hulls(plane, label, separators, how)
+        hulls, macro = text_hulls(plane, label, free, separators, how)
         texts += hulls
     pictures = polygons_of(spread_by(plane == how.illustration, ellipse(*how.ground)) & ~macro)
     made = polygons(overlay([oriented(r) for r in texts], [oriented(r) for r in pictures], RULES["difference"]))
@@ -173,17 +177,24 @@ def _filled(hulls: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
 
 
 def _by_page(planes: DataFrame, separators: DataFrame, kernel: Callable) -> DataFrame:
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left):
-            paths = [np.stack((r.x, r.y), 1).astype(float) for r in right.sort_values("id").itertuples() if r.x is not None and len(r.x)] if len(right) else []
-            for page, h, w, data in zip(left["page"], left["height"], left["width"], left["data"], strict=True):
+    """Every plane with its page's separators, which are one list, through a kernel that gives polygons."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, h, w, data, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                paths = [np.array((s["x"], s["y"]), float).T for s in sorted(held or (), key=lambda s: s["id"]) if s["x"]]
                 for i, (outer, holes) in enumerate(kernel(_array(data, h, w), paths)):
-                    rows += [(page, i, k, k > 0, r[:, 0].tolist(), r[:, 1].tolist(), signed_area(r)) for k, r in enumerate((outer, *holes))]
-        return pd.DataFrame(rows, columns=["page", "id", "ring", "hole", "x", "y", "area"])
+                    rows += [(page, i, k, k > 0, r[:, 0], r[:, 1], signed_area(r)) for k, r in enumerate((outer, *holes))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+    own = by_task(separators.select("page", "id", "x", "y")).groupBy("page").agg(F.collect_list(F.struct("id", "x", "y")).alias("own"))
+    return by_task(planes.select("page", "height", "width", "data")).join(own, "page", "left").mapInArrow(run, "page long, id long, ring int, hole boolean, x array<double>, y array<double>, area double")
+
 
-    a, b = by_task(planes.select("page", "height", "width", "data")), by_task(separators.select("page", "id", "x", "y"))
-    return a.groupBy("page").cogroup(b.groupBy("page")).applyInPandas(run, "page long, id long, ring int, hole boolean, x array<double>, y array<double>, area double")
+_NAMES = ["page", "id", "ring", "hole", "x", "y", "area"]
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
 
 
 def text_polygons(planes: DataFrame, separators: DataFrame, how: Blocks = Blocks()) -> DataFrame:

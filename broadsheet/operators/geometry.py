@@ -17,19 +17,23 @@ from .warps import smoothed_at
 
 def hull_of(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull, counter-clockwise from the leftmost lowest point."""
-    pts = np.unique(np.asarray(points, float), axis=0)
+    pts = np.asarray(points, float).reshape(-1, 2)
+    pts = pts[np.lexsort((pts[:, 1], pts[:, 0]))]
+    pts = pts[np.append(True, (pts[1:] != pts[:-1]).any(1))] if len(pts) else pts
     if len(pts) < 3:
         return pts
+    new = pts[1:, 0] != pts[:-1, 0]
+    outer = pts[np.append(True, new) | np.append(new, True)].tolist()  # of equal x the lowest and the highest
 
-    def chain(order: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+    def chain(order: list[list[float]]) -> list[list[float]]:
+        out: list[list[float]] = []
         for p in order:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
 
-    return np.array(chain(pts) + chain(pts[::-1]))
+    return np.array(chain(outer) + chain(outer[::-1]))
 
 
 def area_of(ring: np.ndarray) -> float:

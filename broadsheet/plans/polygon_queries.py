@@ -62,12 +62,9 @@ def _painted(spark: SparkSession, d: str) -> DataFrame:
 def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The boxes as planes, the later one on top, and the separators as paths down their middle."""
     boxes = _painted(spark, d)
-    rows = boxes.withColumn("y", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
-    cells = rows.withColumn("x", F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1)))
-    top = cells.groupBy("page", "y", "x").agg(F.max_by("label", "id").alias("label"))
     middle, end = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h")
     paths = boxes.filter("label = 9").select("page", "id", F.array(middle, middle).alias("x"), F.array(F.col("y").cast("double"), end.cast("double")).alias("y"))
-    return planes.packed(top, 160, 160), paths
+    return planes.painted(boxes, 160, 160), paths
 
 
 @query()

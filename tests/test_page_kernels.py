@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from broadsheet.operators import contours, cuts, geometry, planes, repair, warps
+from broadsheet.operators import contours, cuts, geometry, growth, planes, repair, warps
 from broadsheet.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -166,3 +166,47 @@ def test_parallel_merges_by_hand(spark, seed):
 def test_parallel_merges_take_many_pages_at_once(spark):
     text = plan(spark, "parallel_merges")
     assert "FlatMapGroups" not in text and text.count("hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bits_are_moved_masks(seed):
+    """Dilation, erosion and closing against moved views of the mask."""
+    rng = np.random.default_rng(seed)
+    mask, kernel = rng.random((13, 17 + seed)) < 0.3, growth.ellipse(*[(8, 3), (7, 5), (10, 3), (1, 1)][seed])
+
+    def moved(m, beyond):
+        padded = np.pad(m, 12, constant_values=beyond)
+        return [padded[12 + dy : 12 + dy + m.shape[0], 12 + dx : 12 + dx + m.shape[1]] for dy, dx in kernel]
+
+    wide = np.logical_or.reduce(moved(mask, False))
+    assert (growth.spread_by(mask, kernel) == wide).all() and (growth.spread_by(mask, kernel, 2) == np.logical_or.reduce(moved(wide, False))).all()
+    assert (growth.shrunk_by(mask, kernel) == np.logical_and.reduce(moved(mask, True))).all()
+    assert (growth.closed_by(mask, kernel) == np.logical_and.reduce(moved(wide, True))).all()
+
+
+def test_painted_boxes_are_their_cells(spark):
+    rows = [(p, i, 1 + i % 5, (i * 7 + p) % 40 - 4, (i * 11) % 40 - 4, i % 9 + 1, i % 7 + 1) for p in range(3) for i in range(30)]
+    boxes = spark.createDataFrame(rows, "page long, id long, label int, x int, y int, w int, h int")
+    plane = {}
+    for p, _, label, x, y, w, h in rows:
+        plane.update({(p, b, a): label for a in range(x, x + w) for b in range(y, y + h) if 0 <= a < 38 and 0 <= b < 36})
+    assert sorted(map(tuple, planes.unpacked(planes.painted(boxes, 36, 38)).collect())) == sorted((*k, v) for k, v in plane.items())
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["text_polygons", "table_polygons"])
+def test_painted_pages_shuffle_no_cells(spark, name):
+    text = plan(spark, name)
+    assert "CoGroup" not in text and "Generate" not in text
+
+
+def test_hulls_of_columns_of_points():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        pts = rng.integers(0, 6, (25, 2)).astype(float)
+        ring = geometry.hull_of(pts)
+        side = np.roll(ring, -1, 0) - ring
+        over = side[:, 0] * (pts[:, 1, None] - ring[:, 1]) - side[:, 1] * (pts[:, 0, None] - ring[:, 0])
+        assert (over >= 0).all() and {tuple(p) for p in ring.tolist()} <= {tuple(p) for p in pts.tolist()}
+        ahead = np.roll(side, -1, 0)
+        assert (side[:, 0] * ahead[:, 1] - side[:, 1] * ahead[:, 0] > 0).all()
