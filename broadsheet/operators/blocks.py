@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .contours import polygons_of, signed_area
 from .geometry import area_of, hull_of, merged_hulls_of, parts_of
 from .growth import TABLES, TEXT_BLOCKS, Growth, Stopper, ellipse, grown, spread_by, without_specks
-from .overlays import RULES, oriented, overlay, polygons
+from .overlays import RING_NAMES, RING_SCHEMA, RING_TYPES, RULES, oriented, overlay, polygons
 from .pages import centroid, clipped
 from .planes import _array, by_task
 
@@ -187,14 +187,10 @@ def _by_page(planes: DataFrame, separators: DataFrame, kernel: Callable) -> Data
                 for i, (outer, holes) in enumerate(kernel(_array(data, h, w), paths)):
                     rows += [(page, i, k, k > 0, r[:, 0], r[:, 1], signed_area(r)) for k, r in enumerate((outer, *holes))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RING_TYPES, strict=True)], RING_NAMES)
 
     own = by_task(separators.select("page", "id", "x", "y")).groupBy("page").agg(F.collect_list(F.struct("id", "x", "y")).alias("own"))
-    return by_task(planes.select("page", "height", "width", "data")).join(own, "page", "left").mapInArrow(run, "page long, id long, ring int, hole boolean, x array<double>, y array<double>, area double")
-
-
-_NAMES = ["page", "id", "ring", "hole", "x", "y", "area"]
-_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+    return by_task(planes.select("page", "height", "width", "data")).join(own, "page", "left").mapInArrow(run, RING_SCHEMA)
 
 
 def text_polygons(planes: DataFrame, separators: DataFrame, how: Blocks = Blocks()) -> DataFrame:

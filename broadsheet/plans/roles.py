@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.planes import by_task
+
 EVENT_CODES = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 
 
@@ -99,7 +101,7 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
     x0, y0 = (F.col("l_partkey") % 60).cast("double"), (F.col("l_orderkey") % 60).cast("double")
     x1, y1 = x0 + F.when(flat, grown).otherwise(0.0), y0 + F.when(flat, 0.0).otherwise(grown)
     line = table(spark, d, "lineitem").filter("l_linenumber >= 6")
-    return line.select(F.col("l_suppkey").cast("long").alias("page"), F.when(flat, 8).otherwise(9).alias("label"), _segment_id().alias("id"), x0.alias("x0"), y0.alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (F.col("l_partkey") % 3 + 1).cast("double").alias("thickness")).repartition("page").distinct()
+    return by_task(line.select(F.col("l_suppkey").cast("long").alias("page"), F.when(flat, 8).otherwise(9).alias("label"), _segment_id().alias("id"), x0.alias("x0"), y0.alias("y0"), x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (F.col("l_partkey") % 3 + 1).cast("double").alias("thickness"))).distinct()
 
 
 def _segment_id():

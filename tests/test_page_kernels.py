@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from broadsheet.operators import contours, cuts, geometry, growth, planes, repair, warps
+from broadsheet.operators import contours, cuts, geometry, growth, overlays, planes, repair, warps
 from broadsheet.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -210,3 +210,29 @@ def test_hulls_of_columns_of_points():
         assert (over >= 0).all() and {tuple(p) for p in ring.tolist()} <= {tuple(p) for p in pts.tolist()}
         ahead = np.roll(side, -1, 0)
         assert (side[:, 0] * ahead[:, 1] - side[:, 1] * ahead[:, 0] > 0).all()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windings_and_holes_by_cells(seed):
+    """Many overlapping boxes, more than are tested at once, against their cells."""
+    rng = np.random.default_rng(seed)
+    masks, rings = np.zeros((2, 40, 40), bool), ([], [])
+    for k in (0, 1):
+        for x, y, w, h in zip(*rng.integers(0, 30, (2, 60)), *rng.integers(1, 9, (2, 60)), strict=True):
+            masks[k, y : y + h, x : x + w] = True
+            rings[k].append(np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float))
+    for name, rule in overlays.RULES.items():
+        made = overlays.polygons(overlays.overlay(*rings, rule))
+        want = rule(*masks)
+        got = np.zeros((40, 40), int)
+        centres = np.argwhere(np.ones((40, 40), bool))[:, ::-1] + 0.5
+        for outer, holes in made:
+            got += (overlays.within(outer, centres) & ~np.logical_or.reduce([overlays.within(h, centres) for h in holes] or [np.zeros(1600, bool)])).reshape(40, 40)
+        assert (got == want).all(), name
+        assert sum(contours.signed_area(r) for outer, holes in made for r in (outer, *holes)) == want.sum()
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["polygon_union", "polygon_difference"])
+def test_overlays_take_both_sides_as_one_table(spark, name):
+    assert "CoGroup" not in plan(spark, name)
