@@ -144,19 +144,40 @@ def cut_path(path: np.ndarray, level: bool, width: float, height: float, points:
 
 
 def cut_paths(separators: DataFrame, points: int = 10) -> DataFrame:
-    """Separators (page, kind, id, x, y as arrays, width and height of the page) to their paths across the page: page, id, x, y. Those that don't run across give no row."""
+    """Separators (page, kind, id, x, y as arrays, width and height of the page) to their paths across the page: page, id, x, y. Those that don't run across give no row.
+
+    A path of two points is its own spline, a straight line, so Spark's expressions make it longer; the others are fitted in tasks of even size.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                whole = r.x is not None and r.y is not None and len(r.x) and r.width == r.width and r.height == r.height
-                path = cut_path(np.stack((r.x, r.y), 1), r.kind == "H", r.width, r.height, points) if whole else None
+                path = cut_path(np.stack((r.x, r.y), 1), r.kind == "H", r.width, r.height, points)
                 if path is not None:
                     rows.append((r.page, r.id, path[:, 0].tolist(), path[:, 1].tolist()))
             yield pd.DataFrame(rows, columns=["page", "id", "x", "y"])
 
-    return by_task(separators.select("page", "kind", "id", "x", "y", "width", "height")).mapInPandas(run, "page long, id long, x array<double>, y array<double>")
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("width") < float("nan")) & (F.col("height") < float("nan"))  # neither null nor NaN, which is the greatest
+    known = separators.select("page", F.coalesce("kind", F.lit("")).alias("kind"), "id", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("array<double>").alias("y"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height")).filter(whole)
+    fitted = by_task(known.filter("size(x) > 2")).mapInPandas(run, _PATHS)
+    return known.filter("size(x) = 2").transform(_straight_paths, points).unionByName(fitted)
+
+
+_PATHS = "page long, id long, x array<double>, y array<double>"
+
+
+def _straight_paths(separators: DataFrame, points: int) -> DataFrame:
+    """Paths of two points; along the page every path has the same steps, across it rises evenly."""
+    level = F.col("kind") == "H"
+    first, last = (lambda c: F.element_at(c, 1)), (lambda c: F.element_at(c, 2))
+    along = separators.select("page", "id", level.alias("level"), *[F.when(level, a).otherwise(b).alias(n) for n, a, b in (
+        ("from", first("x"), first("y")), ("to", last("x"), last("y")), ("low", first("y"), first("x")), ("high", last("y"), last("x")), ("long", F.col("width"), F.col("height")),
+    )]).filter("`from` <> `to`")
+    step = lambda i: F.lit(0.0) + i * F.col("long") / float(max(points - 1, 1))
+    across = lambda i: F.col("low") + (F.col("high") - F.col("low")) * ((step(i) - F.col("from")) / (F.col("to") - F.col("from")))
+    run, beside = (F.array(*[f(i) for i in range(points)]) for f in (step, across))
+    return along.select(F.col("page").cast("long"), F.col("id").cast("long"), F.when(F.col("level"), run).otherwise(beside).alias("x"), F.when(F.col("level"), beside).otherwise(run).alias("y"))
 
 
 def _meets(path: np.ndarray, rings: list[np.ndarray]) -> bool:

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from broadsheet.operators import contours, cuts, geometry, growth, overlays, planes, repair, warps
+from broadsheet.operators import contours, curves, cuts, geometry, growth, overlays, planes, repair, warps
 from broadsheet.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -236,3 +236,20 @@ def test_windings_and_holes_by_cells(seed):
 @pytest.mark.parametrize("name", ["polygon_union", "polygon_difference"])
 def test_overlays_take_both_sides_as_one_table(spark, name):
     assert "CoGroup" not in plan(spark, name)
+
+
+def test_straight_paths_equal_fitted_ones(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, "HV"[i % 2], i, [float(v) for v in rng.integers(0, 60, 2)], [float(v) for v in rng.integers(0, 60, 2)], 64.0, 50.0) for i in range(60)]
+    rows += [(1, "H", 98, [5.0, 5.0], [1.0, 9.0], 64.0, 50.0), (1, "H", 99, None, [1.0, 9.0], 64.0, 50.0), (1, "H", 100, [1.0], [1.0], 64.0, 50.0), (1, "V", 101, [1.0, 2.0, 3.0], [0.0, 5.0, 9.0], 64.0, 50.0), (1, "V", 102, [1.0, 2.0], [0.0, 5.0], None, 50.0), (1, "V", 103, [1.0, 2.0], [0.0, 5.0], float("nan"), 50.0), (1, "V", 104, [], [], 64.0, 50.0)]
+    df = spark.createDataFrame(rows, "page long, kind string, id long, x array<double>, y array<double>, width double, height double")
+    got = {r["id"]: np.stack((r["x"], r["y"]), 1) for r in curves.cut_paths(df, 7).collect()}
+    paths = {i: curves.cut_path(np.stack((x, y), 1), kind == "H", w, h, 7) for _, kind, i, x, y, w, h in rows if x and w == w and w is not None}
+    want = {i: p for i, p in paths.items() if p is not None}
+    assert set(got) == set(want) and 101 in got and len(want) > 50
+    assert all(np.abs(got[i] - want[i]).max() < 1e-9 * max(1, np.abs(want[i]).max()) for i in want)
+
+
+@needs_tables
+def test_straight_paths_are_made_by_spark(spark):
+    assert "Union" in plan(spark, "cut_paths")
