@@ -6,7 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from broadsheet.operators import contours, curves, cuts, geometry, growth, overlays, planes, repair, warps
+from broadsheet.operators import contours, curves, cuts, geometry, growth, overlays, planes, rasters, repair, warps
 from broadsheet.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
@@ -253,3 +253,18 @@ def test_straight_paths_equal_fitted_ones(spark):
 @needs_tables
 def test_straight_paths_are_made_by_spark(spark):
     assert "Union" in plan(spark, "cut_paths")
+
+
+def test_closing_equals_the_cell_form(spark):
+    rng = np.random.default_rng(7)
+    cells = [(p, y, x, int(rng.integers(1, 8))) for p in range(3) for y in range(12) for x in range(9) if rng.random() < 0.4]
+    df = spark.createDataFrame(cells, "page long, y int, x int, label int")
+    want = rasters.closed(df.filter("label between 1 and 5").select("page", "y", "x"), 2, 1)
+    got = planes.unpacked(planes.transformed(planes.packed(df, 12, 9), planes.closing(1, 2, (1, 2, 3, 4, 5)))).select("page", "y", "x")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@needs_tables
+def test_mask_close_shuffles_cells_once(spark):
+    text = plan(spark, "mask_close")
+    assert text.count("hashpartitioning") == 1 and "Generate" not in text
